@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,3 +86,32 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_CHA
             total += int(n)
         if len(lengths) > start:
             yield batch.slice(start)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of complete groups from batches that are sorted by keys (which hold no nulls); the last group waits."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        same = np.ones(held.num_rows, bool)
+        for key in keys:
+            values = held.column(key).to_numpy()
+            same &= values == values[-1]
+        cut = 0 if same.all() else int(np.flatnonzero(~same)[-1]) + 1
+        if cut:
+            yield held.slice(0, cut).combine_chunks()
+            held = held.slice(cut)
+    if held is not None:
+        yield held.combine_chunks()
+
+
+def group_starts(*keys: np.ndarray) -> np.ndarray:
+    """First row of each run of equal keys."""
+    change = np.zeros(len(keys[0]), bool)
+    change[:1] = True
+    for values in keys:
+        change[1:] |= values[1:] != values[:-1]
+    return np.flatnonzero(change)

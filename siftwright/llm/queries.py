@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwright.llm import chat, decontam, langid, media, mixing, simhash, tokens, urlfilter
+from siftwright.llm import chat, decontam, langid, media, mixing, passages, simhash, tokens, toxicity, urlfilter
 
 URL_RULES = ("block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/")
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.group_near_duplicates(_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
@@ -44,6 +48,10 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(_table(spark, sf_dir, "conversations"))
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.list_passages(_table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -57,7 +65,18 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_simhash, op3_language, op4_mixing, op5_tokens, op6_chat, op8_decontamination, op9_urls, op10_media)
+    found = (
+        op1_toxicity,
+        op2_simhash,
+        op3_language,
+        op4_mixing,
+        op5_tokens,
+        op6_chat,
+        op7_passages,
+        op8_decontamination,
+        op9_urls,
+        op10_media,
+    )
     return {f.__name__: f for f in found}
 
 
