@@ -83,10 +83,15 @@ def seeds_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     least = _sliding(mixed, width, np.minimum)
     pad = np.zeros(width - 1, np.uint64)
     at = np.flatnonzero(mixed == _sliding(np.concatenate([pad, least, pad]), width, np.maximum))
-    # in a run of one k-mer over and over, one place a window is enough
-    starts = group_starts(mixed[at], at - np.arange(len(at)))
-    place = np.arange(len(at)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(at)]])))
-    at = at[place % width == 0]
+    # where one k-mer comes again and again, a place a window is enough
+    at = at[np.lexsort((at, mixed[at]))]
+    close = np.zeros(len(at), bool)
+    close[1:] = (mixed[at[1:]] == mixed[at[:-1]]) & (at[1:] - at[:-1] < width)
+    starts = np.flatnonzero(~close)
+    lap = (at - np.repeat(at[starts], np.diff(np.concatenate([starts, [len(at)]])))) // width
+    fresh = ~close
+    fresh[1:] |= lap[1:] != lap[:-1]
+    at = np.sort(at[fresh])
     return mixed[at], at
 
 
@@ -161,6 +166,26 @@ def chain(blocks: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]
     return chains
 
 
+def _needed(found: list[tuple]) -> list[tuple]:
+    """(start, end, row, blocks) in order of place, without chains that lie within a longer one that is sure to align.
+
+    A chain whose blocks fill SIMILARITY of it aligns as one part, so what lies within it adds no word.
+    """
+    kept, reach = [], []  # reach: disjoint, sorted (start, end) of sure chains
+    for item in sorted(found, key=lambda f: (f[0] - f[1], f[0])):
+        start, end, _, blocks = item
+        at = bisect.bisect_right(reach, (start, float("inf"))) - 1
+        if at >= 0 and end <= reach[at][1]:
+            continue
+        kept.append(item)
+        if sum(n for _, _, n in blocks) >= SIMILARITY * max(end - start, blocks[-1][1] + blocks[-1][2] - blocks[0][1]):
+            if at >= 0 and start <= reach[at][1]:
+                reach[at] = (reach[at][0], max(end, reach[at][1]))
+            else:
+                reach.insert(at + 1, (start, end))
+    return sorted(kept, key=lambda f: f[:2])
+
+
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Matches sorted by document, earlier document and place to chains that can be part of a passage."""
     reach = MIN_PART - 1  # a shared run ends this far beyond its last seed at most
@@ -185,7 +210,7 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                 blocks = list(zip(x[first[s:e]].tolist(), r[first[s:e]].tolist(), long[s:e].tolist(), strict=True))
                 found += [(c[0][0], c[-1][0] + c[-1][2], first[s], c) for c in chain(blocks)]
-            found.sort(key=lambda f: f[:2])
+            found = _needed(found)
             stretch: list = []
             low = high = 0
             for item in [*found, None]:
@@ -348,6 +373,7 @@ def find_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     seeds = written(keyed.mapInArrow(_emit_seeds, "seed long, id long, at long"), "passage-seeds")
     first = seeds.groupBy("seed").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n"))
     first = first.filter("n > 1").select("seed", F.col("first.id").alias("rid"), F.col("first.at").alias("rat"))
+    first = written(first, "passage-firsts")  # so that both sides of the join are exchanges, which AQE can split
     mark = lambda at: F.shiftright(at, 32).cast("int")
     place = lambda at: F.col(at).bitwiseAND((1 << 32) - 1).cast("int")
     met = seeds.join(first, "seed").select(
