@@ -244,11 +244,12 @@ def intent_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     f"""with {RECORDS}, b as (select split, intent_label, {BUCKETS} from records)
-    select split, intent_label, severity_bucket, count(*) as n from b group by all
-    union all select split, null, severity_bucket, count(*) from b group by all"""
+    select split, intent_label::varchar as intent_label, severity_bucket, count(*) as n from b group by all
+    union all select split, 'all', severity_bucket, count(*) from b group by all"""
 )
 def severity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.severity_report(_records(spark, sf_dir))
+    label = F.coalesce(F.col("intent_label").cast("string"), F.lit("all"))
+    return reports.severity_report(_records(spark, sf_dir)).withColumn("intent_label", label)
 
 
 @_query(f"with {RECORDS} select split, row_idx from records where ambiguity")
@@ -396,7 +397,7 @@ def augmented_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     ), base as (select * from cleaned where split = 'train')
     select row_idx, text_clean as text, false as is_adversarial_paraphrase, null::varchar as text_original_adv_source from base
     union all
-    select row_idx, replace(templates[(1 + {DRAW.format("'42|' || row_idx || '|none|1|wrapper'")} % 3)::int], '{{text}}', regexp_replace(text_clean, '\\.$', '')), true, text_clean
+    select row_idx, replace(templates[(1 + {DRAW.format("'42|' || row_idx || '|1|wrapper'")} % 3)::int], '{{text}}', regexp_replace(text_clean, '\\.$', '')), true, text_clean
     from base join wrappers on intent_label = for_label"""
 )
 def adversarial_train(spark: SparkSession, sf_dir: str) -> DataFrame:
