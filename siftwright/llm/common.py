@@ -60,7 +60,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     atexit.register(_forget, spark, path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that no later result reads."""
+    for table in tables:
+        _forget(table.sparkSession, table.scratch_path)
 
 
 def id_text(column: str | Column) -> Column:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwright.llm.common import WORD_BYTES, ascii_lower, group_starts, slices, whole_groups, written
+from siftwright.llm.common import WORD_BYTES, ascii_lower, discard, group_starts, slices, whole_groups, written
 
 K = 5
 WINDOW = 12
@@ -385,6 +385,7 @@ def find_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
         _chains, "id long, mark int, rid long, rmark int, xs array<int>, rs array<int>, ns array<int>"
     )
     chains = written(chains, "passage-chains")
+    discard(seeds, first)
 
     begin, end = (lambda a: F.element_at(a, 1)), (lambda a: F.element_at(a, -1) + F.element_at("ns", -1))
     theirs = chains.select("id", "mark", F.col("rid").alias("bid"), F.col("rmark").alias("bmark"), F.explode(_blocks_between(begin("rs"), end("rs"))).alias("block"))
@@ -441,7 +442,8 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
 def _cut(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for texts, spans in rows:
         yield pd.Series(
-            [cut_words(t, [(s["start"], s["end"]) for s in some]) for t, some in zip(texts, spans, strict=True)], dtype=object
+            [t if t is None else cut_words(t, [(s["start"], s["end"]) for s in some]) for t, some in zip(texts, spans, strict=True)],
+            dtype=object,
         )
 
 
@@ -459,11 +461,12 @@ def drop_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     t = F.col(text).cast("string")
     rows = docs.withColumns({"_sw_key": F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), "_sw_own": _mark(t)})
     met = rows.join(spans, (rows["_sw_key"] == spans["_sw_id"]) & (rows["_sw_own"] == spans["_sw_mark"]), "left")
-    met = written(met.drop("_sw_key", "_sw_own", "_sw_id", "_sw_mark"), "passage-rows")
-    whole = met.filter("_sw_spans is null").drop("_sw_spans")
-    cut = met.filter("_sw_spans is not null").withColumn(text, F.pandas_udf(_cut, "string").asNondeterministic()(t, F.col("_sw_spans")))
-    cut = cut.filter(F.col(text).rlike(r"[^\x20\x09-\x0D]")).drop("_sw_spans")
+    was_cut = F.col("_sw_spans").isNotNull()
+    cut = F.pandas_udf(_cut, "string").asNondeterministic()(F.when(was_cut, t), F.col("_sw_spans"))  # null where whole
+    met = met.withColumn("_sw_text", cut)
+    met = met.filter(~was_cut | F.col("_sw_text").rlike(r"[^\x20\x09-\x0D]"))
+    changed = {text: F.when(was_cut, F.col("_sw_text")).otherwise(F.col(text))}
     if length in docs.columns:
         kind = docs.schema[length].dataType
-        cut = cut.withColumn(length, F.length(text).cast(kind))
-    return whole.unionByName(cut).select(docs.columns)
+        changed[length] = F.when(was_cut, F.length("_sw_text").cast(kind)).otherwise(F.col(length))
+    return met.withColumns(changed).select(docs.columns)
