@@ -60,6 +60,7 @@ class Counter:
         self.vocabulary, self.most, self.cache = vocabulary, cache, {}
         self.lowest = min((s for _, s in vocabulary.pieces), default=0.0) - UNKNOWN_PENALTY
         self.scores = dict(vocabulary.pieces)
+        self.characters = {piece for piece in self.scores if len(piece) == 1}
 
     @cached_property
     def automaton(self) -> ahocorasick.Automaton:
@@ -78,8 +79,21 @@ class Counter:
             return re.compile(rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
         return re.compile(rf"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n+[^{SPACE}\n]*")
 
-    def viterbi(self, run: str) -> int:
+    def pieces_in(self, run: str) -> int:
         """Pieces on the best way through a run."""
+        if not self.characters.issuperset(run):
+            return self.viterbi(run)
+        # every character is a piece, so each place is reached; matches come by end, longest (first start) first
+        best, count = [0.0] + [float("-inf")] * len(run), [0] * (len(run) + 1)
+        for last, (length, score) in self.automaton.iter(run):
+            end = last + 1
+            total = best[end - length] + score
+            if total > best[end]:
+                best[end], count[end] = total, count[end - length] + 1
+        return count[-1]
+
+    def viterbi(self, run: str) -> int:
+        """The same for a run with unknown characters."""
         n = len(run)
         arrive: list[list[tuple[int, float]]] = [[] for _ in range(n)]  # by start: (end, score)
         for last, (length, score) in self.automaton.iter(run):
@@ -108,7 +122,7 @@ class Counter:
         for run in self.runs.findall(SPACE + text.replace(" ", SPACE)):
             n = cache.get(run)
             if n is None:
-                n = self.viterbi(run)
+                n = self.pieces_in(run)
                 if len(run) <= 64:
                     if len(cache) >= self.most:
                         cache.clear()

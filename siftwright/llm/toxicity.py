@@ -4,11 +4,11 @@ A text is the bag of its distinct words' subwords: each word with its ends marke
 share one table of embeddings, so a misspelling or an inflection that was never seen still has the n-grams of its
 word. The mean of the bag goes through a linear softmax; embeddings and softmax are trained jointly in numpy by
 full-batch gradient descent with Adam, on a bounded sample of labelled documents (whole texts): ``per_class`` of each
-class at most, those whose ids hash lowest. The bias is then moved towards the odds of all
-labelled rows.
+class at most, those whose ids hash lowest. The bias is then moved a part of the way towards
+the odds of all labelled rows.
 
-Since the softmax is linear, a word adds the same amount to the margin in every text: scoring sums cached amounts of
-words. Only texts and labels go in; language, source and id are no inputs.
+Since the softmax is linear, a word adds the same amount to the margin in every text: scoring sums what its subwords
+add. Only texts and labels go in; language, source and id are no inputs.
 
 Defined results: a null text is empty; a text without words scores by the bias alone; a document labelled more than
 once counts once, as toxic if any label says so; labels that are null or of unknown documents are left out; without
@@ -18,7 +18,6 @@ both classes every score is the share of toxic labels (0 without labels); repeat
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,11 +33,11 @@ FOLDS, HELD_OUT = 5, 0
 PER_CLASS = 1_500  #: documents of each class that are learned from
 BUCKETS = 1 << 18
 ORDERS = (3, 4, 5)
-ODDS_POWER = 0.5  #: of the labelled rows' odds that the bias takes: midway between even classes and theirs
+ODDS_POWER = 0.2  #: of the labelled rows' log-odds that the bias takes; the classes weigh the same in training
 MIN_USES = 20  #: occurrences of a subword in the sample, to have an embedding
 DIM = 4
 STEPS, RATE, DECAY, FLOOR = 100, 0.5, 0.01, 0.02
-CACHE = 200_000
+WORDS_AT_ONCE = 100_000  #: words whose n-grams are hashed in one go
 LONGEST = 40  #: characters of a word; a longer run of letters is cut into words of this length
 
 _WORD = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}")
@@ -48,11 +47,34 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def subwords(word: str) -> list[int]:
-    """Buckets of the marked word and of its n-grams."""
-    marked = f"<{word}>"
-    grams = [marked] + [marked[i : i + n] for n in ORDERS for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(g.encode("utf-8")) & (BUCKETS - 1) for g in grams]
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, index of its word) of all marked words and their n-grams, hashed by numpy."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "replace"), np.uint32)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    ends = np.cumsum(lengths)
+    owner, end = np.repeat(np.arange(len(words)), lengths), np.repeat(ends, lengths)
+    place = np.arange(len(codes))
+    inside = (place - (end - lengths[owner])).astype(np.uint32)
+    whole = np.add.reduceat((codes + np.uint32(7)) * (inside * np.uint32(0x9E3779B1) | np.uint32(1)), ends - lengths, dtype=np.uint32)
+    buckets, owners = [_mixed(whole, len(ORDERS) + 1)], [np.arange(len(words))]
+    rolled = codes.copy()
+    for order in range(2, max(ORDERS) + 1):
+        if len(codes) < order:
+            break
+        rolled = rolled[:-1] * np.uint32(0x85EBCA77) + codes[order - 1 :]
+        if order in ORDERS:
+            fits = place[: len(rolled)] + order <= end[: len(rolled)]
+            buckets.append(_mixed(rolled[fits], order))
+            owners.append(owner[: len(rolled)][fits])
+    return np.concatenate(buckets), np.concatenate(owners)
+
+
+def _mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
+    out = (hashes + np.uint32(salt)) * np.uint32(0xC2B2AE3D)
+    out = (out ^ (out >> np.uint32(15))) * np.uint32(0x27D4EB2F)
+    return ((out ^ (out >> np.uint32(13))) & np.uint32(BUCKETS - 1)).astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -68,29 +90,39 @@ class Model:
 
 class Scorer:
     def __init__(self, model: Model):
-        margin = np.zeros(BUCKETS, np.float64)
-        margin[model.buckets] = (model.softmax[1] - model.softmax[0]).astype(np.float64) @ model.embeddings
-        self.margin = margin
+        self.margin = np.zeros(BUCKETS, np.float64)
+        self.margin[model.buckets] = (model.softmax[1] - model.softmax[0]).astype(np.float64) @ model.embeddings
         self.bias = float(model.bias[1] - model.bias[0])
-        self.cache: dict[str, tuple[float, int]] = {}
 
-    def word(self, word: str) -> tuple[float, int]:
-        held = self.cache.get(word)
-        if held is None:
-            found = subwords(word)
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            held = self.cache[word] = (float(self.margin[found].sum()), len(found))
-        return held
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        total, n = np.zeros(len(texts)), np.zeros(len(texts))
+        words: list[str] = []
+        rows: list[int] = []
+        size = 0
+
+        def flush() -> None:
+            nonlocal words, rows, size
+            bucket, owner = subwords(words)
+            row = np.array(rows, np.int64)[owner]
+            total[:] += np.bincount(row, self.margin[bucket], len(texts))
+            n[:] += np.bincount(row, minlength=len(texts))
+            words, rows, size = [], [], 0
+
+        for i, text in enumerate(texts):
+            own = sorted(set(words_of(text)))
+            for at in range(0, len(own), WORDS_AT_ONCE):
+                part = own[at : at + WORDS_AT_ONCE]
+                words += part
+                rows += [i] * len(part)
+                size += len(part)
+                if size >= WORDS_AT_ONCE:
+                    flush()
+        flush()
+        margin = self.bias + np.divide(total, n, out=np.zeros(len(texts)), where=n > 0)
+        return 1 / (1 + np.exp(-np.clip(margin, -60, 60)))
 
     def score(self, text: str | None) -> float:
-        total, n = 0.0, 0
-        for word in set(words_of(text)):
-            amount, size = self.word(word)
-            total += amount
-            n += size
-        margin = self.bias + (total / n if n else 0.0)
-        return float(1 / (1 + np.exp(-np.clip(margin, -60, 60))))
+        return float(self.scores([text])[0])
 
 
 class _Sums:
@@ -121,19 +153,21 @@ class _Sums:
 def train(bags: list[tuple[int, list[str]]], toxic_share: float, seed: int = 7) -> Model:
     """bags: (label, distinct words) of each sampled document."""
     vocabulary: dict[str, int] = {}
-    doc = np.repeat(np.arange(len(bags)), [len(names) for _, names in bags])
-    word = np.array([vocabulary.setdefault(name, len(vocabulary)) for _, names in bags for name in names], np.int64)
-    parts = [subwords(name) for name in vocabulary]
-    sizes = np.array([len(p) for p in parts], np.int64)
-    bucket = np.array([b for p in parts for b in p], np.int64)
-    owner = np.repeat(np.arange(len(parts)), sizes)
-    seen = np.bincount(bucket, np.bincount(word, minlength=len(parts))[owner], BUCKETS)
+    doc = np.repeat(np.arange(len(bags)), [len(own) for _, own in bags])
+    word = np.array([vocabulary.setdefault(name, len(vocabulary)) for _, own in bags for name in own], np.int64)
+    names = list(vocabulary)
+    found = [subwords(names[at : at + WORDS_AT_ONCE]) for at in range(0, len(names), WORDS_AT_ONCE)] or [subwords([])]
+    bucket = np.concatenate([b for b, _ in found]).astype(np.int32)
+    owner = np.concatenate([o + i * WORDS_AT_ONCE for i, (_, o) in enumerate(found)]).astype(np.int32)
+    del found
+    sizes = np.bincount(owner, minlength=len(names))
+    seen = np.bincount(bucket, np.bincount(word, minlength=len(names))[owner], BUCKETS)
     buckets = np.flatnonzero(seen >= MIN_USES)
-    place = np.full(BUCKETS, -1)
+    place = np.full(BUCKETS, -1, np.int32)
     place[buckets] = np.arange(len(buckets))
     active = place[bucket] >= 0
-    spelled = _Sums(owner[active], place[bucket[active]], len(parts), len(buckets))
-    bag = _Sums(doc, word, len(bags), len(parts))
+    spelled = _Sums(owner[active], place[bucket[active]], len(names), len(buckets))
+    bag = _Sums(doc, word, len(bags), len(names))
     total = np.maximum(np.bincount(doc, sizes[word], len(bags)), 1).astype(np.float32)
     labels = np.array([label for label, _ in bags])
     wanted = np.eye(2, dtype=np.float32)[labels].T
@@ -218,7 +252,7 @@ def add_scores(docs: DataFrame, model: Model, *, text: str = "text", into: str =
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = held.value.scorer()
         for batch in texts:
-            yield pd.Series([scorer.score(t) for t in batch], dtype="float64")
+            yield pd.Series(scorer.scores(list(batch)), dtype="float64")
 
     return docs.withColumn(into, F.pandas_udf(scored, "double").asNondeterministic()(F.col(text).cast("string")))
 

@@ -92,7 +92,10 @@ def test_viterbi_equals_brute_force():
             for end, s, new in ways:
                 if end not in best or score + s > best[end][0]:
                     best[end] = (score + s, n + (not (unknown and new)), new)
-        assert counter.viterbi(run) == best[len(run)][1]
+        assert counter.viterbi(run) == counter.pieces_in(run) == best[len(run)][1]
+        plain = "".join(rng.choice("ab") for _ in range(9))
+        both = tokens.Counter(tokens.Vocabulary((*pieces.items(), ("a", -4.0), ("b", -5.0)), False))
+        assert both.viterbi(plain) == both.pieces_in(plain)
 
 
 def test_chats(spark):
