@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,7 +86,7 @@ def fold(column: str | Column, parts: int) -> Column:
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into slices of bounded text, so that long rows don't pile up in Python."""
     for batch in batches:
-        lengths = batch.column(column).to_pandas().map(len, na_action="ignore").fillna(0).to_numpy()
+        lengths = pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         start, total = 0, 0
         for i, n in enumerate(lengths):
             if total and total + n > most:

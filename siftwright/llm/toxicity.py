@@ -197,7 +197,7 @@ def train(bags: list[tuple[int, list[str]]], toxic_share: float, seed: int = 7)
             scale = np.sqrt(second[k] / (1 - 0.99**step))
             if k == "embeddings":
                 state[k] *= 1 - DECAY
-                scale += FLOOR * scale.max()  # what is rare or inconsistent moves less than what is frequent
+                scale += FLOOR * scale.max(initial=0)  # what is rare or inconsistent moves less than what is frequent
             state[k] -= np.float32(RATE) * (first[k] / (1 - 0.9**step)) / (scale + 1e-12)
     share = min(max(toxic_share, 1e-6), 1 - 1e-6)
     shift = np.array([0.0, np.log(share / (1 - share))])  # the classes weighed the same
