@@ -217,7 +217,8 @@ def near_links(prints: DataFrame) -> DataFrame:
     """
     rows = prints.select("fp").mapInArrow(_replicate, "anchor long, fp long, home boolean")
     hot = rows.groupBy("anchor").count().filter(F.col("count") > CELL)
-    hot = hot.select("anchor", F.ceil(F.col("count") / CELL).cast("int").alias("cuts"))
+    # written, so that the planner knows its size before it shuffles the replicas
+    hot = written(hot.select("anchor", F.ceil(F.col("count") / CELL).cast("int").alias("cuts")), "simhash-hot")
     dealt = rows.join(hot, "anchor", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("cuts").cast("long")).cast("int"))
     others = F.sequence(F.lit(0), F.col("cuts") - 1)
@@ -232,12 +233,13 @@ def near_links(prints: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row."""
-    return docs.select(F.col(doc_id).alias("doc_id"), fingerprint_of(F.col(text)).alias("fp"))
+    """(doc_id, text_hash, fp) of every row."""
+    t = F.col(text).cast("string")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(t).alias("text_hash"), fingerprint_of(t).alias("fp"))
 
 
 def group_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint as a long) and component_id of every row."""
+    """doc_id, text_hash, fp (the fingerprint as a long), component_fp and component_id of every row."""
     rows = written(fingerprints(docs, doc_id=doc_id, text=text), "simhash")
     first = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     first = written(first, "simhash-distinct")
@@ -245,9 +247,13 @@ def group_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str
     tree = stars.select(F.col("a").alias("fp"), F.col("b").alias("root")).union(stars.select("b", "b").distinct())
     joined = tree.join(first, "fp")
     roots = joined.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    linked = joined.select("fp", "root").join(roots, "root").select("fp", "least_id")
-    ids = first.join(linked, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
-    return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
+    linked = joined.select("fp", "root").join(roots, "root")
+    ids = first.join(linked, "fp", "left").select(
+        "fp",
+        F.coalesce("root", "fp").alias("component_fp"),
+        F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("least_id")).alias("component_id"),
+    )
+    return rows.join(ids, "fp").select("doc_id", "text_hash", "fp", "component_fp", "component_id")
 
 
 def fingerprint_hex(fp: str = "fp"):
@@ -257,18 +263,19 @@ def fingerprint_hex(fp: str = "fp"):
 def keep_one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest id stays.
 
-    Of rows that repeat that id, the one with the smallest text stays; of rows without any id, likewise.
+    Of rows that repeat that id, the one with the smallest hash of its text stays, then of its whole row; of rows
+    without any id, likewise. What stays grows with the documents, so the join to them is never a broadcast.
     """
-    groups = group_near_duplicates(docs, doc_id=doc_id, text=text)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = written(kept.groupBy(F.col("doc_id").alias("_sw_id")).agg(F.count("*").alias("_sw_rows")), "simhash-kept")
-    rows = docs.join(kept, docs[doc_id].eqNullSafe(kept["_sw_id"]), "inner").drop("_sw_id")
+    groups = group_near_duplicates(docs, doc_id=doc_id, text=text).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    texts = groups.groupBy("component_fp", "text_hash", "doc_id").agg(F.count("*").alias("rows"))
+    best = texts.groupBy("component_fp").agg(F.min(F.struct("text_hash", "doc_id", "rows")).alias("best"))
+    kept = best.select(F.col("best.doc_id").alias("_sw_id"), F.col("best.text_hash").alias("_sw_hash"), F.col("best.rows").alias("_sw_rows"))
+    kept = written(kept, "simhash-kept")
+    same = docs[doc_id].eqNullSafe(kept["_sw_id"]) & (F.xxhash64(docs[text].cast("string")) == kept["_sw_hash"])
+    rows = docs.join(kept.hint("merge"), same, "inner")
     if kept.filter("_sw_rows > 1").isEmpty():
-        return rows.drop("_sw_rows").select(docs.columns)
+        return rows.select(docs.columns)
     once = rows.filter("_sw_rows = 1").select(docs.columns)
-    more = rows.filter("_sw_rows > 1").withColumn("_sw_fp", fingerprint_of(F.col(text)))
-    groups = groups.select(F.col("doc_id").alias("_sw_id"), F.col("fp").alias("_sw_fp"), "component_id").distinct()
-    more = more.join(groups, more[doc_id].eqNullSafe(groups["_sw_id"]) & (more["_sw_fp"] == groups["_sw_fp"]))
-    more = more.filter(F.col(doc_id).eqNullSafe(F.col("component_id")))
-    picked = more.groupBy("component_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce(F.col(text), F.lit(""))).alias("_sw_row"))
-    return once.unionByName(picked.select("_sw_row.*"))
+    whole = F.struct(*docs.columns)
+    more = rows.filter("_sw_rows > 1").groupBy("_sw_id", "_sw_hash").agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("_sw_row"))
+    return once.unionByName(more.select("_sw_row.*"))

@@ -110,9 +110,9 @@ def test_dense_and_hot_cells(spark, monkeypatch):
 
 
 def test_repeated_ids_and_empty(spark):
-    df = spark.createDataFrame([(1, "b", "p"), (1, "b", "q"), (None, "zz yy", "r"), (None, "zz yy", "s"), (2, "B", "t")], "doc_id long, text string, x string")
+    df = spark.createDataFrame([(1, "b", "p"), (1, "b", "q"), (None, "zz yy", "r"), (None, "zz yy", "s"), (2, "B", "t"), (1, "", "u"), (0, " ", "v"), (None, "other words here too", "w")], "doc_id long, text string, x string")
     kept = simhash.keep_one_of_each(df).collect()
-    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, "zz yy"), (1, "b")]
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, " "), (0, "other words here too"), (0, "zz yy"), (1, "b")]
     assert simhash.keep_one_of_each(df.limit(0)).count() == 0
 
 
