@@ -392,7 +392,8 @@ def find_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     ours = chains.select("id", "mark", F.col("id").alias("bid"), F.col("mark").alias("bmark"), F.explode(_blocks_between(begin("xs"), end("xs"))).alias("block"))
     needs = theirs.union(ours).distinct()
     wanted = needs.select("bid", "bmark", "block").distinct().groupBy("bid", "bmark").agg(F.collect_list("block").alias("wanted"))
-    texts = keyed.withColumnsRenamed({"id": "bid", "mark": "bmark"}).join(wanted, ["bid", "bmark"])
+    # what is wanted grows with the documents: never a broadcast
+    texts = keyed.withColumnsRenamed({"id": "bid", "mark": "bmark"}).join(wanted.hint("merge"), ["bid", "bmark"])
     blocks = texts.mapInArrow(_emit_blocks, "bid long, bmark int, block int, words binary")
     none = F.lit(None).cast("array<int>")
     fetched = needs.join(blocks, ["bid", "bmark", "block"]).select(
@@ -460,7 +461,7 @@ def drop_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     spans = written(spans, "passage-spans")
     t = F.col(text).cast("string")
     rows = docs.withColumns({"_sw_key": F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), "_sw_own": _mark(t)})
-    met = rows.join(spans, (rows["_sw_key"] == spans["_sw_id"]) & (rows["_sw_own"] == spans["_sw_mark"]), "left")
+    met = rows.join(spans.hint("merge"), (rows["_sw_key"] == spans["_sw_id"]) & (rows["_sw_own"] == spans["_sw_mark"]), "left")
     was_cut = F.col("_sw_spans").isNotNull()
     cut = F.pandas_udf(_cut, "string").asNondeterministic()(F.when(was_cut, t), F.col("_sw_spans"))  # null where whole
     met = met.withColumn("_sw_text", cut)
