@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftwright.llm.common import WORD, id_text
+from siftwright.llm.common import WORD, id_text, written
 
 WEIGHTS = (5, 2, 1)  #: by the source's rank, repeating
 SHARE = 1.5
@@ -80,6 +80,7 @@ def mix(
     """
     sizes = docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
     plan = source_targets(sizes, **targets).select([F.col(c).alias(f"_sw_{c}") for c in ("source", "source_size", "target", "rate")])
+    plan = written(plan, "mix-plan")  # so that the planner knows its size before it shuffles texts
     rows = docs.withColumn("_sw_size", word_count(F.col(text)))
     joined = rows.join(plan, rows[source].eqNullSafe(plan["_sw_source"]), "left")
     return joined.withColumn("_sw_copies", copies(F.col("_sw_rate"), id_text(doc_id), seed)).drop("_sw_source", "_sw_rate")
