@@ -167,7 +167,13 @@ def near_dedup_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_deduplicate(_exact(spark, sf_dir), mode="lsh").select("split", "row_idx")
 
 
-@_query()
+@_query(
+    f"""with {PAIRS}, hits as (
+      select split, r_row as row_idx, min(l_row) as matched_row from pairs p
+      where not exists (select 1 from pairs q where q.split = p.split and q.r_row = p.l_row) group by all
+      qualify row_number() over (partition by split order by r_row) <= 10)
+    select split, row_idx, matched_row, substr(text_clean, 1, 120) as duplicate_text_preview from hits join cleaned using (split, row_idx)"""
+)
 def near_dedup_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicate_examples(_exact(spark, sf_dir))
 
@@ -380,7 +386,59 @@ def balance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.agg((F.count("*") - added).alias("before_rows"), F.count("*").alias("after_rows"), added.alias("added_rows"))
 
 
-@_query()
+def _key_draw(*parts: str) -> str:
+    """SQL of a draw for a row of augmented_train; parts are SQL texts."""
+    return DRAW.format(" || '|' || ".join(["'42'", "row_idx", "'false'", "'1'", *parts]))
+
+
+_UNIT = "/ 1152921504606846976::double"
+AUGMENTED = (
+    TARGETS
+    + ", "
+    + FRAGMENTS
+    + f""", aware as (
+  select row_idx, case when len(f) > 0 then text_clean || ' [decoded_context: ' || array_to_string([x for x, i in f if list_position(f, x) = i][1:2], ' | ') || ']' else text_clean end as t
+  from fragments
+), rows as (
+  select c.row_idx, t, intent_label, (1 + {_key_draw("'method'").replace("row_idx", "c.row_idx")} % 3)::int as method,
+    {_key_draw("'gate'").replace("row_idx", "c.row_idx")} {_UNIT} as gate
+  from cleaned c join aware using (row_idx) where split = 'train'
+), minor as (
+  select * from rows where intent_label in (select intent_label from counts where n < 0.75 * (select max(n) from counts))
+), split_words as (
+  select *, [x for x in regexp_split_to_array(t, '[\\s\\p{{Z}}]+') if x <> ''] as w from minor
+), terms as (
+  select *, list_transform(w, lambda x: regexp_replace(lower(x), '^[.,!?]+|[.,!?]+$', '', 'g')) as bare from split_words
+), synonyms as (
+  select map {{'ignore': ['disregard', 'override', 'bypass'], 'instruction': ['directive', 'command', 'prompt'], 'system': ['internal', 'core', 'hidden'],
+    'prompt': ['instruction', 'query', 'input'], 'reveal': ['expose', 'leak', 'disclose'], 'secret': ['hidden', 'confidential', 'private'],
+    'admin': ['root', 'superuser', 'privileged']}} as s
+), placed as (
+  select terms.*, s, [i for i in range(len(w)) if len(s[bare[i + 1]]) > 0] as spots from terms, synonyms
+), chosen as (
+  select *, case when len(spots) > 0 then list_sort([{{'u': {_key_draw("'place'", "i")} {_UNIT}, 'i': i}} for i in spots])[1].i end as p from placed
+), replaced as (
+  select *, case when p is null then t else array_to_string(w[1:p] || [s[bare[p + 1]][(1 + {_key_draw("'synonym'", "p")} % 3)::int]] || w[p + 2:], ' ') end as synonym from chosen
+), swaps as (
+  select *, [x for x in regexp_split_to_array(synonym, '[\\s\\p{{Z}}]+') if x <> ''] as v, {_key_draw("'swaps'")} {_UNIT} as swap_draw from replaced
+), swapped as (
+  select *, 1 + ({_key_draw("'swap'")} % greatest(len(v) - 1, 1))::int as q from swaps
+), made as (
+  select row_idx, t, method, case
+    when method = 1 and gate < 0.25 then synonym
+    when method = 2 and gate < 0.10 then array_to_string([case when regexp_matches(c, '\\p{{L}}') and {_key_draw("'noise'", "i - 1")} {_UNIT} < 0.04 then c || c else c end for c, i in string_split(t, '')], '')
+    when method = 3 and swap_draw < 0.5 and len(v) >= 3 then array_to_string(v[1:q - 1] || [v[q + 1], v[q]] || v[q + 2:], ' ')
+    when method = 3 then synonym else t end as new
+  from swapped
+)"""
+)
+
+
+@_query(
+    f"""with {RECORDS}, {AUGMENTED}
+    select row_idx, text_clean as text, false as is_augmented, 'none' as augment_method, null::varchar as text_original_aug_source from cleaned where split = 'train'
+    union all select row_idx, new, true, ['synonym', 'noise', 'paraphrase'][method], t from made where new <> t"""
+)
 def augmented_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rec.add_obfuscation_columns(_train(spark, sf_dir))
     return augment.augment_training(rows).select("row_idx", "text", "is_augmented", "augment_method", "text_original_aug_source")
@@ -463,7 +521,11 @@ def macro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(*(F.round(c, 9).alias(c) for c in scored.columns))
 
 
-@_query()
+@_query(
+    f"""with {RECORDS}, c as (select split, count(*) as n from records group by split)
+    select 'tm-' || substr(sha256('{{"dataset_config": "multiclass", "dataset_name": "documents", "seed": 42, "split_counts": {{' ||
+      string_agg('"' || split || '": ' || n, ', ' order by split) || '}}}}'), 1, 12) as snapshot_id from c"""
+)
 def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = {r["split"]: r["count"] for r in _records(spark, sf_dir).groupBy("split").count().collect()}
     return spark.createDataFrame([(snapshot_id("documents", "multiclass", 42, counts),)], "snapshot_id string")
