@@ -170,7 +170,7 @@ def near_dedup_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(
     f"""with {PAIRS}, hits as (
       select split, r_row as row_idx, min(l_row) as matched_row from pairs p
-      where not exists (select 1 from pairs q where q.split = p.split and q.r_row = p.l_row) group by all
+      where not exists (select 1 from pairs q where q.split = p.split and q.r_row = p.l_row) group by split, r_row
       qualify row_number() over (partition by split order by r_row) <= 10)
     select split, row_idx, matched_row, substr(text_clean, 1, 120) as duplicate_text_preview from hits join cleaned using (split, row_idx)"""
 )
