@@ -45,21 +45,12 @@ def base64_fragments(text: Column) -> Column:
     return let(found, lambda m: F.filter(F.transform(m, decode_base64), lambda x: x.isNotNull() & (x != "")))
 
 
-def _with_context(cleaned: Column, fragments: Column) -> Column:
+def decoded_context(fragments: Column) -> Column:
+    """What is appended to a text with decoded fragments: the first two distinct ones; else nothing."""
     shown = F.array_join(F.slice(F.array_distinct(fragments), 1, CONTEXT_FRAGMENTS), " | ")
-    return F.when(F.size(fragments) > 0, F.concat(cleaned, F.lit(" [decoded_context: "), shown, F.lit("]"))).otherwise(cleaned)
+    return F.when(F.size(fragments) > 0, F.concat(F.lit(" [decoded_context: "), shown, F.lit("]"))).otherwise("")
 
 
 def obfuscation_aware_text(text: Column, config: CleaningConfig = CleaningConfig()) -> Column:
     """Cleaned text that keeps its case, with up to two distinct decoded fragments appended."""
-    return _with_context(clean_text(text, config), base64_fragments(text))
-
-
-def obfuscation_columns(text: Column) -> dict[str, Column]:
-    types = obfuscation_types(text)
-    return {
-        "text_obfuscation_aware": obfuscation_aware_text(text),
-        "obfuscation_detected": F.size(types) > 0,
-        "obfuscation_types": F.array_join(types, ","),
-        "obfuscation_decoded_count": F.size(base64_fragments(text)),
-    }
+    return F.concat(clean_text(text, config), decoded_context(base64_fragments(text)))

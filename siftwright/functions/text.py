@@ -28,7 +28,9 @@ def _nfkc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def normalize_unicode(text: Column) -> Column:
-    return F.coalesce(F.pandas_udf(_nfkc, "string")(F.when(text.rlike(r"[^\x00-\x7f]"), text)), text)
+    """NFKC. The kernel is declared as not deterministic, so that Catalyst never runs it again to push a filter down."""
+    kernel = F.pandas_udf(_nfkc, "string").asNondeterministic()
+    return F.coalesce(kernel(F.when(text.rlike(r"[^\x00-\x7f]"), text)), text)
 
 
 def remove_control_characters(text: Column) -> Column:

@@ -40,7 +40,8 @@ def exact_deduplicate(df: DataFrame) -> DataFrame:
 
 def exact_report(df: DataFrame) -> DataFrame:
     digest = fingerprint_digest(F.col(text_column(df, "text_clean", "text")))
-    counted = df.groupBy("split").agg(F.count("*").alias("input_rows"), F.countDistinct(digest).alias("output_rows"))
+    marked = df.select("split", digest.alias("digest"))
+    counted = marked.groupBy("split").agg(F.count("*").alias("input_rows"), F.countDistinct("digest").alias("output_rows"))
     return counted.withColumn("exact_removed", F.col("input_rows") - F.col("output_rows"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwright.config import CleaningConfig
-from siftwright.functions.obfuscation import obfuscation_columns
+from siftwright.functions.obfuscation import base64_fragments, decoded_context, obfuscation_types
 from siftwright.functions.text import clean_text
 
 #: Buckets by highest severity.
@@ -47,4 +47,14 @@ def add_derived_columns(df: DataFrame) -> DataFrame:
 
 
 def add_obfuscation_columns(df: DataFrame) -> DataFrame:
-    return df.withColumns(obfuscation_columns(F.col(text_column(df, "text_clean", "text"))))
+    """Flags, decoded fragments and cleaned text of the text column; each array is computed once."""
+    text = F.col(text_column(df, "text_clean", "text"))
+    found = df.withColumns({"_fragments": base64_fragments(text), "_types": obfuscation_types(text), "_cleaned": clean_text(text)})
+    return found.withColumns(
+        {
+            "text_obfuscation_aware": F.concat("_cleaned", decoded_context(F.col("_fragments"))),
+            "obfuscation_detected": F.size("_types") > 0,
+            "obfuscation_types": F.array_join("_types", ","),
+            "obfuscation_decoded_count": F.size("_fragments"),
+        }
+    ).drop("_fragments", "_types", "_cleaned")
