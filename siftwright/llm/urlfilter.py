@@ -78,11 +78,18 @@ class DigestRules:
         self.labels = max((r.host.count(".") + 1 for r in ordered), default=0)
         self.prefixes = sorted({len(r.path) for r in ordered})
 
+    @property
+    def body(self) -> list[bytes]:
+        return [f"{r.host}\n{r.path}\n{r.verdict}".encode() for r in self.rules]
+
+    @property
+    def digest(self) -> str:
+        return hashlib.sha256(b"\0".join(self.body)).hexdigest()[:16]
+
     def write(self, folder: str) -> str:
-        """keys, then each rule's host, path and verdict with their ends: one NPZ-free pair of flat NPY files."""
-        body = [f"{r.host}\n{r.path}\n{r.verdict}".encode() for r in self.rules]
+        """Flat NPY files: the keys, and each rule's host, path and verdict with their ends."""
+        body, digest = self.body, self.digest
         ends = np.cumsum([0] + [len(b) for b in body], dtype=np.int64)
-        digest = hashlib.sha256(b"\0".join(body) + self.default.encode()).hexdigest()[:16]
         os.makedirs(path := os.path.join(folder, f"rules-{digest}"), exist_ok=True)
         np.save(f"{path}/keys-{digest}.npy", self.keys)
         np.save(f"{path}/ends-{digest}.npy", ends)
@@ -135,17 +142,29 @@ def judge(urls: Iterable[str | None], table: Mapped, labels: int, prefixes: list
     return [(*parts[i], *(best[i][1:] if i in best else (None, default))) for i in range(len(parts))]
 
 
+#: File names by application and digest: a file is registered once, under one path.
+_SHIPPED: dict[tuple[str, str], dict[str, str]] = {}
+
+
+def _ship(spark: SparkSession, rules: DigestRules) -> dict[str, str]:
+    """Send the rules' files to the executors; names by kind."""
+    key = spark.sparkContext.applicationId, rules.digest
+    if key not in _SHIPPED:
+        folder = rules.write(tempfile.mkdtemp(prefix="siftwright-rules-"))
+        names = sorted(os.listdir(folder))
+        for name in names:
+            spark.sparkContext.addFile(os.path.join(folder, name))
+        _SHIPPED[key] = {name.split("-")[0]: name for name in names}
+    return _SHIPPED[key]
+
+
 def filter_urls(
     df: DataFrame, rules: Iterable[Rule], *, page_id: str = "page_id", url: str = "url", default: str = "allow"
 ) -> DataFrame:
     """page_id, host, path, rule and verdict of every row's url."""
     spark: SparkSession = df.sparkSession
     made = DigestRules(rules, default)
-    folder = made.write(tempfile.mkdtemp(prefix="siftwright-rules-"))
-    names = sorted(os.listdir(folder))
-    for name in names:
-        spark.sparkContext.addFile(os.path.join(folder, name))
-    by_kind = {name.split("-")[0]: name for name in names}
+    by_kind = _ship(spark, made)
     labels, prefixes = made.labels, made.prefixes
 
     @F.pandas_udf("host string, path string, rule string, verdict string")
