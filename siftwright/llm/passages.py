@@ -166,26 +166,6 @@ def chain(blocks: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]
     return chains
 
 
-def _needed(found: list[tuple]) -> list[tuple]:
-    """(start, end, row, blocks) in order of place, without chains that lie within a longer one that is sure to align.
-
-    A chain whose blocks fill SIMILARITY of it aligns as one part, so what lies within it adds no word.
-    """
-    kept, reach = [], []  # reach: disjoint, sorted (start, end) of sure chains
-    for item in sorted(found, key=lambda f: (f[0] - f[1], f[0])):
-        start, end, _, blocks = item
-        at = bisect.bisect_right(reach, (start, float("inf"))) - 1
-        if at >= 0 and end <= reach[at][1]:
-            continue
-        kept.append(item)
-        if sum(n for _, _, n in blocks) >= SIMILARITY * max(end - start, blocks[-1][1] + blocks[-1][2] - blocks[0][1]):
-            if at >= 0 and start <= reach[at][1]:
-                reach[at] = (reach[at][0], max(end, reach[at][1]))
-            else:
-                reach.insert(at + 1, (start, end))
-    return sorted(kept, key=lambda f: f[:2])
-
-
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Matches sorted by document, earlier document and place to chains that can be part of a passage."""
     reach = MIN_PART - 1  # a shared run ends this far beyond its last seed at most
@@ -210,7 +190,7 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                 blocks = list(zip(x[first[s:e]].tolist(), r[first[s:e]].tolist(), long[s:e].tolist(), strict=True))
                 found += [(c[0][0], c[-1][0] + c[-1][2], first[s], c) for c in chain(blocks)]
-            found = _needed(found)
+            found.sort(key=lambda f: f[:2])  # all of them: whether a chain aligns as one part shows only in align()
             stretch: list = []
             low = high = 0
             for item in [*found, None]:

@@ -82,6 +82,15 @@ def test_fuzzy_passages_and_clean_documents(spark):
     assert all(len(WORD.findall(left.get(i, ""))) < len(WORD.findall(texts[i])) - 45 for i in found)
 
 
+def test_repeat_in_the_gap_of_a_longer_chain_is_found(spark):
+    make = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    one, two, gap, other = make("a", 400), make("b", 400), make("q", 100), make("r", 100)
+    rows = [(1, f"{one} {gap} {two}"), (2, f"{make('c', 30)} {other} {make('d', 30)}"), (3, f"{one} {other} {two}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [(r["doc_id"], r["start_word"], r["end_word"]) for r in passages.list_passages(df).collect()] == [(3, 0, 900)]
+    assert {r["doc_id"] for r in passages.drop_passages(df).collect()} == {1, 2}
+
+
 def test_edges(spark):
     long = " ".join(f"v{i}" for i in range(80))
     again = "spam spam " * 300
