@@ -6,9 +6,10 @@
    seed that thousands of documents share gives one match each, never pairs among them.
 3. Chains. A document's matches are at most its seeds. Those on one diagonal merge; blocks with one earlier document
    are chained in order of both texts with linear gap costs, the best predecessor coming from a Fenwick tree of prefix
-   maxima. Stretches that can't reach ``MIN_WORDS`` are left out.
+   maxima. Every chain is aligned: edits can leave a passage a single seed.
 4. Alignment. The words around each chain are fetched in blocks of hashes, gaps are aligned word by word, and ends
-   are extended as long as words agree. Parts with 0.8 or more of their words aligned stay.
+   are extended by up to ``MARGIN`` words, over inserted and deleted ones as well. Parts with 0.8 or more of their
+   words aligned stay.
 5. Passages. A document's aligned parts are merged; merged stretches of ``MIN_WORDS`` or more are its passages.
 
 Words are white-space separated, A-Z lower-cased. A repeat within one document is none. Defined results: null, empty
@@ -36,9 +37,10 @@ MIN_WORDS = 50
 MIN_PART = K + WINDOW - 1
 SIMILARITY = 0.8
 GAP_COST = 0.25  #: of a word that a chain skips in either text
-MARGIN = 24  #: words fetched beyond a chain's ends
+MARGIN = 64  #: words fetched beyond a chain's ends
 BLOCK = 128  #: words of a fetched block
 JOINED = 2  #: words between parts that are still one passage
+LOOK = 12  #: words searched in each text for the place where a broken off extension goes on
 WIDE_GAP = 64  #: words of a gap that is aligned by dynamic programming; a wider one splits the part
 NO_ID = -(1 << 63)
 
@@ -167,8 +169,10 @@ def chain(blocks: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]
 
 
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches sorted by document, earlier document and place to chains that can be part of a passage."""
-    reach = MIN_PART - 1  # a shared run ends this far beyond its last seed at most
+    """Matches sorted by document, earlier document and place to chains.
+
+    None is too short: edits can leave a passage a single seed.
+    """
     for table in whole_groups(batches, ["id", "mark"]):
         id_, mark, rid, rmark, x, r = (table.column(c).to_numpy() for c in ("id", "mark", "rid", "rmark", "x", "r"))
         x, r = x.astype(np.int64), r.astype(np.int64)
@@ -190,17 +194,7 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                 blocks = list(zip(x[first[s:e]].tolist(), r[first[s:e]].tolist(), long[s:e].tolist(), strict=True))
                 found += [(c[0][0], c[-1][0] + c[-1][2], first[s], c) for c in chain(blocks)]
-            found.sort(key=lambda f: f[:2])  # all of them: whether a chain aligns as one part shows only in align()
-            stretch: list = []
-            low = high = 0
-            for item in [*found, None]:
-                if item is None or (stretch and item[0] - reach > high + reach):
-                    if stretch and high - low + 2 * reach >= MIN_WORDS:
-                        rows += stretch
-                    stretch = []
-                if item is not None:
-                    low, high = (min(low, item[0]), max(high, item[1])) if stretch else item[:2]
-                    stretch.append(item)
+            rows += sorted(found, key=lambda f: f[:2])  # all of them: what a chain holds shows only in align()
         at = np.array([row for *_, row, _ in rows], np.int64)
         columns = [[[block[i] for block in c] for *_, c in rows] for i in range(3)]
         yield pa.RecordBatch.from_arrays(
@@ -235,13 +229,41 @@ def _gap(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def _extend(same: np.ndarray) -> tuple[int, int]:
-    """(words, agreeing words) to go on: the best sum of +1 for agreeing and -2 for other words."""
-    if not len(same) or not same[:3].any():
-        return 0, 0
-    sums = np.cumsum(np.where(same, 1, -2))
+def _run(a: np.ndarray, b: np.ndarray, cost: int) -> tuple[int, int, int]:
+    """(words, agreeing words, sum) of the best sum of +1 for agreeing and -cost for other words; 0 is a word not fetched."""
+    n = min(len(a), len(b))
+    same = (a[:n] == b[:n]) & (a[:n] != 0)
+    if not same.any():
+        return 0, 0, 0
+    sums = np.cumsum(np.where(same, 1, -cost))
     best = int(sums.argmax())
-    return (best + 1, int(same[: best + 1].sum())) if sums[best] > 0 else (0, 0)
+    return (best + 1, int(same[: best + 1].sum()), int(sums[best])) if sums[best] > 0 else (0, 0, 0)
+
+
+def _extend(a: np.ndarray, b: np.ndarray, cost: int = 2) -> tuple[int, int, int]:
+    """(words of a, words of b, agreeing words) to go on, over words inserted or deleted as well.
+
+    Where a run breaks off, the nearest three agreeing words within LOOK words of each text take it on. The best sum of
+    +1 for agreeing and -cost for other words is kept; it's given up at LOOK * cost below the best.
+    """
+    i, agree, score = _run(a, b, cost)
+    j = i
+    best, most = (i, j, agree), score
+    while True:
+        p, q = a[i : i + LOOK], b[j : j + LOOK]
+        if min(len(p), len(q)) < 3:
+            return best
+        met = (p[:, None] == q) & (p != 0)[:, None]
+        three = np.argwhere(met[:-2, :-2] & met[1:-1, 1:-1] & met[2:, 2:])
+        if not len(three):
+            return best
+        di, dj = min(three.tolist(), key=lambda at: (max(at), sum(at)))
+        n, more, gain = _run(a[i + di :], b[j + dj :], cost)
+        i, j, agree, score = i + di + n, j + dj + n, agree + more, score + gain - cost * max(di, dj)
+        if score > most:
+            best, most = (i, j, agree), score
+        elif score < most - LOOK * cost:
+            return best
 
 
 def align(x: np.ndarray, r: np.ndarray, blocks: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
@@ -263,14 +285,14 @@ def align(x: np.ndarray, r: np.ndarray, blocks: list[tuple[int, int, int]]) -> l
         parts.append((bx, bx + n, br, br + n, agree))
     out = []
     for sx, ex, sr, er, agree in parts:
-        back = min(sx, sr, MARGIN)
-        ahead = min(len(x) - ex, len(r) - er, MARGIN)
-        known = lambda a, b: (a == b) & (a != 0)
-        left, more_left = _extend(known(x[sx - back : sx], r[sr - back : sr])[::-1])
-        right, more_right = _extend(known(x[ex : ex + ahead], r[er : er + ahead]))
-        part = (sx - left, ex + right, sr - left, er + right, agree + more_left + more_right)
-        if part[4] >= SIMILARITY * max(part[1] - part[0], part[3] - part[2]):
-            out.append(part)
+        before = x[max(sx - MARGIN, 0) : sx][::-1], r[max(sr - MARGIN, 0) : sr][::-1]
+        behind = x[ex : ex + MARGIN], r[er : er + MARGIN]
+        for cost in (2, 4):  # at 4 an extension has SIMILARITY itself
+            (xl, rl, more_left), (xr, rr, more_right) = _extend(*before, cost), _extend(*behind, cost)
+            part = (sx - xl, ex + xr, sr - rl, er + rr, agree + more_left + more_right)
+            if part[4] >= SIMILARITY * max(part[1] - part[0], part[3] - part[2]):
+                out.append(part)
+                break
     return out
 
 

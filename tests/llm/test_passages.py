@@ -91,6 +91,27 @@ def test_repeat_in_the_gap_of_a_longer_chain_is_found(spark):
     assert {r["doc_id"] for r in passages.drop_passages(df).collect()} == {1, 2}
 
 
+def test_edited_passage_with_a_single_seed_is_found():
+    make = lambda name, n: [f"{name}{i}" for i in range(n)]
+    one, two = make("a", 80) + make("p", 60) + make("b", 80), make("c", 80) + make("p", 60) + make("d", 80)
+    for i in (83, 92, 97, 109, 114, 120, 127, 133):
+        two[i] = "edited"
+    two.insert(104, "more")
+    hashes = passages.WordHashes()
+    x, r = (hashes.of(" ".join(t)).astype("uint32") for t in (two, one))
+    found = passages.merge([(*p, 1) for p in passages.align(x, r, [(98, 98, 5)])])
+    assert [(s, e) for s, e, _ in found] == [(80, 141)]
+    assert passages._extend(x[:0], r[:9]) == (0, 0, 0)
+
+
+def test_no_chain_is_too_short_for_alignment(spark):
+    shared = [f"p{i}" for i in range(60)]
+    edited = [w if i % 8 else "edited" for i, w in enumerate(shared)]
+    rows = [(i, " ".join([f"{i}x{j}" for j in range(60)] + t + [f"{i}y{j}" for j in range(60)])) for i, t in enumerate([shared, edited])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [(r["doc_id"], r["n_words"] >= 50) for r in passages.list_passages(df).collect()] == [(1, True)]
+
+
 def test_edges(spark):
     long = " ".join(f"v{i}" for i in range(80))
     again = "spam spam " * 300
