@@ -11,6 +11,10 @@
    are extended by up to ``MARGIN`` words, over inserted and deleted ones as well. Parts with 0.8 or more of their
    words aligned stay.
 5. Passages. A document's aligned parts are merged; merged stretches of ``MIN_WORDS`` or more are its passages.
+6. Windows. A seed meets its first place only, which may hold nothing but a line of the passage. Where all seeds of
+   ``MIN_WORDS`` words have an earlier place and no passage holds them, the words have an anchor, their least seed; all
+   places of anchors give hashes of their whole windows, and each hash's first place is joined. So an exact repeat of
+   ``MIN_WORDS`` words is found whoever else holds its seeds.
 
 Words are white-space separated, A-Z lower-cased. A repeat within one document is none. Defined results: null, empty
 and short texts have no passage; rows that share id and text are one document; rows that share an id alone are told
@@ -44,6 +48,7 @@ LOOK = 12  #: words searched in each text for the place where a broken off exten
 WIDE_GAP = 64  #: words of a gap that is aligned by dynamic programming; a wider one splits the part
 NO_ID = -(1 << 63)
 
+_POWERS = np.cumprod(np.full(MIN_WORDS, 0x9E3779B97F4A7C15, np.uint64))
 _SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -169,13 +174,16 @@ def chain(blocks: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]
 
 
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches sorted by document, earlier document and place to chains.
+    """Matches sorted by document, earlier document and place to chains, and each document's matches (rid is null).
 
-    None is too short: edits can leave a passage a single seed.
+    No chain is too short: edits can leave a passage a single seed.
     """
     for table in whole_groups(batches, ["id", "mark"]):
-        id_, mark, rid, rmark, x, r = (table.column(c).to_numpy() for c in ("id", "mark", "rid", "rmark", "x", "r"))
+        id_, mark, rid, rmark, x, r, seed = (table.column(c).to_numpy() for c in ("id", "mark", "rid", "rmark", "x", "r", "seed"))
         x, r = x.astype(np.int64), r.astype(np.int64)
+        own = group_starts(id_, mark)
+        met = [np.split(v, own[1:]) for v in (x, seed)]
+        owner = id_[own], mark[own]
         pair = np.zeros(len(x), np.int64)
         pair[group_starts(id_, mark, rid, rmark)] = 1
         pair = np.cumsum(pair)
@@ -197,10 +205,12 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows += sorted(found, key=lambda f: f[:2])  # all of them: what a chain holds shows only in align()
         at = np.array([row for *_, row, _ in rows], np.int64)
         columns = [[[block[i] for block in c] for *_, c in rows] for i in range(3)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(v[at]) for v in (id_, mark, rid, rmark)] + [pa.array(c, pa.list_(pa.int32())) for c in columns],
-            names=["id", "mark", "rid", "rmark", "xs", "rs", "ns"],
-        )
+        ints, none = pa.list_(pa.int32()), [None] * len(own)
+        both = [pa.array(np.concatenate([v[at], o])) for v, o in zip((id_, mark), owner, strict=True)]
+        both += [pa.array([*v[at].tolist(), *none], t) for v, t in ((rid, pa.int64()), (rmark, pa.int32()))]
+        both += [pa.array([*c, *o], ints) for c, o in zip(columns, (met[0], none, none), strict=True)]
+        both.append(pa.array([None] * len(at) + met[1], pa.list_(pa.int64())))
+        yield pa.RecordBatch.from_arrays(both, names=["id", "mark", "rid", "rmark", "xs", "rs", "ns", "seeds"])
 
 
 def _emit_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,14 +330,69 @@ def _place(found: list[tuple[int, bytes]]) -> np.ndarray:
     return words[:most]
 
 
+def open_windows(places: np.ndarray, seeds: np.ndarray, spans: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(seed, least and most words before it) of windows that no span holds and whose seeds all have an earlier place."""
+    if not len(places):
+        return []
+    order = np.lexsort((places, seeds))
+    close = (seeds[order][1:] == seeds[order][:-1]) & (np.diff(places[order]) < 2 * WINDOW)
+    again = np.zeros(len(places), bool)  # k-mers that come again at once: seeds_of() keeps a place a window of these
+    again[order[1:][close]] = again[order[:-1][close]] = True
+    order = np.argsort(places, kind="stable")
+    places, seeds, again = places[order], seeds[order].view(np.uint64), again[order]
+    reach = np.where(again, 2 * WINDOW, WINDOW)
+    cuts = np.flatnonzero(np.diff(places) > np.maximum(reach[1:], reach[:-1])) + 1
+    most, width, out = np.uint64(0xFFFFFFFFFFFFFFFF), MIN_WORDS - K + 1, []
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(places)], strict=True):
+        low = max(int(places[a] - reach[a]) + 1, 0)
+        n = int(places[b - 1] + K + reach[b - 1]) - 1 - MIN_WORDS - low + 1  # starts of windows
+        if n <= 0:
+            continue
+        held = np.full(n + width - 1, most)
+        inside = places[a:b] - low < len(held)
+        held[places[a:b][inside] - low] = seeds[a:b][inside]
+        least = _sliding(held, width, np.minimum)
+        wanted = least != most
+        for start, end in spans:
+            wanted[max(start - low, 0) : max(end - MIN_WORDS + 1 - low, 0)] = False
+        at = np.flatnonzero(wanted)
+        if not len(at):
+            continue
+        for run in np.split(at, np.flatnonzero((np.diff(at) > 1) | (np.diff(least[at]) != 0)) + 1):
+            first, last, seed = int(run[0]), int(run[-1]), least[run[0]]
+            spread = WINDOW - 1 if again[a:b][seeds[a:b] == seed].any() else 0
+            for place in np.flatnonzero(held[first : last + width] == seed) + first:
+                if first > last:
+                    break
+                until = min(last, int(place))
+                out.append((int(seed.astype(np.int64)), int(place) - until - spread, int(place) - first))
+                first = until + 1
+    return out
+
+
 PASSAGES = (
     "id long, mark int, start_word int, end_word int, ref_id long, ref_start_word int, ref_end_word int, "
     "agreeing_words int, ref_ids array<long>"
 )
+FOUND = PASSAGES + ", seed long, least int, most int"  #: of passages, these are null; of open windows all between mark and seed
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64())}
+    names, types = zip(*(column.split() for column in schema.split(", ")), strict=True)
+    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[t]) for c, t in zip(columns, types, strict=True)], names=list(names))
+
+
+def _rows(me: tuple, found: list[tuple]) -> Iterator[tuple]:
+    """Rows of merged parts; a part ends with its document and all documents that it stands for."""
+    for start, end, held in found:
+        best = max(held, key=lambda p: (p[4], -p[5]))
+        yield (*me, start, end, best[5], best[2], best[3], best[4], sorted({i for p in held for i in p[6]}))
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chains and blocks sorted by document to its passages."""
+    """Chains and blocks sorted by document to its passages and open windows."""
     for table in whole_groups(batches, ["id", "mark"]):
         starts = group_starts(table.column("id").to_numpy(), table.column("mark").to_numpy())
         rows = []
@@ -339,19 +404,69 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     words.setdefault((row["bid"], row["bmark"]), []).append((row["block"], row["words"]))
             placed = {key: _place(found) for key, found in words.items()}
             me = own[0]["id"], own[0]["mark"]
-            parts = []
+            parts, matches = [], []
             for row in own:
                 other = row["bid"], row["bmark"]
-                if row["xs"] is not None and me in placed and other in placed:
+                if row["seeds"] is not None:
+                    matches.append((np.array(row["xs"], np.int64), np.array(row["seeds"], np.int64)))
+                elif row["xs"] is not None and me in placed and other in placed:
                     blocks = list(zip(row["xs"], row["rs"], row["ns"], strict=True))
-                    parts += [(*p, other[0]) for p in align(placed[me], placed[other], blocks)]
-            for start, end, held in merge(parts):
-                best = max(held, key=lambda p: (p[4], -p[5]))
-                rows.append((*me, start, end, best[5], best[2], best[3], best[4], sorted({p[5] for p in held})))
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
-        names = [part.split()[0] for part in PASSAGES.split(", ")]
-        columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=names)
+                    parts += [(*p, other[0], (other[0],)) for p in align(placed[me], placed[other], blocks)]
+            found = merge(parts)
+            rows += [(*row, None, None, None) for row in _rows(me, found)]
+            for some in matches:
+                rows += [(*me, *[None] * 7, *window) for window in open_windows(*some, [f[:2] for f in found])]
+        yield _batch(rows, FOUND)
+
+
+def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of the windows around the anchors of documents."""
+    hashes = WordHashes()
+    for batch in slices(batches, "text"):
+        for i, mark, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("id", "mark", "text", "wanted")), strict=True):
+            words = hashes.of(text)
+            if len(words) < MIN_WORDS:
+                continue
+            asked = np.zeros(len(words) - MIN_WORDS + 2, np.int64)
+            low = np.array([w["place"] - w["most"] for w in wanted]).clip(0, len(asked) - 1)
+            high = np.array([w["place"] - w["least"] + 1 for w in wanted]).clip(0, len(asked) - 1)
+            np.add.at(asked, low, 1)
+            np.add.at(asked, high, -1)
+            starts = np.flatnonzero(np.cumsum(asked)[:-1] > 0)
+            for some in np.array_split(starts, len(starts) // 50_000 + 1):
+                window = np.zeros(len(some), np.uint64)
+                for j in range(MIN_WORDS):
+                    window += (words[some + j] ^ (words[some + j] >> np.uint64(31))) * _POWERS[j]
+                window ^= window >> np.uint64(32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(window.view(np.int64)), pa.array(np.full(len(some), i, np.int64)), pa.array(np.int64(mark) << 32 | some)],
+                    names=["window", "id", "at"],
+                )
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passages and repeated windows sorted by document to its passages."""
+    for table in whole_groups(batches, ["id", "mark"]):
+        starts = group_starts(table.column("id").to_numpy(), table.column("mark").to_numpy())
+        rows: list[tuple] = []
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
+            own = table.slice(a, b - a).to_pylist()
+            parts, windows = [], set()
+            for row in own:
+                part = row["start_word"], row["end_word"], row["ref_start_word"], row["ref_end_word"], row["agreeing_words"], row["ref_id"]
+                if row["ref_ids"] is None:
+                    windows.add((part[5], part[2] - part[0], part[0]))
+                else:
+                    parts.append((*part, tuple(row["ref_ids"])))
+            runs: list[list[int]] = []
+            for ref, shift, x in sorted(windows):
+                if runs and runs[-1][:2] == [ref, shift] and x <= runs[-1][3]:
+                    runs[-1][3] = x + MIN_WORDS
+                else:
+                    runs.append([ref, shift, x, x + MIN_WORDS])
+            parts += [(x, e, x + shift, e + shift, e - x, ref, (ref,)) for ref, shift, x, e in runs]
+            rows += _rows((own[0]["id"], own[0]["mark"]), merge(parts))
+        yield _batch(rows, PASSAGES)
 
 
 def _mark(text: Column) -> Column:
@@ -379,19 +494,20 @@ def find_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     mark = lambda at: F.shiftright(at, 32).cast("int")
     place = lambda at: F.col(at).bitwiseAND((1 << 32) - 1).cast("int")
     met = seeds.join(first, "seed").select(
-        "id", mark("at").alias("mark"), "rid", mark("rat").alias("rmark"), place("at").alias("x"), place("rat").alias("r")
+        "id", mark("at").alias("mark"), "rid", mark("rat").alias("rmark"), place("at").alias("x"), place("rat").alias("r"), "seed"
     )
     met = met.filter((F.col("id") != F.col("rid")) | (F.col("mark") != F.col("rmark")))
     met = met.repartition("id", "mark").sortWithinPartitions("id", "mark", "rid", "rmark", "x", "r")
     chains = met.mapInArrow(
-        _chains, "id long, mark int, rid long, rmark int, xs array<int>, rs array<int>, ns array<int>"
+        _chains, "id long, mark int, rid long, rmark int, xs array<int>, rs array<int>, ns array<int>, seeds array<long>"
     )
     chains = written(chains, "passage-chains")
-    discard(seeds, first)
+    discard(first)
+    paired = chains.filter(F.col("rid").isNotNull())
 
     begin, end = (lambda a: F.element_at(a, 1)), (lambda a: F.element_at(a, -1) + F.element_at("ns", -1))
-    theirs = chains.select("id", "mark", F.col("rid").alias("bid"), F.col("rmark").alias("bmark"), F.explode(_blocks_between(begin("rs"), end("rs"))).alias("block"))
-    ours = chains.select("id", "mark", F.col("id").alias("bid"), F.col("mark").alias("bmark"), F.explode(_blocks_between(begin("xs"), end("xs"))).alias("block"))
+    theirs = paired.select("id", "mark", F.col("rid").alias("bid"), F.col("rmark").alias("bmark"), F.explode(_blocks_between(begin("rs"), end("rs"))).alias("block"))
+    ours = paired.select("id", "mark", F.col("id").alias("bid"), F.col("mark").alias("bmark"), F.explode(_blocks_between(begin("xs"), end("xs"))).alias("block"))
     needs = theirs.union(ours).distinct()
     wanted = needs.select("bid", "bmark", "block").distinct().groupBy("bid", "bmark").agg(F.collect_list("block").alias("wanted"))
     # what is wanted grows with the documents: never a broadcast
@@ -399,14 +515,39 @@ def find_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     blocks = texts.mapInArrow(_emit_blocks, "bid long, bmark int, block int, words binary")
     none = F.lit(None).cast("array<int>")
     fetched = needs.join(blocks, ["bid", "bmark", "block"]).select(
-        "id", "mark", "bid", "bmark", "block", "words", none.alias("xs"), none.alias("rs"), none.alias("ns")
+        "id", "mark", "bid", "bmark", "block", "words", none.alias("xs"), none.alias("rs"), none.alias("ns"), F.lit(None).cast("array<long>").alias("seeds")
     )
     lines = chains.select(
         "id", "mark", F.col("rid").alias("bid"), F.col("rmark").alias("bmark"), F.lit(None).cast("int").alias("block"),
-        F.lit(None).cast("binary").alias("words"), "xs", "rs", "ns",
+        F.lit(None).cast("binary").alias("words"), "xs", "rs", "ns", "seeds",
     )
     both = fetched.union(lines).repartition("id", "mark").sortWithinPartitions("id", "mark")
-    return both.mapInArrow(_passages, PASSAGES)
+    found = written(both.mapInArrow(_passages, FOUND), "passage-found")
+    discard(chains)
+    names = [column.split()[0] for column in PASSAGES.split(", ")]
+    passages = found.filter("seed is null").select(names)
+
+    anchors = found.filter("seed is not null").groupBy("seed").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    anchors = written(anchors, "passage-anchors")
+    if anchors.isEmpty():
+        discard(seeds)
+        return passages
+    held = seeds.join(anchors, "seed").select("id", mark("at").alias("mark"), F.struct(place("at").alias("place"), "least", "most").alias("one"))
+    held = held.groupBy("id", "mark").agg(F.collect_list("one").alias("wanted"))
+    windows = keyed.join(held.hint("merge"), ["id", "mark"]).mapInArrow(_emit_windows, "window long, id long, at long")
+    windows = written(windows, "passage-windows")
+    discard(seeds, anchors)
+    first = windows.groupBy("window").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = written(first.select("window", F.col("first.id").alias("rid"), F.col("first.at").alias("rat")), "passage-firsts")
+    met = windows.join(first, "window").filter((F.col("id") != F.col("rid")) | (mark("at") != mark("rat")))
+    x, r = place("at"), place("rat")
+    met = met.select(
+        "id", mark("at").alias("mark"), x.alias("start_word"), (x + MIN_WORDS).alias("end_word"), F.col("rid").alias("ref_id"),
+        r.alias("ref_start_word"), (r + MIN_WORDS).alias("ref_end_word"), F.lit(MIN_WORDS).alias("agreeing_words"),
+        F.lit(None).cast("array<long>").alias("ref_ids"),
+    )
+    both = passages.union(met).repartition("id", "mark").sortWithinPartitions("id", "mark")
+    return both.mapInArrow(_joined, PASSAGES)
 
 
 def list_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

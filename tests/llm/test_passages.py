@@ -112,6 +112,23 @@ def test_no_chain_is_too_short_for_alignment(spark):
     assert [(r["doc_id"], r["n_words"] >= 50) for r in passages.list_passages(df).collect()] == [(1, True)]
 
 
+def test_shuffled_frequent_lines(spark):
+    rng = random.Random(2)
+    lines = [[f"l{i}w{j}" for j in range(rng.randint(6, 12))] for i in range(6)]
+    texts = [" ".join(w for line in rng.sample(lines, rng.randint(1, 2)) for w in line) for _ in range(60)]
+    texts += [" ".join(w for _ in range(rng.randint(6, 14)) for w in rng.choice(lines)) for _ in range(60)]
+    got: dict[int, set] = {}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in passages.list_passages(df).collect():
+        got.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
+    seen: set = set()
+    for i, text in enumerate(texts):
+        words = text.split()
+        grams = [tuple(words[s : s + 50]) for s in range(len(words) - 49)]
+        assert all(set(range(s, s + 50)) <= got.get(i, set()) for s, g in enumerate(grams) if g in seen)
+        seen.update(grams)
+
+
 def test_edges(spark):
     long = " ".join(f"v{i}" for i in range(80))
     again = "spam spam " * 300
