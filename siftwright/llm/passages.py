@@ -551,7 +551,11 @@ def find_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 
 
 def list_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, the passage's words, the earlier document with the most of it, its place there, and all such documents."""
+    """doc_id, the passage's words, an earlier document that has them or a part, its place there, and all such that were met.
+
+    Those met are first places of seeds and windows; a later holder of the passage isn't listed, even where it has more
+    of the words than they have. ref_doc_id is the one of those met with the most agreeing words in one part.
+    """
     found = find_passages(docs, doc_id=doc_id, text=text)
     real = lambda c: F.nullif(c, F.lit(NO_ID))
     return found.select(
