@@ -16,6 +16,11 @@ class CleaningConfig:
     strip_text: bool = True
     lowercase: bool = False
 
+    @property
+    def complete(self) -> bool:
+        """All steps but lower-casing are on."""
+        return all((self.normalize_unicode, self.remove_control_chars, self.remove_zero_width, self.collapse_whitespace, self.strip_text))
+
 
 @dataclass(frozen=True)
 class AugmentConfig:

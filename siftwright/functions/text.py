@@ -70,8 +70,18 @@ def cleaning_fingerprint(text: Column) -> Column:
     return F.lower(clean_text(text))
 
 
-def fingerprint_digest(text: Column) -> Column:
-    return F.sha2(cleaning_fingerprint(text).cast("binary"), 256)
+def recleaned(text: Column) -> Column:
+    """clean_text() of a text that clean_text() made with all of its steps.
+
+    Deleting characters can bring a letter and its mark together, so NFKC may change such a text once more; no other step can.
+    """
+    return normalize_unicode(F.coalesce(text, F.lit("")))
+
+
+def fingerprint_digest(text: Column, cleaned: bool = False) -> Column:
+    """SHA-256 of the cleaning fingerprint; cleaned: of a text that went through all cleaning steps."""
+    plain = F.lower(recleaned(text)) if cleaned else cleaning_fingerprint(text)
+    return F.sha2(plain.cast("binary"), 256)
 
 
 def let(value: Column, body) -> Column:
@@ -97,4 +107,13 @@ def token_shingles(text: Column, n: int = 3) -> Column:
 
 
 def shingle_hashes(text: Column, n: int = 3) -> Column:
-    return let(token_shingles(text, n), lambda s: F.array_distinct(F.transform(s, lambda x: F.xxhash64(x))))
+    """Distinct hashes of the word n-grams, without the n-grams' texts; of fewer tokens one hash of them all."""
+
+    def grams(words: Column) -> Column:
+        gram = lambda w, i: F.xxhash64(w, *(F.get(words, i + k) for k in range(1, n)))
+        many = F.array_distinct(F.slice(F.transform(words, gram), F.lit(1), F.size(words) - (n - 1)))
+        whole = F.array(F.xxhash64(F.array_join(words, " ")))
+        none = F.array().cast("array<bigint>")
+        return F.when(F.size(words) >= n, many).when(F.size(words) > 0, whole).otherwise(none)
+
+    return let(tokens(text), grams)

@@ -13,35 +13,45 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftwright.functions.text import fingerprint_digest, shingle_hashes
+from siftwright.functions.text import fingerprint_digest, let, shingle_hashes, token_shingles
 from siftwright.operators.records import text_column
 from siftwright.shared import written
 
 THRESHOLD = 0.85
 PERMUTATIONS = 128
 SEED = 1
+NO_SHINGLE = 1 << 30  #: stands for a text without tokens
+HOT = 64  #: rows of a bucket above which rows meet its first row only, round by round
 _PRIME = (1 << 61) - 1
 
 
-def exact_deduplicate(df: DataFrame) -> DataFrame:
-    """First row of each (split, fingerprint), with text_fingerprint.
+def exact_deduplicate(df: DataFrame, cleaned: bool = False) -> DataFrame:
+    """First row of each (split, fingerprint), with text_fingerprint; cleaned: text_clean went through all steps.
 
-    The first row's index is a partial aggregate, so thousands of copies are no hot window.
+    Each text is cleaned and hashed once, and what is written and joined are digests. The first row's index is a partial
+    aggregate, so thousands of copies are no hot window.
     """
-    marked = df.withColumn("text_fingerprint", fingerprint_digest(F.col(text_column(df, "text_clean", "text"))))
-    first = marked.groupBy("split", "text_fingerprint").agg(F.min("row_idx").alias("row_idx"))
-    return marked.join(first, ["split", "text_fingerprint", "row_idx"], "left_semi")
+    first = text_digests(df, cleaned).groupBy("split", "text_fingerprint").agg(F.min("row_idx").alias("row_idx"))
+    return df.join(first, ["split", "row_idx"]).select(*df.columns, "text_fingerprint")
 
 
-def exact_report(df: DataFrame) -> DataFrame:
-    digest = fingerprint_digest(F.col(text_column(df, "text_clean", "text")))
-    marked = df.select("split", digest.alias("digest"))
-    counted = marked.groupBy("split").agg(F.count("*").alias("input_rows"), F.countDistinct("digest").alias("output_rows"))
+def text_digests(df: DataFrame, cleaned: bool = False) -> DataFrame:
+    """split, row_idx and text_fingerprint of every row as a written table."""
+    name = text_column(df, "text_clean", "text")
+    digest = fingerprint_digest(F.col(name), cleaned and name == "text_clean")
+    return written(df.select("split", "row_idx", digest.alias("text_fingerprint")), "digests")
+
+
+def exact_report(df: DataFrame, cleaned: bool = False) -> DataFrame:
+    name = text_column(df, "text_clean", "text")
+    marked = df.select("split", fingerprint_digest(F.col(name), cleaned and name == "text_clean").alias("digest"))
+    counted = marked.groupBy("split", "digest").agg(F.count("*").alias("n")).groupBy("split")
+    counted = counted.agg(F.sum("n").alias("input_rows"), F.count("*").alias("output_rows"))
     return counted.withColumn("exact_removed", F.col("input_rows") - F.col("output_rows"))
 
 
@@ -56,12 +66,11 @@ def shingle_sets(df: DataFrame) -> DataFrame:
     return sets.withColumn("n", F.size("hashes"))
 
 
-def similar_pairs(sets: DataFrame, threshold: float = THRESHOLD, across: bool = False) -> DataFrame:
-    """(l_split, l_row, r_split, r_row, jaccard) of sets at or above the threshold.
+def prefixes(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(split, row_idx, n, h): the elements of each set's prefix that another set has too.
 
     A pair above t shares an element of both prefixes: with elements ordered from rare to common, the first
-    n - ceil(t n) + 1. So only prefixes join, and common shingles rarely are in one. Sizes filter before the sets are
-    fetched. Pairs are within a split, earlier row first; or across splits, the split that sorts first on the left.
+    n - ceil(t n) + 1. So only prefixes join, and common shingles rarely are in one.
     """
     spread = sets.select("split", "row_idx", "n", F.explode("hashes").alias("h"))
     often = spread.groupBy("h").agg(F.count("*").alias("uses")).filter("uses > 1")
@@ -69,23 +78,39 @@ def similar_pairs(sets: DataFrame, threshold: float = THRESHOLD, across: bool =
     shared = ranked.groupBy("split", "row_idx", "n").agg(F.array_sort(F.collect_list("at")).alias("ordered"))
     # elements that occur once come first in the order and match nothing: they only use up the prefix
     reach = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("ordered"))
-    prefix = shared.filter(reach > 0).select(
-        "split", "row_idx", "n", F.explode(F.transform(F.slice("ordered", F.lit(1), reach.cast("int")), lambda x: x["h"])).alias("h")
-    )
+    taken = F.transform(F.slice("ordered", F.lit(1), reach.cast("int")), lambda x: x["h"])
+    return shared.filter(reach > 0).select("split", "row_idx", "n", F.explode(taken).alias("h"))
 
-    def side(name: str) -> DataFrame:
-        return prefix.select(F.col("split").alias(f"{name}_split"), F.col("row_idx").alias(f"{name}_row"), F.col("n").alias(f"{name}_n"), "h")
 
-    rule = (F.col("l_split") == F.col("r_split")) & (F.col("l_row") < F.col("r_row"))
-    rule = F.col("l_split") < F.col("r_split") if across else rule
-    fits = F.least("l_n", "r_n") >= F.lit(threshold) * F.greatest("l_n", "r_n") - 1e-9
-    keys = ["l_split", "l_row", "r_split", "r_row"]
-    met = side("l").join(side("r"), "h").filter(rule & fits).select(*keys).distinct()
+def _fits(threshold: float) -> Column:
+    """Sizes that allow the threshold."""
+    return F.least("l_n", "r_n") >= F.lit(threshold) * F.greatest("l_n", "r_n") - 1e-9
+
+
+def _verified(met: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs (l_split, l_row, r_split, r_row) with their Jaccard similarity, where it is the threshold or more."""
     sets = sets.select("split", "row_idx", "hashes")
     met = met.join(sets.toDF("l_split", "l_row", "l_hashes"), ["l_split", "l_row"]).join(sets.toDF("r_split", "r_row", "r_hashes"), ["r_split", "r_row"])
     both = F.size(F.array_intersect("l_hashes", "r_hashes"))
     met = met.withColumn("jaccard", both / (F.size("l_hashes") + F.size("r_hashes") - both))
-    return met.filter(F.col("jaccard") >= threshold - 1e-12).select(*keys, "jaccard")
+    return met.filter(F.col("jaccard") >= threshold - 1e-12).select("l_split", "l_row", "r_split", "r_row", "jaccard")
+
+
+def similar_pairs(sets: DataFrame, threshold: float = THRESHOLD, across: bool = False, prefix: DataFrame | None = None) -> DataFrame:
+    """(l_split, l_row, r_split, r_row, jaccard) of sets at or above the threshold.
+
+    Prefixes join, sizes filter, then the sets are fetched. Pairs are within a split, earlier row first; or across
+    splits, the split that sorts first on the left.
+    """
+    prefix = written(prefixes(sets, threshold), "prefixes") if prefix is None else prefix
+
+    def side(name: str) -> DataFrame:
+        return prefix.select(F.col("split").alias(f"{name}_split"), F.col("row_idx").alias(f"{name}_row"), F.col("n").alias(f"{name}_n"), "h")
+
+    rule = (F.col("l_split") == F.col("r_split")) & (F.col("l_row") < F.col("r_row"))
+    rule = F.col("l_split") < F.col("r_split") if across else rule
+    met = side("l").join(side("r"), "h").filter(rule & _fits(threshold)).select("l_split", "l_row", "r_split", "r_row").distinct()
+    return _verified(met, sets, threshold)
 
 
 def _distinct_sets(sets: DataFrame) -> DataFrame:
@@ -136,30 +161,85 @@ def band_layout(threshold: float, permutations: int = PERMUTATIONS) -> tuple[int
     return best[1:] if best[1] >= 2 else None
 
 
-def minhash(hashes: list[int] | np.ndarray, permutations: int = PERMUTATIONS) -> np.ndarray:
-    """Minima of universal hashes modulo 2^61 - 1; of 31-bit inputs, so that products fit."""
+def permutations_of(n: int = PERMUTATIONS) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and offsets of n universal hashes modulo 2^61 - 1."""
     rng = np.random.default_rng(SEED)
-    a, b = rng.integers(1, 1 << 31, permutations, dtype=np.uint64), rng.integers(0, _PRIME, permutations, dtype=np.uint64)
-    x = np.asarray(hashes, np.int64).view(np.uint64) >> np.uint64(33)
-    return ((x[:, None] * a + b) % np.uint64(_PRIME)).min(axis=0).astype(np.int64)
+    return rng.integers(1, 1 << 31, n, dtype=np.uint64), rng.integers(0, _PRIME, n, dtype=np.uint64)
+
+
+def minhash(values: np.ndarray, starts: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Minima of every universal hash (rows) over each run of 31-bit values (columns); runs aren't empty.
+
+    One permutation at a time: memory is a few times the values', however long a run is.
+    """
+    values = values.astype(np.uint64)
+    return np.stack([np.minimum.reduceat((values * x + y) % np.uint64(_PRIME), starts) for x, y in zip(a, b, strict=True)]).astype(np.int64)
 
 
-def minhash_signature(hashes: Column, permutations: int = PERMUTATIONS) -> Column:
-    def signatures(sets: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in sets:
-            yield batch.map(lambda s: minhash(s, permutations))
+def minhash_signatures(sets: DataFrame, permutations: int = PERMUTATIONS) -> DataFrame:
+    """(split, row_idx, s): the signature of each row's numbers, an array of 31-bit integers that holds one at least."""
 
-    return F.pandas_udf(signatures, "array<long>")(hashes)
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = permutations_of(permutations)
+        for batch in batches:
+            numbers = batch.column("numbers")
+            if batch.num_rows:
+                ends = numbers.offsets.to_numpy()
+                minima = minhash(numbers.values.to_numpy()[ends[0] : ends[-1]], ends[:-1] - ends[0], a, b)
+                whole = pa.FixedSizeListArray.from_arrays(pa.array(minima.T.reshape(-1)), permutations).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column("split"), batch.column("row_idx"), whole], names=["split", "row_idx", "s"])
+
+    return sets.select("split", "row_idx", "numbers").mapInArrow(signed, "split string, row_idx long, s array<long>")
 
 
 def lsh_buckets(df: DataFrame, threshold: float, permutations: int = PERMUTATIONS) -> DataFrame | None:
+    """(split, row_idx, bucket): a bucket is a band's number and minima as text; None where no layout has two bands.
+
+    A shingle's number is the first 31 bits of its MD5 digest, which SQL engines reproduce exactly.
+    """
     layout = band_layout(threshold, permutations)
     if layout is None:
         return None
     bands, rows = layout
-    signed = shingle_sets(df).select("split", "row_idx", minhash_signature(F.col("hashes"), permutations).alias("s"))
-    band = F.array(*(F.xxhash64(F.lit(i), F.slice("s", i * rows + 1, rows)) for i in range(bands)))
-    return signed.select("split", "row_idx", F.explode(band).alias("bucket"))
+    grams = token_shingles(F.col(text_column(df, "text_clean", "text")))
+    number = lambda s: F.shiftright(F.conv(F.substring(F.md5(s.cast("binary")), 1, 8), 16, 10).cast("long"), 1)
+    numbers = let(grams, lambda g: F.when(F.size(g) > 0, F.transform(g, number)).otherwise(F.array(F.lit(NO_SHINGLE).cast("long"))))
+    signed = minhash_signatures(df.select("split", "row_idx", numbers.alias("numbers")), permutations)
+    band = (F.md5(F.concat(F.lit(f"{i}:"), F.array_join(F.slice("s", i * rows + 1, rows), ",")).cast("binary")) for i in range(bands))
+    return written(signed.select("split", "row_idx", F.explode(F.array(*band)).alias("bucket")), "bands")
+
+
+def _verified_kept(sets: DataFrame, threshold: float) -> DataFrame:
+    """(split, row_idx) that greedy keeps by exact similarity, of different sets.
+
+    While buckets of prefix elements are large, their rows meet the first one only: what comes first in all of its
+    buckets is kept, and what is similar to it goes. So a cluster of n near copies costs n comparisons, not n * n. Once
+    buckets are small or a round gains little, the rest is decided by its similar pairs.
+    """
+    key = ["split", "row_idx"]
+    left, before = written(prefixes(sets, threshold), "prefixes"), None
+    rows = sets.select(*key)
+    while True:
+        first = left.groupBy("split", "h").agg(F.min(F.struct("row_idx", "n")).alias("first"), F.count("*").alias("uses"))
+        first = written(first, "near-first")
+        crowded = first.filter(F.col("uses") > HOT).agg(F.sum("uses")).first()[0] or 0
+        if not crowded or (before is not None and crowded > 0.7 * before):
+            break
+        before = crowded
+        seen = left.join(first, ["split", "h"]).select(*key, "n", F.col("first.row_idx").alias("l_row"), F.col("first.n").alias("l_n"))
+        seen = written(seen.distinct(), "near-seen")
+        chosen = seen.groupBy(*key).agg(F.min(F.expr("l_row = row_idx")).alias("all_first")).filter("all_first").select(*key)
+        chosen = written(chosen, "near-chosen")
+        met = seen.join(chosen.withColumnRenamed("row_idx", "l_row"), ["split", "l_row"], "left_semi").filter("l_row < row_idx")
+        met = met.withColumn("r_n", F.col("n")).filter(_fits(threshold))
+        met = met.select(F.col("split").alias("l_split"), "l_row", F.col("split").alias("r_split"), F.col("row_idx").alias("r_row"))
+        gone = _verified(met, sets, threshold).select(F.col("r_split").alias("split"), F.col("r_row").alias("row_idx")).distinct()
+        gone = written(gone, "near-gone")
+        rows = rows.join(gone, key, "left_anti")
+        left = written(left.join(gone.unionByName(chosen), key, "left_anti"), "prefixes")
+    pairs = similar_pairs(sets, threshold, prefix=left)
+    named = pairs.select(F.col("l_split").alias("split"), F.xxhash64("l_split", "l_row", "r_row").alias("bucket"), F.explode(F.array("l_row", "r_row")).alias("row_idx"))
+    return greedy_kept(rows, named)
 
 
 def near_deduplicate(df: DataFrame, threshold: float = THRESHOLD, mode: str = "verified") -> DataFrame:
@@ -170,16 +250,12 @@ def near_deduplicate(df: DataFrame, threshold: float = THRESHOLD, mode: str = "v
             return df
         kept = greedy_kept(df, buckets)
     else:
-        sets = written(shingle_sets(df), "sets")
-        rows = _distinct_sets(sets)
-        pairs = similar_pairs(written(rows, "sets"), threshold=threshold)
-        named = pairs.select(F.col("l_split").alias("split"), F.xxhash64("l_split", "l_row", "r_row").alias("bucket"), F.array("l_row", "r_row").alias("r"))
-        kept = greedy_kept(rows, named.select("split", "bucket", F.explode("r").alias("row_idx")))
+        kept = _verified_kept(written(_distinct_sets(shingle_sets(df)), "sets"), threshold)
     return df.join(kept, ["split", "row_idx"], "left_semi")
 
 
-def deduplicate_records(df: DataFrame, threshold: float = THRESHOLD, mode: str = "verified") -> DataFrame:
-    return near_deduplicate(exact_deduplicate(df), threshold, mode)
+def deduplicate_records(df: DataFrame, threshold: float = THRESHOLD, mode: str = "verified", cleaned: bool = False) -> DataFrame:
+    return near_deduplicate(exact_deduplicate(df, cleaned), threshold, mode)
 
 
 def near_duplicate_examples(df: DataFrame, threshold: float = THRESHOLD, most: int = 10) -> DataFrame:

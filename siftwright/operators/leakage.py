@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftwright.functions.text import cleaning_fingerprint
+from siftwright.functions.text import cleaning_fingerprint, recleaned
 from siftwright.operators.dedup import THRESHOLD, shingle_sets, similar_pairs
 from siftwright.operators.records import text_column
 from siftwright.schema import SPLITS
@@ -23,17 +23,26 @@ def _ordered_pairs(of: str) -> F.Column:
     return F.filter(F.array(*found), lambda p: p.isNotNull())
 
 
-def shared_fingerprints(df: DataFrame) -> DataFrame:
-    """(source_split, target_split, fingerprint) of texts in both splits; one shuffle. Blank and null texts are left out."""
-    text = F.col(text_column(df))
-    rows = df.filter(F.col("split").isin(*SPLITS) & text.isNotNull() & text.rlike(r"(?U)\S"))
-    marked = rows.select("split", cleaning_fingerprint(text).alias("fingerprint"))
-    return marked.groupBy("fingerprint").agg(F.collect_set("split").alias("splits")).filter(F.size("splits") > 1).select("fingerprint", F.inline(_ordered_pairs("splits")))
+def shared_fingerprints(df: DataFrame, cleaned: bool = False) -> DataFrame:
+    """(source_split, target_split, fingerprint) of texts in both splits; one shuffle. Blank and null texts are left out.
 
-
-def exact_leakage(df: DataFrame) -> DataFrame:
+    cleaned: text_clean went through all cleaning steps, and no other text column stands before it.
+    """
+    name = text_column(df)
+    text = F.col(name)
+    rows = df.filter(F.col("split").isin(*SPLITS))
+    if cleaned and name == "text_clean":
+        fingerprint = F.lower(recleaned(F.nullif(text, F.lit(""))))
+    else:
+        fingerprint = F.when(text.rlike(r"(?U)\S"), cleaning_fingerprint(text))
+    marked = rows.select("split", F.nullif(fingerprint, F.lit("")).alias("fingerprint"))
+    met = marked.groupBy("fingerprint").agg(F.collect_set("split").alias("splits")).filter((F.size("splits") > 1) & F.col("fingerprint").isNotNull())
+    return met.select("fingerprint", F.inline(_ordered_pairs("splits")))
+
+
+def exact_leakage(df: DataFrame, cleaned: bool = False) -> DataFrame:
     """(source_split, target_split, n) of distinct shared fingerprints; only pairs that have some."""
-    return shared_fingerprints(df).groupBy("source_split", "target_split").agg(F.count("*").alias("n"))
+    return shared_fingerprints(df, cleaned).groupBy("source_split", "target_split").agg(F.count("*").alias("n"))
 
 
 def exact_examples(df: DataFrame, most: int = EXAMPLES) -> DataFrame:
@@ -87,9 +96,9 @@ def near_examples(df: DataFrame, threshold: float = THRESHOLD, limit: int | None
     return shown.join(texts.toDF("matched_row", "target_preview"), "matched_row").orderBy("source_split", "target_split", "place")
 
 
-def leakage_summary(df: DataFrame, threshold: float = THRESHOLD, limit: int | None = SAMPLE) -> DataFrame:
+def leakage_summary(df: DataFrame, threshold: float = THRESHOLD, limit: int | None = SAMPLE, cleaned: bool = False) -> DataFrame:
     """One row: passed, pairs with exact and near leaks, and their totals."""
-    kinds = exact_leakage(df).withColumn("kind", F.lit("exact")).unionByName(near_leakage(df, threshold, limit).withColumn("kind", F.lit("near")))
+    kinds = exact_leakage(df, cleaned).withColumn("kind", F.lit("exact")).unionByName(near_leakage(df, threshold, limit).withColumn("kind", F.lit("near")))
     pairs = lambda k: F.coalesce(F.sum((F.col("kind") == k).cast("long")), F.lit(0).cast("long"))
     total = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0).cast("long"))
     return kinds.agg(

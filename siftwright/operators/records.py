@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwright.config import CleaningConfig
 from siftwright.functions.obfuscation import base64_fragments, decoded_context, obfuscation_types
-from siftwright.functions.text import clean_text
+from siftwright.functions.text import clean_text, recleaned
 
 #: Buckets by highest severity.
 SEVERITY_BUCKETS = ((1, 2, "low_1_2"), (3, 4, "moderate_3_4"), (5, 6, "high_5_6"), (7, 10, "critical_7_10"))
@@ -40,16 +40,35 @@ def severity_bucket(severity: Column) -> Column:
     return out
 
 
+def truth(df: DataFrame, name: str) -> Column:
+    """A column as a boolean: any text but the empty one, and any number but zero, is true; null or no such column is false."""
+    if name not in df.columns:
+        return F.lit(False)
+    kind = dict(df.dtypes)[name]
+    if kind == "string":
+        found = F.col(name) != ""
+    elif kind in ("float", "double"):
+        found = F.isnan(name) | (F.col(name) != 0)
+    else:
+        found = F.col(name).cast("boolean")
+    return F.coalesce(found, F.lit(False))
+
+
 def add_derived_columns(df: DataFrame) -> DataFrame:
-    """severity_bucket, and ambiguity as a boolean: false where it is null or missing."""
-    found = F.coalesce(F.col("ambiguity").cast("boolean"), F.lit(False)) if "ambiguity" in df.columns else F.lit(False)
+    """severity_bucket, and ambiguity as a boolean."""
+    found = truth(df, "ambiguity")
     return df.withColumns({"severity_bucket": severity_bucket(F.expr("try_cast(severity as int)")), "ambiguity": found})
 
 
-def add_obfuscation_columns(df: DataFrame) -> DataFrame:
-    """Flags, decoded fragments and cleaned text of the text column; each array is computed once."""
-    text = F.col(text_column(df, "text_clean", "text"))
-    found = df.withColumns({"_fragments": base64_fragments(text), "_types": obfuscation_types(text), "_cleaned": clean_text(text)})
+def add_obfuscation_columns(df: DataFrame, cleaned: bool = False) -> DataFrame:
+    """Flags, decoded fragments and cleaned text of the text column; each array is computed once.
+
+    cleaned: text_clean went through all cleaning steps.
+    """
+    name = text_column(df, "text_clean", "text")
+    text = F.col(name)
+    plain = recleaned(text) if cleaned and name == "text_clean" else clean_text(text)
+    found = df.withColumns({"_fragments": base64_fragments(text), "_types": obfuscation_types(text), "_cleaned": plain})
     return found.withColumns(
         {
             "text_obfuscation_aware": F.concat("_cleaned", decoded_context(F.col("_fragments"))),

@@ -22,7 +22,7 @@ from siftwright.sources.records import exists, ingest, read_splits, read_table,
 def process_records(df: DataFrame, config: Phase1Config) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(cleaned, deduplicated, kept) of all splits."""
     cleaned = records.clean_records(df, config.cleaning)
-    unique = dedup.deduplicate_records(cleaned, config.near_duplicate_threshold, config.near_duplicate_mode)
+    unique = dedup.deduplicate_records(cleaned, config.near_duplicate_threshold, config.near_duplicate_mode, config.cleaning.complete)
     unique = written(unique, "unique")
     return cleaned, unique, validation.valid_records(unique) if config.drop_invalid_rows else unique
 
@@ -37,7 +37,7 @@ def prepare(spark: SparkSession, source: DataFrame, config: Phase1Config) -> dic
     sinks.write_table(kept, base / "processed", "split")
     kept = read_table(spark, str(base / "processed"))
     report = {r["split"]: r.asDict() for r in reports.split_report(cleaned, unique, kept).collect()}
-    exact = {r["split"]: r.asDict() for r in dedup.exact_report(cleaned).collect()}
+    exact = {r["split"]: r.asDict() for r in dedup.exact_report(cleaned, config.cleaning.complete).collect()}
     sinks.write_distribution_reports(kept, base / "reports")
     checked = {s: validation.summarize(unique, s).to_dict() for s in SPLITS if s in report}
     sinks.write_json(checked, base / "reports" / "validation_report.json")

@@ -14,6 +14,7 @@ from siftwright.functions import obfuscation as ob
 from siftwright.functions import text as tx
 from siftwright.operators import augment, balance, dedup, leakage, reports, subsets, validation
 from siftwright.operators import records as rec
+from siftwright.shared import written
 from siftwright.sources.records import records_from_documents, snapshot_id
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,7 +109,7 @@ def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.exact_deduplicate(_cleaned(spark, sf_dir))
+    return dedup.exact_deduplicate(_cleaned(spark, sf_dir), cleaned=True)
 
 
 @_query(f"with {EXACT} select split, row_idx, text_fingerprint from exact_kept")
@@ -121,7 +122,7 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     count(*) - count(distinct lower(text_clean)) as exact_removed from cleaned group by split"""
 )
 def exact_dedup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.exact_report(_cleaned(spark, sf_dir))
+    return dedup.exact_report(_cleaned(spark, sf_dir), cleaned=True)
 
 
 @_query(
@@ -162,7 +163,31 @@ def near_dedup_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_deduplicate(_exact(spark, sf_dir)).select("split", "row_idx")
 
 
-@_query()
+def _lsh_sql() -> str:
+    """Bands of the same MinHash as list expressions; greedy as a walk over the rows that have an earlier neighbour."""
+    bands, rows = dedup.band_layout(dedup.THRESHOLD)
+    minima = ", ".join(f"min((x * {a} + {b}) % {dedup._PRIME})" for a, b in zip(*(v.tolist() for v in dedup.permutations_of(bands * rows)), strict=True))
+    return f"""with recursive {EXACT}, {_unique_sets("exact_kept")}, numbers as (
+  select split, row_idx, case when h = '<none>' then {dedup.NO_SHINGLE} else ('0x' || substr(md5(h), 1, 8))::bigint >> 1 end as x from spread
+), signed as (
+  select split, row_idx, [{minima}] as s from numbers group by split, row_idx
+), bands as (
+  select split, row_idx, j, array_to_string(s[j * {rows} + 1:(j + 1) * {rows}], ',') as band from (select *, unnest(range({bands})) as j from signed)
+), met as (
+  select b.row_idx, list(distinct a.row_idx) as earlier from bands a join bands b on a.split = b.split and a.j = b.j and a.band = b.band and a.row_idx < b.row_idx
+  group by b.row_idx
+), placed as (
+  select *, row_number() over (order by row_idx) as k from met
+), walk(k, dropped) as (
+  select 0::bigint, []::bigint[]
+  union all
+  select p.k, case when len([e for e in p.earlier if not list_contains(w.dropped, e)]) > 0 then list_append(w.dropped, p.row_idx) else w.dropped end
+  from walk w join placed p on p.k = w.k + 1
+)
+select split, row_idx from exact_kept where row_idx not in (select unnest(dropped) from walk)"""
+
+
+@_query(_lsh_sql())
 def near_dedup_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_deduplicate(_exact(spark, sf_dir), mode="lsh").select("split", "row_idx")
 
@@ -214,7 +239,7 @@ def valid_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def split_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = _cleaned(spark, sf_dir)
-    kept = dedup.exact_deduplicate(cleaned)
+    kept = dedup.exact_deduplicate(cleaned, cleaned=True)
     return reports.split_report(cleaned, kept, validation.valid_records(kept))
 
 
@@ -311,7 +336,7 @@ def obfuscation_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
       base64 or hex or url_encoding or leetspeak or mixed_script or char_repetition as obfuscation_detected from flags"""
 )
 def obfuscation_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = rec.add_obfuscation_columns(_cleaned(spark, sf_dir))
+    marked = rec.add_obfuscation_columns(_cleaned(spark, sf_dir), cleaned=True)
     return marked.select("row_idx", "obfuscation_types", "obfuscation_detected")
 
 
@@ -337,7 +362,7 @@ def base64_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
       len(f)::int as obfuscation_decoded_count from firsts"""
 )
 def obfuscation_aware_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = rec.add_obfuscation_columns(_cleaned(spark, sf_dir))
+    marked = rec.add_obfuscation_columns(_cleaned(spark, sf_dir), cleaned=True)
     return marked.select("row_idx", "text_obfuscation_aware", "obfuscation_decoded_count")
 
 
@@ -440,7 +465,7 @@ AUGMENTED = (
     union all select row_idx, new, true, ['synonym', 'noise', 'paraphrase'][method], t from made where new <> t"""
 )
 def augmented_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rec.add_obfuscation_columns(_train(spark, sf_dir))
+    rows = written(rec.add_obfuscation_columns(_train(spark, sf_dir), cleaned=True), "train")  # read twice, cleaned once
     return augment.augment_training(rows).select("row_idx", "text", "is_augmented", "augment_method", "text_original_aug_source")
 
 
@@ -476,7 +501,7 @@ EXACT_LEAKS = (
 
 @_query(f"with {EXACT_LEAKS} select source_split, target_split, n from exact_leaks")
 def leakage_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leakage.exact_leakage(_cleaned(spark, sf_dir))
+    return leakage.exact_leakage(_cleaned(spark, sf_dir), cleaned=True)
 
 
 NEAR_LEAKS = (
@@ -506,7 +531,7 @@ def leakage_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinds"""
 )
 def leakage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leakage.leakage_summary(_cleaned(spark, sf_dir), limit=None)
+    return leakage.leakage_summary(_cleaned(spark, sf_dir), limit=None, cleaned=True)
 
 
 @_query(

@@ -72,6 +72,38 @@ def test_similar_pairs_equal_brute_force(spark):
     assert found == wanted and wanted
 
 
+def test_verified_greedy_equals_brute_force_in_crowded_buckets(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = []
+    for c in range(5):
+        base = [f"c{c}t{i}" for i in range(40)]
+        for _ in range(14):
+            other = list(base)
+            for _ in range(rng.integers(0, 3)):
+                other[rng.integers(0, len(other))] = f"x{rng.integers(0, 30)}"
+            texts.append(" ".join(other))
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+    grams = [set(zip(*(t.split()[i:] for i in range(3)), strict=False)) for t in texts]
+    kept: list[int] = []
+    for i, g in enumerate(grams):
+        if all(len(g & grams[j]) / len(g | grams[j]) < 0.85 for j in kept):
+            kept.append(i)
+    df = rows(spark, *({"text": t} for t in texts))
+    assert 5 <= len(kept) < len(texts)
+    for hot in (3, 1000):
+        monkeypatch.setattr(dedup, "HOT", hot)
+        assert sorted(r["row_idx"] for r in dedup.near_deduplicate(df).collect()) == kept
+
+
+def test_minhash_equals_plain_integers():
+    sets = [[5], [1, 2, 3], list(range(100, 400)), [(1 << 31) - 1, 7]]
+    a, b = dedup.permutations_of(16)
+    got = dedup.minhash(np.concatenate([np.array(s) for s in sets]), np.cumsum([0] + [len(s) for s in sets[:-1]]), a, b)
+    prime = (1 << 61) - 1
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        assert got[i].tolist() == [min((v * x + y) % prime for v in s) for s in sets]
+
+
 def test_validation_rules(spark):
     assert fields(rows(spark, {})) == []
     bad = dict(label=1, intent_label=1, intent="direct_injection", technique="instruction_override", severity=8)
@@ -110,6 +142,12 @@ def test_derived_and_reports(spark):
     assert found["intent_label_named", "benign"] == 8
 
 
+def test_truth_of_texts_and_numbers(spark):
+    df = spark.createDataFrame([("maybe", float("nan"), 0), ("", 0.0, 2), (None, None, None), ("False", 1.0, 0)], "s string, d double, i int")
+    got = [df.select(records.truth(df, c).alias("x")).collect() for c in ("s", "d", "i", "none")]
+    assert [[r["x"] for r in some] for some in got] == [[True, False, False, True], [True, False, False, True], [False, True, False, False], [False] * 4]
+
+
 def test_macro_metrics(spark):
     df = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (2, 1), (None, 1)], "t int, p int")
     r = reports.macro_metrics(df, "t", "p").first()

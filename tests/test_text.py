@@ -29,6 +29,12 @@ def test_clean_text(spark, text, cleaned):
     assert one(spark, tx.clean_text(F.col("t")), t=text) == unicodedata.normalize("NFKC", cleaned)
 
 
+@pytest.mark.parametrize("text", ["a\u200d\u0301 x", "  Ａ\u2060\u0308 b", "e\x07\u0301", None, "plain", " \u200b\u0308", "가\u200d\u11a8", "\u1100\ufeff\u1161"])
+def test_fingerprint_of_a_cleaned_text(spark, text):
+    whole = tx.fingerprint_digest(tx.clean_text(F.col("t")))
+    assert one(spark, tx.fingerprint_digest(tx.clean_text(F.col("t")), cleaned=True), t=text) == one(spark, whole, t=text)
+
+
 def test_switches(spark):
     off = CleaningConfig(False, False, False, False, False, False)
     assert one(spark, tx.clean_text(F.col("t"), off), t=" ﬁ \x07") == " ﬁ \x07"
