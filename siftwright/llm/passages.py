@@ -1,7 +1,8 @@
 """Substring dedup: repeated passages across documents by collinear chaining, fuzzy ones included.
 
 1. Seeds. Of the hashes of five consecutive words, the smallest of each window of twelve is kept (with its place), so
-   documents that share 16 consecutive words share a seed.
+   documents that share 16 consecutive words share a seed. Five words of which two at most are distinct ("the the the")
+   are low-complexity text, as sequence aligners mask it: they are no seeds, and a text of nothing else has no passage.
 2. Matches. Each seed's first place (smallest id, then place) is a partial aggregate; every other place joins it. A
    seed that thousands of documents share gives one match each, never pairs among them.
 3. Chains. A document's matches are at most its seeds. Those on one diagonal merge; blocks with one earlier document
@@ -14,7 +15,7 @@
 6. Windows. A seed meets its first place only, which may hold nothing but a line of the passage. Where all seeds of
    ``MIN_WORDS`` words have an earlier place and no passage holds them, the words have an anchor, their least seed; all
    places of anchors give hashes of their whole windows, and each hash's first place is joined. So an exact repeat of
-   ``MIN_WORDS`` words is found whoever else holds its seeds.
+   ``MIN_WORDS`` words without low-complexity text is found whoever else holds its seeds.
 
 Words are white-space separated, A-Z lower-cased. A repeat within one document is none. Defined results: null, empty
 and short texts have no passage; rows that share id and text are one document; rows that share an id alone are told
@@ -29,41 +30,76 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwright.llm.common import WORD_BYTES, ascii_lower, discard, group_starts, slices, whole_groups, written
+from siftwright.llm.common import WORD_BYTES, discard, group_starts, slices, whole_groups, written
 
 K = 5
 WINDOW = 12
 MIN_WORDS = 50
 MIN_PART = K + WINDOW - 1
 SIMILARITY = 0.8
+LEAST = int(MIN_WORDS * SIMILARITY)  #: words that a text needs to hold its part of a passage
+LEAST_DISTINCT = 3  #: distinct words of a k-mer that is no low-complexity text
 GAP_COST = 0.25  #: of a word that a chain skips in either text
 MARGIN = 64  #: words fetched beyond a chain's ends
 BLOCK = 128  #: words of a fetched block
 JOINED = 2  #: words between parts that are still one passage
 LOOK = 12  #: words searched in each text for the place where a broken off extension goes on
-WIDE_GAP = 64  #: words of a gap that is aligned by dynamic programming; a wider one splits the part
+WIDE_GAP = 64  #: words of a gap that is aligned by dynamic programming; a wider one is compared word by word, or splits the part
 NO_ID = -(1 << 63)
 
 _POWERS = np.cumprod(np.full(MIN_WORDS, 0x9E3779B97F4A7C15, np.uint64))
 _SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
+_MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
+#: A number for each byte: A-Z as a-z, white space none.
+_BYTES = np.random.default_rng(41).integers(1, 1 << 63, 256, dtype=np.uint64)
+_BYTES[65:91] = _BYTES[97:123]
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_BYTES[_SPACE] = 0
+_PLACES = np.cumprod(np.full(4096, 0xD6E8FEB86659FD93, np.uint64))
+PIECE = 1 << 20  #: bytes hashed by one numpy call; a longer word is a piece of its own
+SLICE = 1_000_000  #: characters of the texts whose words are held at once; a longer text is alone
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered."""
 
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+def _mixed(values: np.ndarray) -> np.ndarray:
+    values = values ^ (values >> np.uint64(29))
+    values *= np.uint64(0xBF58476D1CE4E5B9)
+    return values ^ (values >> np.uint64(32))
 
-    def of(self, text: str | None) -> np.ndarray:
-        words = WORD_BYTES.findall(ascii_lower((text or "").encode("utf-8")))
-        if len(self) > 300_000:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts, and the first word of each text and the end: no Python object a word.
+
+    A word's hash is the sum of a number for each byte times a power for its place, mixed.
+    """
+    texts = texts.fill_null("")
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    buffers = texts.buffers()
+    if not len(texts) or buffers[2] is None:
+        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    ends = np.frombuffer(buffers[1], wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(buffers[2], np.uint8)[ends[0] : ends[-1]]
+    ends -= ends[0]
+    word = ~_SPACE[data]
+    fresh = np.ones(len(data), bool)
+    fresh[1:] = ~word[:-1]
+    fresh[ends[:-1][ends[:-1] < len(data)]] = True  # a text's first byte
+    starts = np.flatnonzero(word & fresh)
+    first = np.searchsorted(starts, ends)
+    hashes = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + PIECE)))
+        begin, end = int(starts[at]), int(starts[to]) if to < len(starts) else len(data)
+        own = starts[at:to] - begin
+        inside = np.arange(end - begin, dtype=np.int32) - np.repeat(own, np.diff(own, append=end - begin)).astype(np.int32)
+        hashes[at:to] = np.add.reduceat(_BYTES[data[begin:end]] * _PLACES[inside & 4095], own)
+        at = to
+    return _mixed(hashes), first
 
 
 def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
@@ -75,48 +111,70 @@ def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
     return out if done == width else best(out[: len(out) - (width - done)], out[width - done :])
 
 
-def seeds_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, places) of the kept k-mers of word hashes."""
+def _distinct(words: np.ndarray) -> np.ndarray:
+    """Number of distinct words of each K consecutive ones."""
+    n = len(words) - K + 1
+    equal = [None, *(words[:-d] == words[d:] for d in range(1, K))]
+    out = np.ones(n, np.int8)
+    for j in range(1, K):
+        seen = equal[1][j - 1 : j - 1 + n].copy()
+        for d in range(2, j + 1):
+            seen |= equal[d][j - d : j - d + n]
+        out += ~seen
+    return out
+
+
+def seeds_of(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, place, is the text's first with this hash) of the kept k-mers of texts' word hashes.
+
+    k-mers of two distinct words or one are low-complexity text and never kept; texts of fewer words than a passage
+    must agree in have none.
+    """
+    sizes = np.diff(first)
+    long = sizes >= LEAST
+    texts, sizes, words = np.flatnonzero(long), sizes[long], words[np.repeat(long, sizes)]
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    if not len(texts):
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 2, np.zeros(0, bool)
     n = len(words) - K + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     mixed = np.zeros(n, np.uint64)
     for j in range(K):
         mixed += words[j : j + n] * _SPREAD[j]
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    mixed ^= mixed >> np.uint64(32)
-    width = min(WINDOW, n)
-    least = _sliding(mixed, width, np.minimum)
-    pad = np.zeros(width - 1, np.uint64)
-    at = np.flatnonzero(mixed == _sliding(np.concatenate([pad, least, pad]), width, np.maximum))
+    mixed = _mixed(mixed)
+    mixed[(_distinct(words) < LEAST_DISTINCT) | (mixed == 0)] = _MOST
+    cut = lambda width: (first[1:-1, None] - np.arange(1, width)).ravel()  # noqa: E731  those that go over a text's end
+    mixed[cut(K)] = _MOST
+    least = _sliding(mixed, WINDOW, np.minimum)
+    least[least == _MOST] = 0
+    least[cut(MIN_PART)] = 0
+    pad = np.zeros(WINDOW - 1, np.uint64)
+    at = np.flatnonzero(mixed == _sliding(np.concatenate([pad, least, pad]), WINDOW, np.maximum))
+    if not len(at):
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 2, np.zeros(0, bool)
+    row = np.searchsorted(first, at, "right") - 1
+    order = np.lexsort((at, mixed[at]))
+    at, row = at[order], row[order]
+    held = np.zeros(len(at), bool)  # the same k-mer in the same text
+    held[1:] = (mixed[at[1:]] == mixed[at[:-1]]) & (row[1:] == row[:-1])
     # where one k-mer comes again and again, a place a window is enough
-    at = at[np.lexsort((at, mixed[at]))]
-    close = np.zeros(len(at), bool)
-    close[1:] = (mixed[at[1:]] == mixed[at[:-1]]) & (at[1:] - at[:-1] < width)
+    close = held.copy()
+    close[1:] &= at[1:] - at[:-1] < WINDOW
     starts = np.flatnonzero(~close)
-    lap = (at - np.repeat(at[starts], np.diff(np.concatenate([starts, [len(at)]])))) // width
-    fresh = ~close
-    fresh[1:] |= lap[1:] != lap[:-1]
-    at = np.sort(at[fresh])
-    return mixed[at], at
+    lap = (at - np.repeat(at[starts], np.diff(starts, append=len(at)))) // WINDOW
+    keep = ~close
+    keep[1:] |= lap[1:] != lap[:-1]
+    at, row, held = at[keep], row[keep], held[keep]
+    order = np.argsort(at)
+    at, row, held = at[order], row[order], held[order]
+    return mixed[at], texts[row], at - first[row], ~held
 
 
 def _emit_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE):
+        seed, text, place, fresh = seeds_of(*words_of(batch.column("text")))
         ids, marks = batch.column("id").to_numpy(), batch.column("mark").to_numpy().astype(np.int64)
-        found = [seeds_of(hashes.of(t)) for t in batch.column("text").to_pylist()]
-        sizes = [len(h) for h, _ in found]
-        place = np.concatenate([at for _, at in found])
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([h for h, _ in found]).view(np.int64)),
-                pa.array(np.repeat(ids, sizes)),
-                pa.array(np.repeat(marks, sizes) << 32 | place),
-            ],
-            names=["seed", "id", "at"],
-        )
+        columns = [pa.array(seed.view(np.int64)), pa.array(ids[text]), pa.array(marks[text] << 32 | place), pa.array(fresh)]
+        yield pa.RecordBatch.from_arrays(columns, names=["seed", "id", "at", "fresh"])
 
 
 class _PrefixMax:
@@ -215,12 +273,12 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _emit_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The wanted blocks of documents as 32 bits of each word's hash."""
-    hashes = WordHashes()
-    for batch in slices(batches, "text"):
-        rows = []
-        for i, mark, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("bid", "bmark", "text", "wanted")), strict=True):
-            words = hashes.of(text).astype(np.uint32)
-            rows += [(i, mark, b, words[b * BLOCK : (b + 1) * BLOCK].tobytes()) for b in wanted if 0 <= b * BLOCK < len(words)]
+    for batch in slices(batches, "text", SLICE):
+        words, first = words_of(batch.column("text"))
+        words, rows = words.astype(np.uint32), []
+        keys = (batch.column(c).to_pylist() for c in ("bid", "bmark", "wanted"))
+        for i, mark, wanted, a, b in zip(*keys, first[:-1].tolist(), first[1:].tolist(), strict=True):
+            rows += [(i, mark, at, words[a + at * BLOCK : min(a + (at + 1) * BLOCK, b)].tobytes()) for at in wanted if 0 <= at * BLOCK < b - a]
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
         columns = zip(*rows, strict=True) if rows else [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["bid", "bmark", "block", "words"])
@@ -253,7 +311,7 @@ def _run(a: np.ndarray, b: np.ndarray, cost: int) -> tuple[int, int, int]:
 def _extend(a: np.ndarray, b: np.ndarray, cost: int = 2) -> tuple[int, int, int]:
     """(words of a, words of b, agreeing words) to go on, over words inserted or deleted as well.
 
-    Where a run breaks off, the nearest three agreeing words within LOOK words of each text take it on. The best sum of
+    Where a run breaks off, the nearest two agreeing words within LOOK words of each text take it on. The best sum of
     +1 for agreeing and -cost for other words is kept; it's given up at LOOK * cost below the best.
     """
     i, agree, score = _run(a, b, cost)
@@ -261,13 +319,13 @@ def _extend(a: np.ndarray, b: np.ndarray, cost: int = 2) -> tuple[int, int, int]
     best, most = (i, j, agree), score
     while True:
         p, q = a[i : i + LOOK], b[j : j + LOOK]
-        if min(len(p), len(q)) < 3:
+        if min(len(p), len(q)) < 2:
             return best
         met = (p[:, None] == q) & (p != 0)[:, None]
-        three = np.argwhere(met[:-2, :-2] & met[1:-1, 1:-1] & met[2:, 2:])
-        if not len(three):
+        two = np.argwhere(met[:-1, :-1] & met[1:, 1:])
+        if not len(two):
             return best
-        di, dj = min(three.tolist(), key=lambda at: (max(at), sum(at)))
+        di, dj = min(two.tolist(), key=lambda at: (max(at), sum(at)))
         n, more, gain = _run(a[i + di :], b[j + dj :], cost)
         i, j, agree, score = i + di + n, j + dj + n, agree + more, score + gain - cost * max(di, dj)
         if score > most:
@@ -287,8 +345,8 @@ def align(x: np.ndarray, r: np.ndarray, blocks: list[tuple[int, int, int]]) -> l
         if parts:
             px, ex, pr, er, so_far = parts[-1]
             gx, gr = bx - ex, br - er
-            if 0 <= gx <= WIDE_GAP and 0 <= gr <= WIDE_GAP:
-                more = so_far + _gap(x[ex:bx], r[er:br]) + agree
+            if (0 <= gx <= WIDE_GAP and 0 <= gr <= WIDE_GAP) or gx == gr >= 0:
+                more = so_far + agree + (int((x[ex:bx] == r[er:br]).sum()) if gx > WIDE_GAP else _gap(x[ex:bx], r[er:br]))
                 if more >= SIMILARITY * max(bx + n - px, br + n - pr):
                     parts[-1] = (px, bx + n, pr, br + n, more)
                     continue
@@ -297,7 +355,7 @@ def align(x: np.ndarray, r: np.ndarray, blocks: list[tuple[int, int, int]]) -> l
     for sx, ex, sr, er, agree in parts:
         before = x[max(sx - MARGIN, 0) : sx][::-1], r[max(sr - MARGIN, 0) : sr][::-1]
         behind = x[ex : ex + MARGIN], r[er : er + MARGIN]
-        for cost in (2, 4):  # at 4 an extension has SIMILARITY itself
+        for cost in (1, 2, 4):  # at 4 an extension has SIMILARITY itself
             (xl, rl, more_left), (xr, rr, more_right) = _extend(*before, cost), _extend(*behind, cost)
             part = (sx - xl, ex + xr, sr - rl, er + rr, agree + more_left + more_right)
             if part[4] >= SIMILARITY * max(part[1] - part[0], part[3] - part[2]):
@@ -342,7 +400,7 @@ def open_windows(places: np.ndarray, seeds: np.ndarray, spans: list[tuple[int, i
     places, seeds, again = places[order], seeds[order].view(np.uint64), again[order]
     reach = np.where(again, 2 * WINDOW, WINDOW)
     cuts = np.flatnonzero(np.diff(places) > np.maximum(reach[1:], reach[:-1])) + 1
-    most, width, out = np.uint64(0xFFFFFFFFFFFFFFFF), MIN_WORDS - K + 1, []
+    most, width, out = _MOST, MIN_WORDS - K + 1, []
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(places)], strict=True):
         low = max(int(places[a] - reach[a]) + 1, 0)
         n = int(places[b - 1] + K + reach[b - 1]) - 1 - MIN_WORDS - low + 1  # starts of windows
@@ -391,40 +449,56 @@ def _rows(me: tuple, found: list[tuple]) -> Iterator[tuple]:
         yield (*me, start, end, best[5], best[2], best[3], best[4], sorted({i for p in held for i in p[6]}))
 
 
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and values of a list column; of nulls, empty."""
+    column = column.combine_chunks()
+    return column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+
+
+def _valid(column: pa.ChunkedArray) -> np.ndarray:
+    return column.is_valid().to_numpy()
+
+
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chains and blocks sorted by document to its passages and open windows."""
     for table in whole_groups(batches, ["id", "mark"]):
-        starts = group_starts(table.column("id").to_numpy(), table.column("mark").to_numpy())
+        id_, mark = table.column("id").to_numpy(), table.column("mark").to_numpy()
+        starts = group_starts(id_, mark)
+        is_block, is_match = _valid(table.column("words")), _valid(table.column("seeds"))
+        other, rmark, block = (table.column(c).fill_null(0).to_numpy() for c in ("bid", "bmark", "block"))
+        lists = {c: _lists(table.column(c)) for c in ("xs", "rs", "ns", "seeds")}
+        column = table.column("words").combine_chunks()
+        some = lambda c, i: lists[c][1][lists[c][0][i] : lists[c][0][i + 1]]
         rows = []
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
-            own = table.slice(a, b - a).to_pylist()
+            own = np.arange(a, b)
             words: dict[tuple, list] = {}
-            for row in own:
-                if row["words"] is not None:
-                    words.setdefault((row["bid"], row["bmark"]), []).append((row["block"], row["words"]))
+            for i in own[is_block[a:b]].tolist():
+                words.setdefault((int(other[i]), int(rmark[i])), []).append((int(block[i]), column[i].as_buffer()))
             placed = {key: _place(found) for key, found in words.items()}
-            me = own[0]["id"], own[0]["mark"]
-            parts, matches = [], []
-            for row in own:
-                other = row["bid"], row["bmark"]
-                if row["seeds"] is not None:
-                    matches.append((np.array(row["xs"], np.int64), np.array(row["seeds"], np.int64)))
-                elif row["xs"] is not None and me in placed and other in placed:
-                    blocks = list(zip(row["xs"], row["rs"], row["ns"], strict=True))
-                    parts += [(*p, other[0], (other[0],)) for p in align(placed[me], placed[other], blocks)]
+            me = int(id_[a]), int(mark[a])
+            parts = []
+            for i in own[~is_block[a:b] & ~is_match[a:b]].tolist():
+                ref = int(other[i]), int(rmark[i])
+                if me in placed and ref in placed:
+                    blocks = list(zip(*(some(c, i).tolist() for c in ("xs", "rs", "ns")), strict=True))
+                    parts += [(*p, ref[0], (ref[0],)) for p in align(placed[me], placed[ref], blocks)]
             found = merge(parts)
             rows += [(*row, None, None, None) for row in _rows(me, found)]
-            for some in matches:
-                rows += [(*me, *[None] * 7, *window) for window in open_windows(*some, [f[:2] for f in found])]
+            for i in own[is_match[a:b]].tolist():
+                open_ = open_windows(some("xs", i).astype(np.int64), some("seeds", i), [f[:2] for f in found])
+                rows += [(*me, *[None] * 7, *window) for window in open_]
         yield _batch(rows, FOUND)
 
 
 def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of the windows around the anchors of documents."""
-    hashes = WordHashes()
-    for batch in slices(batches, "text"):
-        for i, mark, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("id", "mark", "text", "wanted")), strict=True):
-            words = hashes.of(text)
+    for batch in slices(batches, "text", SLICE):
+        hashes, first = words_of(batch.column("text"))
+        hashes ^= hashes >> np.uint64(31)
+        keys = (batch.column(c).to_pylist() for c in ("id", "mark", "wanted"))
+        for i, mark, wanted, a, b in zip(*keys, first[:-1].tolist(), first[1:].tolist(), strict=True):
+            words = hashes[a:b]
             if len(words) < MIN_WORDS:
                 continue
             asked = np.zeros(len(words) - MIN_WORDS + 2, np.int64)
@@ -436,7 +510,7 @@ def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             for some in np.array_split(starts, len(starts) // 50_000 + 1):
                 window = np.zeros(len(some), np.uint64)
                 for j in range(MIN_WORDS):
-                    window += (words[some + j] ^ (words[some + j] >> np.uint64(31))) * _POWERS[j]
+                    window += words[some + j] * _POWERS[j]
                 window ^= window >> np.uint64(32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(window.view(np.int64)), pa.array(np.full(len(some), i, np.int64)), pa.array(np.int64(mark) << 32 | some)],
@@ -487,9 +561,10 @@ def _blocks_between(low: Column, high: Column) -> Column:
 def find_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Passages (columns PASSAGES) of documents that an earlier document has; words are counted from 0."""
     keyed = _keyed(docs, doc_id, text)
-    seeds = written(keyed.mapInArrow(_emit_seeds, "seed long, id long, at long"), "passage-seeds")
-    first = seeds.groupBy("seed").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n"))
-    first = first.filter("n > 1").select("seed", F.col("first.id").alias("rid"), F.col("first.at").alias("rat"))
+    seeds = written(keyed.mapInArrow(_emit_seeds, "seed long, id long, at long, fresh boolean"), "passage-seeds")
+    # two numbers rather than a struct, so that it is a hash aggregate; a text has one fresh place a seed
+    first = seeds.filter("fresh").groupBy("seed").agg(F.min("id").alias("rid"), F.min_by("at", "id").alias("rat"), F.count("*").alias("n"))
+    first = first.filter("n > 1").drop("n")
     first = written(first, "passage-firsts")  # so that both sides of the join are exchanges, which AQE can split
     mark = lambda at: F.shiftright(at, 32).cast("int")
     place = lambda at: F.col(at).bitwiseAND((1 << 32) - 1).cast("int")

@@ -1,6 +1,10 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
 from siftwright.llm import passages
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -26,6 +30,39 @@ def corpus(seed=7, n=60):
     return texts, holds
 
 
+def test_word_hashes_are_those_of_the_words():
+    texts = ["A b\tc", None, "", " é  B a", "x" * 5000 + " " + "y" * 9000 + "x", "\x0b\x1c a", "b", "\n", "日本 " * 40]
+    for piece in (passages.PIECE, 7):
+        passages.PIECE, before = piece, passages.PIECE
+        hashes, first = passages.words_of(pa.array(["dropped", *texts, "also"])[1:-1])
+        passages.PIECE = before
+        words = [w.lower() if w.isascii() else w for t in texts for w in WORD.findall(t or "")]
+        assert first.tolist() == np.cumsum([0] + [len(WORD.findall(t or "")) for t in texts]).tolist()
+        assert [words[i] for i in np.unique(hashes, return_index=True)[1]] == [words[words.index(words[i])] for i in np.unique(hashes, return_index=True)[1]]
+        assert len(set(hashes.tolist())) == len(set(words)) and all((a == b) == (x == y) for a, x in zip(hashes, words, strict=True) for b, y in zip(hashes, words, strict=True))
+    assert passages.words_of(pa.array([], pa.string()))[1].tolist() == [0]
+
+
+def test_seeds_equal_plain_minimizers():
+    rng = random.Random(9)
+    texts = [[f"w{rng.randrange(9 if i % 2 else 500)}" for _ in range(rng.choice([0, 3, 39, 40, 60, 200]))] for i in range(60)]
+    texts += [["the"] * 90, [f"w{i}" for i in range(50)] + ["a", "b"] * 40]
+    words, first = passages.words_of(pa.array([" ".join(t) for t in texts]))
+    seed, text, place, fresh = passages.seeds_of(words, first)
+    got = [set() for _ in texts]
+    for s, t, p in zip(seed.tolist(), text.tolist(), place.tolist(), strict=True):
+        got[t].add((s, p))
+    for i, t in enumerate(texts):
+        own, own_first = passages.words_of(pa.array([" ".join(t)]))
+        alone = passages.seeds_of(own, own_first)
+        assert got[i] == set(zip(alone[0].tolist(), alone[2].tolist(), strict=True))
+        places = {p for _, p in got[i]}
+        assert all(len(set(t[p : p + 5])) > 2 for p in places) and (len(t) >= 40 or not places)
+        if len(set(t)) > 400:
+            assert all(any(w <= p < w + 12 for p in places) for w in range(len(t) - 15))
+    assert fresh.sum() == len({(s, t) for s, t in zip(seed.tolist(), text.tolist(), strict=True)})
+
+
 def test_chain_prefers_collinear_blocks():
     blocks = [(0, 100, 10), (12, 112, 10), (30, 20, 10), (40, 142, 10)]
     best = passages.chain(blocks)[0]
@@ -97,8 +134,7 @@ def test_edited_passage_with_a_single_seed_is_found():
     for i in (83, 92, 97, 109, 114, 120, 127, 133):
         two[i] = "edited"
     two.insert(104, "more")
-    hashes = passages.WordHashes()
-    x, r = (hashes.of(" ".join(t)).astype("uint32") for t in (two, one))
+    x, r = (passages.words_of(pa.array([" ".join(t)]))[0].astype("uint32") for t in (two, one))
     found = passages.merge([(*p, 1) for p in passages.align(x, r, [(98, 98, 5)])])
     assert [(s, e) for s, e, _ in found] == [(80, 141)]
     assert passages._extend(x[:0], r[:9]) == (0, 0, 0)
@@ -131,11 +167,11 @@ def test_shuffled_frequent_lines(spark):
 
 def test_edges(spark):
     long = " ".join(f"v{i}" for i in range(80))
-    again = "spam spam " * 300
-    rows = [(None, long), (1, long), (1, long), (2, None), (3, ""), (4, " \n "), (5, "x " + long + " y"), (6, again), (7, again), (8, "w " * 100_000)]
+    again, junk = "spam and eggs " * 300, "spam spam " * 300
+    rows = [(None, long), (1, long), (1, long), (2, None), (3, ""), (4, " \n "), (5, "x " + long + " y"), (6, again), (7, again), (8, "w " * 100_000), (9, junk), (10, junk), (11, long + " " + junk + long)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "length(text) as n_chars", "1 as mark", "'b' as block")
     got = {(r["doc_id"], r["ref_doc_id"]) for r in passages.list_passages(df).collect()}
-    assert got == {(1, None), (5, None), (7, 6)}
+    assert got == {(1, None), (5, None), (7, 6), (11, None)}
     kept = passages.drop_passages(df)
     assert kept.columns == df.columns
     left = {r["doc_id"]: (r["text"], r["n_chars"]) for r in kept.collect()}
@@ -143,6 +179,25 @@ def test_edges(spark):
     assert passages.drop_passages(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("share", "least"), [(0.05, 0.98), (0.1, 0.95), (0.15, 0.9), (0.2, 0.85)])
+def test_edited_passages_by_share_of_edits(spark, share, least):
+    rng = random.Random(int(share * 100))
+    make = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    rows, n = [], 60
+    for i in range(n):
+        shared = make(100)
+        edited = list(shared)
+        for at in rng.sample(range(100), round(100 * share)):
+            edited[at] = ("", f"e{at}", f"{edited[at]} e{at}")[rng.randrange(3)]
+        rows += [(i, " ".join(make(80) + shared + make(80))), (n + i, " ".join(make(80) + edited + make(80)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in passages.list_passages(df).collect()}
+    assert all(i >= n and found[i]["ref_doc_id"] == i - n for i in found)
+    assert len(found) >= least * n
+    inside = sum(r["end_word"] - r["start_word"] for r in found.values())
+    assert inside <= 1.1 * 110 * n
+
+
 def test_cut_words():
     assert passages.cut_words("a  b\tc\nd", [(1, 3)]) == "a  d"
     assert passages.cut_words("é b", [(0, 1)]) == "b"
