@@ -8,10 +8,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Removes a query's shuffle files when it ends. What is written is read from its table, never from them.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local folder only where that is unset."""
+    """spark.checkpoint.dir, or the folder set by setCheckpointDir(); a local folder only where neither is set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        path = held.get() if held.isDefined() else None
     if not path:
         path = tempfile.mkdtemp(prefix="siftwright-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
@@ -26,9 +32,36 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
+def write_once(df: DataFrame, path: str) -> None:
+    """Write df to a new path and let go of the shuffle files that made it."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            conf.unset(_CLEANUP)
+        else:
+            conf.set(_CLEANUP, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_forget, df.sparkSession, path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a Parquet table in the shared folder, read back.
+
+    Lineage ends here and survives lost executors: they cost no more than a re-read. Each call has a path of its own,
+    removed by discard() or when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, path)
+    write_once(df, path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that no later result reads."""
+    for table in tables:
+        _forget(table.sparkSession, table.scratch_path)
