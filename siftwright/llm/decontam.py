@@ -18,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwright.llm.common import id_text, written
+from siftwright.llm.common import id_text
+from siftwright.shared import written
 
 #: Words are ASCII digits, ASCII letters and everything beyond ASCII, after A-Z are lower-cased.
 BENCH_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -33,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwright.llm.common import WORD_BYTES, discard, group_starts, slices, whole_groups, written
+from siftwright.llm.common import WORD_BYTES, group_starts, slices, whole_groups
+from siftwright.shared import discard, written
 
 K = 5
 WINDOW = 12

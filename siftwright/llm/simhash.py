@@ -26,8 +26,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwright.llm.common import WORD_BYTES, ascii_lower, written
+from siftwright.llm.common import WORD_BYTES, ascii_lower
 from siftwright.llm.components import star_forest
+from siftwright.shared import written
 
 SHINGLE = 4
 SEED = 42
