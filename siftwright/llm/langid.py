@@ -1,18 +1,21 @@
 """Language identification by multinomial naive Bayes over hashed character n-grams.
 
-Letters are lower-cased, everything else is one space; n-grams of one to three characters are hashed to buckets.
-Counts come from a bounded sample of labelled rows, ``per_language`` documents of each language in expectation
-(chosen by a hash of the id, whole texts); they are summed on the executors, and what reaches the driver is one row
-for each language and bucket at most. The log-probability matrix (buckets x languages, float32) is broadcast; a batch
+Letters (Unicode's categories L) are lower-cased, everything else is one space; n-grams of one to three characters are
+hashed to buckets. Counts come from a bounded sample of labelled rows, ``per_language`` documents of each language in
+expectation (chosen by a hash of the id, whole texts) and the ``most_languages`` languages with the most rows; they
+are summed on the executors, and what reaches the driver is one row for each language and bucket at most. The
+log-probability matrix (buckets x languages, float32) is broadcast; a batch
 of documents is a sparse matrix of bucket indices and row ends, scored by a gather and a segmented sum.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0; a tie goes to the first language by
+Defined results: a null text, or one without a letter, is ``und`` with score 0 (numbers such as \u00b2, \u00bd and \u2167 are no
+letters); a tie goes to the first language by
 name; without any labelled row every text is ``und``; repeated rows and extra columns change nothing.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,11 +31,14 @@ UND = "und"
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 PER_LANGUAGE = 5_000  #: documents of each language that are learned from, in expectation
+MOST_LANGUAGES = 256  #: that are learned, those with the most rows: bounds the matrix, however dirty the column is
 SMOOTHING = 0.5
 FOLDS, HELD_OUT = 4, 2
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
-_LETTER = re.compile(r"[^\W\d_]")
+#: Numbers that are word characters but neither digits nor letters, such as superscripts, fractions and Roman numerals.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_NOT_LETTERS = re.compile(rf"[\W\d_{_NUMBERS}]+")
+_LETTER = re.compile(rf"[^\W\d_{_NUMBERS}]")
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 #: Characters scored at once; a longer document takes as many rounds as it needs.
 BLOCK = 1 << 20
@@ -45,8 +51,14 @@ def plain(text: str | None) -> str:
     return f" {_NOT_LETTERS.sub(' ', text.lower()).strip()} "
 
 
+def blocks_of(letters: str) -> Iterator[str]:
+    """Pieces of BLOCK characters, each with the characters that n-grams beginning in it go on to."""
+    for at in range(0, len(letters), BLOCK):
+        yield letters[at : at + BLOCK + max(ORDERS) - 1]
+
+
 def buckets_of(text: str, buckets: int = BUCKETS) -> np.ndarray:
-    """Bucket of each n-gram, all orders one after the other."""
+    """Bucket of each n-gram that begins in the first BLOCK characters, all orders one after the other."""
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     shift = np.uint32(32 - (buckets.bit_length() - 1))
     parts, rolled = [], None
@@ -56,7 +68,7 @@ def buckets_of(text: str, buckets: int = BUCKETS) -> np.ndarray:
         ahead = codes[order - 1 :]
         rolled = ahead + np.uint32(1) if rolled is None else rolled[: len(ahead)] * _MULTIPLIERS[1] + ahead + np.uint32(order)
         mixed = (rolled ^ (rolled >> np.uint32(15))) * _MULTIPLIERS[0]
-        parts.append((mixed ^ (mixed >> np.uint32(13))) * _MULTIPLIERS[2] >> shift)
+        parts.append(((mixed ^ (mixed >> np.uint32(13))) * _MULTIPLIERS[2] >> shift)[:BLOCK])
     return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 
@@ -87,8 +99,8 @@ class Model:
             if not letters:
                 continue
             known[row] = True
-            for at in range(0, len(letters), BLOCK):
-                found = buckets_of(letters[at : at + BLOCK], len(self.log_probs))
+            for block in blocks_of(letters):
+                found = buckets_of(block, len(self.log_probs))
                 held.append((row, found))
                 size += len(found)
                 if size >= 2 * BLOCK:
@@ -109,28 +121,28 @@ def fit(
     text: str = "text",
     lang: str = "lang",
     per_language: int = PER_LANGUAGE,
+    most_languages: int = MOST_LANGUAGES,
     buckets: int = BUCKETS,
 ) -> Model:
     """Learn from rows outside the held-out fold whose language is known."""
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & (fold("id", FOLDS) != HELD_OUT))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    ranked = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
+    sizes = {r["lang"]: r["count"] for r in ranked.collect()}
     languages = tuple(sorted(sizes))
     if not languages:
         return Model((), np.zeros((buckets, 0), np.float32), np.zeros(0))
-    rate = F.lit(1.0)
-    for name, n in sizes.items():
-        rate = F.when(F.col("lang") == name, F.lit(min(1.0, per_language / n))).otherwise(rate)
+    rates = docs.sparkSession.createDataFrame([(name, min(1.0, per_language / n)) for name, n in sizes.items()], "lang string, rate double")
     draw = F.pmod(F.xxhash64(id_text("id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.filter(draw < rate).select("lang", "text")
+    sample = rows.join(F.broadcast(rates), "lang").filter(draw < F.col("rate")).select("lang", "text")  # most_languages rows at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in slices(batches, "text"):
             for name, value in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 letters = plain(value)
-                for at in range(0, len(letters), BLOCK):
-                    found = np.bincount(buckets_of(letters[at : at + BLOCK], buckets), minlength=buckets)
+                for block in blocks_of(letters):
+                    found = np.bincount(buckets_of(block, buckets), minlength=buckets)
                     sums[name] = sums[name] + found if name in sums else found
         for name, total in sums.items():
             at = np.flatnonzero(total)
