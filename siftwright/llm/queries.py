@@ -114,16 +114,18 @@ from drawn join planned on drawn.source is not distinct from planned.source
 """
 
 OP6_SQL = """
-with whole as (
-  select conv_id, list((coalesce(role, '') || chr(10) || coalesce(text, '')) order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as turns
-  from conversations group by conv_id
+with rows as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text, case when conv_id is null then row_number() over () end as r from conversations
+), whole as (
+  select conv_id, list({'role': role, 'text': text} order by turn nulls first, role, text) as turns from rows group by conv_id, r
 ), firsts as (
   select turns, min(conv_id) as conv_id, count(*) as n_copies from whole group by turns
 ), shorter as (
   select distinct turns[1:n] as turns from (select turns, unnest(range(1, len(turns))) as n from firsts)
 )
 select conv_id, len(turns)::bigint as n_turns, n_copies::bigint as n_copies,
-  list_aggregate(list_transform(turns, lambda t: '<|im_start|>' || t || '<|im_end|>' || chr(10)), 'string_agg', '') as rendered
+  list_aggregate(list_transform(turns, lambda t: '<|im_start|>' || replace(replace(t.role || chr(10) || t.text,
+    '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') || '<|im_end|>' || chr(10)), 'string_agg', '') as rendered
 from firsts where turns not in (select turns from shorter)
 """
 
