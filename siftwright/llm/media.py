@@ -28,7 +28,28 @@ STORED = (
     "media_sha256 string, feature string"
 )
 
-_TOKEN = re.compile(rb"(?:\s|#[^\n]*\n)*([^\s#]+)")
+_TOKEN = re.compile(rb"(?:\s|#[^\n\r]*[\n\r])*([0-9]+)(?=[\s#]|$)")
+_COMMENT = re.compile(rb"#[^\n\r]*")
+
+
+def _number(digits: bytes) -> int:
+    """A number of an image's head or samples; ValueError beyond 31 bits, however many digits it has."""
+    digits = digits.lstrip(b"0") or b"0"
+    if not digits.isdigit() or len(digits) > 10 or int(digits) >= 1 << 31:
+        raise ValueError("number out of range")
+    return int(digits)
+
+
+def _plain_samples(kind: bytes, body: bytes, count: int) -> np.ndarray:
+    """The first count samples in digits; P1's need no white space between them."""
+    body = _COMMENT.sub(b"", body)
+    values = body.split()
+    if kind == b"P1":
+        joined = np.frombuffer(b"".join(values), np.uint8)[:count]
+        if (joined >> 1 != ord("0") >> 1).any():
+            raise ValueError("netpbm bit that is neither 0 nor 1")
+        return joined & 1
+    return np.array([_number(v) for v in values[:count]], np.int64)
 
 
 def _netpbm(data: bytes) -> np.ndarray:
@@ -37,8 +58,8 @@ def _netpbm(data: bytes) -> np.ndarray:
     for _ in range(need):
         m = _TOKEN.match(data, at)
         if not m:
-            raise ValueError("netpbm header ends early")
-        head.append(int(m[1]))
+            raise ValueError("netpbm header ends early or holds no number")
+        head.append(_number(m[1]))
         at = m.end()
     width, height = head[:2]
     most = head[2] if need == 3 else 1
@@ -47,19 +68,26 @@ def _netpbm(data: bytes) -> np.ndarray:
     planes = 3 if kind in (b"P3", b"P6") else 1
     count = width * height * planes
     if kind in (b"P1", b"P2", b"P3"):
-        body = re.sub(rb"#[^\n]*", b"", data[at:])
-        values = re.findall(rb"[01]", body) if kind == b"P1" else body.split()
-        samples = np.array(values[:count], dtype=np.int64)
+        if count > len(data):
+            raise ValueError("netpbm data ends early")
+        samples = _plain_samples(kind, data[at:], count)
     else:
-        at += 1  # one white space ends the header
+        if not data[at : at + 1].isspace():
+            raise ValueError("no white space after the netpbm header")
+        at += 1
+        row = (width + 7) // 8
+        wanted = row * height if kind == b"P4" else count * (1 if most < 256 else 2)
+        if wanted > len(data) - at:
+            raise ValueError("netpbm data ends early")
         if kind == b"P4":
-            row = (width + 7) // 8
-            bits = np.unpackbits(np.frombuffer(data, np.uint8, row * height, at).reshape(height, row), axis=1)
+            bits = np.unpackbits(np.frombuffer(data, np.uint8, wanted, at).reshape(height, row), axis=1)
             samples = bits[:, :width].reshape(-1)
         else:
             samples = np.frombuffer(data, np.uint8 if most < 256 else ">u2", count, at)
     if len(samples) != count:
         raise ValueError("netpbm data ends early")
+    if samples.max() > most:
+        raise ValueError("netpbm sample above the largest value")
     if need == 2:
         samples = (1 - samples) * 255  # 1 is black
     elif most != 255:
@@ -69,28 +97,43 @@ def _netpbm(data: bytes) -> np.ndarray:
 
 def _bmp(data: bytes) -> np.ndarray:
     word = lambda at, size=4, signed=False: int.from_bytes(data[at : at + size], "little", signed=signed)
+    if len(data) < 54:
+        raise ValueError("bmp header ends early")
     offset, header, width, height = word(10), word(14), word(18, signed=True), word(22, signed=True)
     depth, packed = word(28, 2), word(30)
-    if width <= 0 or height == 0 or depth not in (8, 24, 32) or packed not in (0, 3):
+    if header < 40 or width <= 0 or height == 0 or (depth, packed) not in ((8, 0), (24, 0), (32, 0), (32, 3)):
         raise ValueError("bmp of an unknown kind")
     row = (width * depth // 8 + 3) // 4 * 4
+    if row * abs(height) > len(data) - offset:
+        raise ValueError("bmp data ends early")
     rows = np.frombuffer(data, np.uint8, row * abs(height), offset).reshape(abs(height), row)
     rows = rows[::-1] if height > 0 else rows
     if depth == 8:
         colours = word(46) or 256
+        if colours > 256 or 14 + header + 4 * colours > len(data) or rows[:, :width].max() >= colours:
+            raise ValueError("bmp colour out of range")
         table = np.frombuffer(data, np.uint8, 4 * colours, 14 + header).reshape(-1, 4)
         return table[rows[:, :width]][:, :, 2::-1].copy()
-    return rows[:, : width * depth // 8].reshape(abs(height), width, depth // 8)[:, :, 2::-1].copy()
+    planes = [2, 1, 0]  # blue comes first
+    if packed == 3:
+        masks = [word(54 + 4 * i) for i in range(3)]
+        if len(data) < 66 or any(m not in (0xFF, 0xFF00, 0xFF0000, 0xFF000000) for m in masks) or len(set(masks)) < 3:
+            raise ValueError("bmp masks that aren't whole bytes")
+        planes = [(m.bit_length() - 1) // 8 for m in masks]
+    return rows[:, : width * depth // 8].reshape(abs(height), width, depth // 8)[:, :, planes].copy()
 
 
 def decode_image(data: bytes) -> np.ndarray:
-    """P1 to P6 or BMP (8, 24 or 32 bits, not compressed) to uint8 samples: height x width, or x 3 for colours."""
+    """P1 to P6 or BMP (8, 24 or 32 bits, not compressed) to uint8 samples: height x width, or x 3 for colours.
+
+    ValueError for anything else: numbers out of range, samples above the largest value, data that end early.
+    """
     try:
         if re.match(rb"P[1-6][\s#]", data):
             return _netpbm(data)
         if data[:2] == b"BM":
             return _bmp(data)
-    except (IndexError, TypeError) as e:
+    except (IndexError, TypeError, OverflowError) as e:
         raise ValueError(f"broken image: {e}") from e
     raise ValueError("neither Netpbm nor BMP")
 
