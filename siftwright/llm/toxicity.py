@@ -4,19 +4,23 @@ A text is the bag of its distinct words' subwords: each word with its ends marke
 share one table of embeddings, so a misspelling or an inflection that was never seen still has the n-grams of its
 word. The mean of the bag goes through a linear softmax; embeddings and softmax are trained jointly in numpy by
 full-batch gradient descent with Adam, on a bounded sample of labelled documents (whole texts): ``per_class`` of each
-class at most, those whose ids hash lowest. The bias is then moved a part of the way towards
+class at most, those whose ids hash lowest, and of a text with more than ``words_per_doc`` distinct words those that hash
+lowest; so what reaches the driver is bounded. The bias is then moved a part of the way towards
 the odds of all labelled rows.
 
 Since the softmax is linear, a word adds the same amount to the margin in every text: scoring sums what its subwords
 add. Only texts and labels go in; language, source and id are no inputs.
 
 Defined results: a null text is empty; a text without words scores by the bias alone; a document labelled more than
-once counts once, as toxic if any label says so; labels that are null or of unknown documents are left out; without
-both classes every score is the share of toxic labels (0 without labels); repeated rows score alike.
+once counts once, as toxic if any label says so; labels that are null or of unknown documents are left out before the
+sample is taken; of rows that repeat an id one is learned from, the text that hashes lowest; without both classes every
+score is the share of toxic labels (0 without labels); repeated rows score alike; extra columns, of whatever names,
+change nothing.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,17 +28,20 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwright.llm.common import fold, id_text, slices
+from siftwright.shared import written
 
 FOLDS, HELD_OUT = 5, 0
 PER_CLASS = 1_500  #: documents of each class that are learned from
 BUCKETS = 1 << 18
 ORDERS = (3, 4, 5)
 ODDS_POWER = 0.2  #: of the labelled rows' log-odds that the bias takes; the classes weigh the same in training
-MIN_USES = 20  #: occurrences of a subword in the sample, to have an embedding
+WORDS_PER_DOC = 20_000  #: distinct words of a sampled document that are learned from
+MIN_SHARE = 1 / 150  #: of the sampled documents: occurrences that a subword needs to have an embedding, two at least
 DIM = 4
 STEPS, RATE, DECAY, FLOOR = 100, 0.5, 0.01, 0.02
 WORDS_AT_ONCE = 100_000  #: words whose n-grams are hashed in one go
@@ -47,6 +54,14 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def bag_of(text: str | None, most: int = WORDS_PER_DOC) -> list[str]:
+    """A text's distinct words in order; of more than most, those that hash lowest."""
+    own = set(words_of(text))
+    if len(own) > most:
+        own = heapq.nsmallest(most, own, key=lambda w: (xxhash.xxh64_intdigest(w.encode("utf-8", "replace")), w))
+    return sorted(own)
+
+
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, index of its word) of all marked words and their n-grams, hashed by numpy."""
     if not words:
@@ -162,7 +177,7 @@ def train(bags: list[tuple[int, list[str]]], toxic_share: float, seed: int = 7)
     del found
     sizes = np.bincount(owner, minlength=len(names))
     seen = np.bincount(bucket, np.bincount(word, minlength=len(names))[owner], BUCKETS)
-    buckets = np.flatnonzero(seen >= MIN_USES)
+    buckets = np.flatnonzero(seen >= max(2, MIN_SHARE * len(bags)))
     place = np.full(BUCKETS, -1, np.int32)
     place[buckets] = np.arange(len(buckets))
     active = place[bucket] >= 0
@@ -218,21 +233,24 @@ def fit(
     label_id: str = "doc_id",
     label: str = "toxic",
     per_class: int = PER_CLASS,
+    words_per_doc: int = WORDS_PER_DOC,
 ) -> Model:
     """Learn from labelled rows outside the held-out fold."""
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     marked = labels.select(F.col(label_id).alias("id"), (F.col(label) > 0).cast("int").alias("label")).dropna()
     marked = marked.filter(fold("id", FOLDS) != HELD_OUT).groupBy("id").agg(F.max("label").alias("label"))
+    marked = written(marked.join(rows.select("id"), "id", "left_semi"), "toxic-labels")
     sizes = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
     if len(sizes) < 2:
         return _constant(float(sum(k * n for k, n in sizes.items()) > 0))
     first = (F.xxhash64(id_text("id")), F.col("id"))
     chosen = [marked.filter(F.col("label") == c).orderBy(*first).limit(per_class) for c in (0, 1)]
     sample = F.broadcast(chosen[0].union(chosen[1]))  # 2 x per_class rows at most
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).join(sample, "id").select("label", "text")
+    rows = rows.join(sample, "id").groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("label", "text")
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = [sorted(set(words_of(t))) for t in batch.column("text").to_pylist()]
+            found = [bag_of(t, words_per_doc) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("label"), pa.array(found, pa.list_(pa.string()))], names=["label", "words"]
             )
