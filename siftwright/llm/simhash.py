@@ -11,7 +11,8 @@ many fingerprints is cut into cells of bounded size, each pair of cuts being a t
 gives a spanning forest of its links instead of all pairs, which keeps every component.
 
 Defined results: a null or white-space text has fingerprint zero, which links like any other; the component of rows
-that all lack an id has a null id; repeated rows are one component; an empty table gives no row.
+that all lack an id has a null id; repeated rows are one component; a long text is hashed whole, some shingles at a time;
+extra columns, of whatever names, change nothing; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ CELL = 4096  #: fingerprints of an anchor that are compared in one unit
 DENSE = 4096  #: pairs in a cell above which a forest is emitted
 AT_ONCE = 1 << 20  #: pairs compared by one numpy call
 HASHES = 1 << 15  #: shingles hashed before their bits are summed
+HEAVY = 10_000  #: a fingerprint with more than this part of all rows is heavy; so there are fewer heavy ones than this
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -242,7 +244,7 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
 def group_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text_hash, fp (the fingerprint as a long), component_fp and component_id of every row."""
     rows = written(fingerprints(docs, doc_id=doc_id, text=text), "simhash")
-    first = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    first = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
     first = written(first, "simhash-distinct")
     stars = star_forest(near_links(first), "simhash-links")
     tree = stars.select(F.col("a").alias("fp"), F.col("b").alias("root")).union(stars.select("b", "b").distinct())
@@ -251,10 +253,19 @@ def group_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str
     linked = joined.select("fp", "root").join(roots, "root")
     ids = first.join(linked, "fp", "left").select(
         "fp",
+        "n",
         F.coalesce("root", "fp").alias("component_fp"),
         F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("least_id")).alias("component_id"),
     )
-    return rows.join(ids, "fp").select("doc_id", "text_hash", "fp", "component_fp", "component_id")
+    ids = written(ids, "simhash-ids")
+    # heavy fingerprints are fewer than HEAVY, so their rows meet a broadcast; no other has a notable part of the rows
+    total = first.agg(F.sum("n")).first()[0] or 0
+    is_heavy = F.col("n") * HEAVY > F.lit(total)
+    columns = ["fp", "component_fp", "component_id"]
+    told = rows.join(F.broadcast(ids.filter(is_heavy).select(*columns)), "fp", "left")
+    out = ["doc_id", "text_hash", *columns]
+    rest = told.filter(F.col("component_fp").isNull()).select("doc_id", "text_hash", "fp").join(ids.filter(~is_heavy).select(*columns), "fp")
+    return told.filter(F.col("component_fp").isNotNull()).select(*out).unionByName(rest.select(*out))
 
 
 def fingerprint_hex(fp: str = "fp"):

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from siftwright.llm import components, simhash
@@ -55,7 +56,9 @@ def test_code_covers_and_replicas_meet():
         assert homes & set(anchor[owner == 1].tolist())
 
 
-def test_groups_equal_brute_force(spark):
+@pytest.mark.parametrize("heavy", [1, 9, 10_000])
+def test_groups_equal_brute_force(spark, monkeypatch, heavy):
+    monkeypatch.setattr(simhash, "HEAVY", heavy)
     rng = random.Random(1)
     vocabulary = [f"w{i}" for i in range(300)]
     texts = [None, "", "  ", None]
