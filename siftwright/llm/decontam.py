@@ -6,11 +6,17 @@ benchmark; a hit is extended to all 10-word windows around it, which are matched
 windows. Items of fewer than 10 words are one window: its length's n-gram hashes stand in for the kept ones.
 
 The hashes decide candidates only; the joins on window texts decide, so collisions change nothing. A hit never joins
-item by item: documents meet distinct hashes, then distinct windows, and the items of a window last.
+item by item: documents meet distinct windows, and the items of a window last.
+
+Every text is read and cut into words once, and no text is shuffled, however many documents have candidates: the kept
+hashes of the benchmark become a bit field of bounded size (``BITS`` at most) that is part of the plan. A document's kept
+hashes are looked up in it, and the windows around hits leave the scan in the row they were found in. A fuller bit
+field lets more windows through to the exact join, and changes no result.
 
 Defined results: a null text has no words; an item without words has no window; rows that repeat an id are judged
-by their own texts; rows that repeat an item count once; without hits the items are the empty list. Where the tables
-of hashes or windows are small Spark broadcasts them by their written size, otherwise it shuffles.
+by their own texts; rows that repeat an item count once; without hits the items are the empty list; extra columns, of
+whatever names, change nothing. Where the table of windows is small Spark broadcasts it by its written size, otherwise it
+shuffles the candidates' windows.
 """
 
 from __future__ import annotations
@@ -25,6 +31,8 @@ from siftwright.shared import written
 BENCH_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPAN = 10
 GRAM = 5
+BITS = 1 << 24  #: of the bit field at most
+BITS_EACH = 1024  #: of the bit field for each hash, as far as that stays below BITS
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Characters beyond ASCII that lower() changes; without them lower() and A-Z lower-casing agree, and it is faster.
@@ -47,9 +55,9 @@ def _let(value: Column, body) -> Column:
 
 def _grams(words: Column, n: int) -> Column:
     """Hashes of n consecutive words; empty if there are fewer."""
-    at = F.sequence(F.lit(1), F.size(words) - (n - 1))
+    gram = lambda w, i: F.xxhash64(w, *(F.get(words, i + k) for k in range(1, n)))
     none = F.array().cast("array<bigint>")
-    return F.when(F.size(words) >= n, F.transform(at, lambda i: F.xxhash64(F.slice(words, i, n)))).otherwise(none)
+    return F.when(F.size(words) >= n, F.slice(F.transform(words, gram), F.lit(1), F.size(words) - (n - 1))).otherwise(none)
 
 
 def winnow(words: Column, span: int = SPAN, gram: int = GRAM) -> Column:
@@ -57,8 +65,8 @@ def winnow(words: Column, span: int = SPAN, gram: int = GRAM) -> Column:
     window = span - gram + 1
 
     def least(hashes: Column) -> Column:
-        at = F.sequence(F.lit(1), F.size(hashes) - (window - 1))
-        return F.array_distinct(F.transform(at, lambda j: F.array_min(F.slice(hashes, j, window))))
+        lowest = lambda h, i: F.least(h, *(F.get(hashes, i + k) for k in range(1, window))) if window > 1 else h
+        return F.array_distinct(F.slice(F.transform(hashes, lowest), F.lit(1), F.size(hashes) - (window - 1)))
 
     none = F.array().cast("array<bigint>")
     return F.when(F.size(words) >= span, _let(_grams(words, gram), least)).otherwise(none)
@@ -99,6 +107,25 @@ def benchmark_windows(bench: DataFrame, *, item_id: str = "item_id", text: str =
     return windows.select("item", "length", "window").distinct()
 
 
+def bit_field(hashes: DataFrame, most: int = BITS) -> tuple[Column, int]:
+    """(array of longs as a constant, its number of bits) with the bit of each hash (column h) set.
+
+    The driver sees most / 64 numbers at most, however many hashes there are.
+    """
+    n = hashes.count()
+    size = min(most, max(64, 1 << (n * BITS_EACH - 1).bit_length())) if n else 64
+    place = F.col("h").bitwiseAND(size - 1)
+    spread = hashes.select(F.shiftright(place, 6).alias("at"), F.expr(f"shiftleft(1L, cast(h & {min(size - 1, 63)} as int))").alias("bit"))
+    filled = {r["at"]: r["bits"] for r in spread.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect()}
+    # text that folds to one constant: an expression for each number would be a plan of that many nodes
+    return F.split(F.lit(",".join(str(filled.get(i, 0)) for i in range(size // 64))), ",").cast("array<bigint>"), size
+
+
+def _is_set(field: Column, size: int, h: Column) -> Column:
+    at = F.shiftright(h.bitwiseAND(size - 1), 6).cast("int")
+    return F.getbit(F.get(field, at), h.bitwiseAND(63)) == 1
+
+
 class Hits:
     """What is found: rows by (doc_id, text_hash), which tells rows apart as far as their results can differ."""
 
@@ -113,31 +140,26 @@ class Hits:
         item_text: str = "text",
         span: int = SPAN,
         gram: int = GRAM,
+        whole_rows: bool = False,
     ):
-        texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-        self.keyed = texts.withColumn("text_hash", F.xxhash64("text"))
         self.windows = written(benchmark_windows(bench, item_id=item_id, text=item_text, span=span), "bench-windows")
         short = sorted(r[0] for r in self.windows.filter(F.col("length") < span).select("length").distinct().collect())
         items = bench.select(bench_words(F.col(item_text).cast("string")).alias("words"))
         hashes = items.select(F.explode(_let(F.col("words"), lambda w: kept_hashes(w, short, span, gram))).alias("h"))
-        hashes = written(hashes.distinct(), "bench-hashes")
-        kept = self.keyed.select(
-            "doc_id", "text_hash", F.explode(_let(bench_words(F.col("text")), lambda w: kept_hashes(w, short, span, gram))).alias("h")
-        )
-        found = kept.join(hashes, "h", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set("h").alias("hits"))
-        found = written(found.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}), "bench-candidates")
-        near = self.keyed.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
-        windows = near.select(
-            "doc_id",
-            "text_hash",
-            F.inline(
-                F.transform(
-                    F.array(F.struct(bench_words(F.col("text")).alias("words"), F.col("hits"))),
-                    lambda x: _candidate_windows(x["words"], x["hits"], short, span, gram),
-                )[0]
-            ),
-        )
-        real = windows.join(self.windows.select("length", "window").distinct(), ["length", "window"], "left_semi")
+        field, size = bit_field(written(hashes.distinct(), "bench-hashes"))
+
+        def around_hits(words: Column) -> Column:
+            hits = F.filter(kept_hashes(words, short, span, gram), lambda h: _is_set(field, size, h))
+            none = F.array().cast("array<struct<start: int, length: int, window: string>>")
+            return _let(hits, lambda h: F.when(F.size(h) > 0, _candidate_windows(words, h, short, span, gram)).otherwise(none))
+
+        t = F.col(text).cast("string")
+        told = _let(bench_words(t), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), around_hits(w).alias("windows")))
+        kept = [F.struct(*docs.columns).alias("row")] if whole_rows else []
+        scan = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(t).alias("text_hash"), told.alias("told"), *kept)
+        self.scan = written(scan.select("doc_id", "text_hash", "told.n_words", "told.windows", *(["row"] if whole_rows else [])), "bench-scan")
+        near = self.scan.select("doc_id", "text_hash", F.inline("windows"))
+        real = near.join(self.windows.select("length", "window").distinct(), ["length", "window"], "left_semi")
         self.found = written(real.distinct(), "bench-hits")
 
     def spans(self) -> DataFrame:
@@ -165,7 +187,7 @@ def judge(docs: DataFrame, bench: DataFrame, **columns) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every row."""
     hits = Hits(docs, bench, **columns)
     told = hits.by_document()
-    rows = hits.keyed.select("doc_id", "text_hash", F.size(bench_words(F.col("text"))).cast("long").alias("n_words"))
+    rows = hits.scan.select("doc_id", "text_hash", "n_words")
     joined = rows.join(told, rows["doc_id"].eqNullSafe(told["_id"]) & (rows["text_hash"] == told["_hash"]), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return joined.select(
@@ -178,9 +200,14 @@ def judge(docs: DataFrame, bench: DataFrame, **columns) -> DataFrame:
     )
 
 
-def drop_contaminated(docs: DataFrame, bench: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **columns) -> DataFrame:
-    """docs without the rows that hold a benchmark window."""
-    hits = Hits(docs, bench, doc_id=doc_id, text=text, **columns)
-    keys = written(hits.spans().select(F.col("doc_id").alias("_sw_id"), F.col("text_hash").alias("_sw_hash")).distinct(), "bench-drop")
-    same = docs[doc_id].eqNullSafe(keys["_sw_id"]) & (F.xxhash64(docs[text].cast("string")) == keys["_sw_hash"])
-    return docs.join(keys, same, "left_anti")
+def drop_contaminated(docs: DataFrame, bench: DataFrame, **columns) -> DataFrame:
+    """docs without the rows that hold a benchmark window.
+
+    Rows without a candidate stay as they are; only those with one meet what was found.
+    """
+    hits = Hits(docs, bench, whole_rows=True, **columns)
+    keys = written(hits.spans().select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "bench-drop")
+    clean = hits.scan.filter(F.size("windows") == 0).select("row.*")
+    near = hits.scan.filter(F.size("windows") > 0)
+    same = near["doc_id"].eqNullSafe(keys["_id"]) & (near["text_hash"] == keys["_hash"])
+    return clean.unionByName(near.join(keys, same, "left_anti").select("row.*"))

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from siftwright.llm import decontam
@@ -32,7 +33,10 @@ def brute(texts, items):
     return out
 
 
-def test_judge_equals_brute_force(spark):
+@pytest.mark.parametrize("bits", [64, 1 << 24])
+def test_judge_equals_brute_force(spark, monkeypatch, bits):
+    field = decontam.bit_field
+    monkeypatch.setattr(decontam, "bit_field", lambda hashes: field(hashes, bits))
     rng = random.Random(5)
     make = lambda n: [rng.choice("abcd") + str(rng.randrange(6)) for _ in range(n)]
     items = [(i, " ".join(make(rng.choice([0, 1, 3, 4, 5, 9, 10, 11, 30])))) for i in range(25)] + [(99, None), (3, "x y")]
@@ -49,6 +53,7 @@ def test_judge_equals_brute_force(spark):
     got = sorted((r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in decontam.judge(docs.withColumn("hits", F.lit(1)), bench).collect())
     wanted = brute(texts, items)
     assert got == sorted((*x, x[1] > 0) for x in wanted)
+    docs = docs.withColumns({"row": F.lit("r"), "windows": F.lit(1), "_id": F.lit(0)})
     left = decontam.drop_contaminated(docs, bench)
     assert left.count() == sum(x[1] == 0 for x in wanted) and left.columns == docs.columns
     assert decontam.judge(docs.limit(0), bench).count() == 0
