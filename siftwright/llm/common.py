@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
@@ -27,6 +27,25 @@ def ascii_lower(data: bytes) -> bytes:
     return data.translate(_LOWER_TABLE)
 
 
+#: A key with more than this part of all rows is heavy; so there are fewer heavy keys than this.
+HEAVY = 10_000
+LIGHT = 1_000  #: rows that are no hot task, whatever part of all they are
+
+
+def join_heavy(rows: DataFrame, keyed: DataFrame, key: str, total: int, heavy: int = HEAVY) -> DataFrame:
+    """rows joined with keyed, a written table of a row a key, whose column ``_n`` is how many rows have the key, of total.
+
+    The heavy keys are fewer than heavy, so they are broadcast; of the others none is a hot task in the shuffle. Where no
+    key has a thousand rows none is split off.
+    """
+    hot = (F.col("_n") * heavy > F.lit(total)) & (F.col("_n") >= LIGHT)
+    if keyed.filter(hot).isEmpty():
+        return rows.join(keyed, key).drop("_n")
+    told = rows.join(F.broadcast(keyed.filter(hot)), key, "left")
+    rest = told.filter(F.col("_n").isNull()).select(rows.columns).join(keyed.filter(~hot), key)
+    return told.filter(F.col("_n").isNotNull()).unionByName(rest).drop("_n")
+
+
 def id_text(column: str | Column) -> Column:
     """An id as text; null is the empty string."""
     c = F.col(column) if isinstance(column, str) else column

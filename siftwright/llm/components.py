@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large and small stars.
 
-Every round is written to the shared folder, so lineage stays short and a lost executor costs a re-read. Minima are
-partial aggregates and the joins are plain ones that AQE can split, so a hub is no hot task.
+Every step is written to the shared folder, so plans and lineage stay short and a lost executor costs a re-read. Minima are
+partial aggregates, and the edges of hubs meet a broadcast of bounded size, so a hub is no hot task.
 """
 
 from __future__ import annotations
@@ -9,19 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwright.llm.common import join_heavy
 from siftwright.shared import written
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int, name: str) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n")).withColumn("m", F.least("m", "u"))
+    met = join_heavy(both, written(least, f"{name}-least"), "u", 2 * n)
+    return met.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b")))
+def _small_star(edges: DataFrame, n: int, name: str) -> DataFrame:
+    least = written(edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n")), f"{name}-least")
+    moved = join_heavy(edges, least, "a", n).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
 def star_forest(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -36,4 +38,5 @@ def star_forest(edges: DataFrame, name: str = "components") -> DataFrame:
         if seen == before or seen["n"] == 0:
             return held
         before = seen
-        held = written(_small_star(_large_star(held).distinct()).distinct(), name)
+        wide = written(_large_star(held, seen["n"], name), f"{name}-wide")  # no more edges than before
+        held = written(_small_star(wide, seen["n"], name), name)

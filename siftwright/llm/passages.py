@@ -1,7 +1,7 @@
 """Substring dedup: repeated passages across documents by collinear chaining, fuzzy ones included.
 
-1. Seeds. Of the hashes of five consecutive words, the smallest of each window of twelve is kept (with its place), so
-   documents that share 16 consecutive words share a seed. Five words of which two at most are distinct ("the the the")
+1. Seeds. Of the hashes of five consecutive words, the smallest of each window of eight is kept (with its place), so
+   documents that share 12 consecutive words share a seed. Five words of which two at most are distinct ("the the the")
    are low-complexity text, as sequence aligners mask it: they are no seeds, and a text of nothing else has no passage.
 2. Matches. Each seed's first place (smallest id, then place) is a partial aggregate; every other place joins it. A
    seed that thousands of documents share gives one match each, never pairs among them.
@@ -13,9 +13,10 @@
    words aligned stay.
 5. Passages. A document's aligned parts are merged; merged stretches of ``MIN_WORDS`` or more are its passages.
 6. Windows. A seed meets its first place only, which may hold nothing but a line of the passage. Where all seeds of
-   ``MIN_WORDS`` words have an earlier place and no passage holds them, the words have an anchor, their least seed; all
-   places of anchors give hashes of their whole windows, and each hash's first place is joined. So an exact repeat of
-   ``MIN_WORDS`` words without low-complexity text is found whoever else holds its seeds.
+   ``MIN_WORDS`` words are repeated ones, but their first places don't lie on one diagonal of one document, the words have an
+   anchor, their least seed. The anchors of such words that no passage holds are gathered; all such words with these
+   anchors give hashes of their whole windows, and each hash's first place is joined. So an exact repeat of ``MIN_WORDS``
+   words without low-complexity text is found whoever else holds its seeds.
 
 Words are white-space separated, A-Z lower-cased. A repeat within one document is none. Defined results: null, empty
 and short texts have no passage; rows that share id and text are one document; rows that share an id alone are told
@@ -34,18 +35,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwright.llm.common import WORD_BYTES, group_starts, slices, whole_groups
+from siftwright.llm.components import star_forest
 from siftwright.shared import discard, written
 
 K = 5
-WINDOW = 12
+WINDOW = 8
 MIN_WORDS = 50
-MIN_PART = K + WINDOW - 1
+MIN_PART = 16  #: words of an aligned part that counts
 SIMILARITY = 0.8
 LEAST = int(MIN_WORDS * SIMILARITY)  #: words that a text needs to hold its part of a passage
 LEAST_DISTINCT = 3  #: distinct words of a k-mer that is no low-complexity text
 GAP_COST = 0.25  #: of a word that a chain skips in either text
-MARGIN = 64  #: words fetched beyond a chain's ends
-BLOCK = 128  #: words of a fetched block
+MARGIN = 48  #: words fetched beyond a chain's ends
+BLOCK = 64  #: words of a fetched block
 JOINED = 2  #: words between parts that are still one passage
 LOOK = 12  #: words searched in each text for the place where a broken off extension goes on
 WIDE_GAP = 64  #: words of a gap that is aligned by dynamic programming; a wider one is compared word by word, or splits the part
@@ -147,7 +149,7 @@ def seeds_of(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     mixed[cut(K)] = _MOST
     least = _sliding(mixed, WINDOW, np.minimum)
     least[least == _MOST] = 0
-    least[cut(MIN_PART)] = 0
+    least[cut(K + WINDOW - 1)] = 0
     pad = np.zeros(WINDOW - 1, np.uint64)
     at = np.flatnonzero(mixed == _sliding(np.concatenate([pad, least, pad]), WINDOW, np.maximum))
     if not len(at):
@@ -233,42 +235,43 @@ def chain(blocks: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]
 
 
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches sorted by document, earlier document and place to chains, and each document's matches (rid is null).
+    """Matches sorted by document, earlier document and place to chains, and each document's split windows (rid is null).
 
-    No chain is too short: edits can leave a passage a single seed.
+    No chain is too short: edits can leave a passage a single seed. A seed that has its first place here is no match for a
+    chain; it counts for windows only.
     """
     for table in whole_groups(batches, ["id", "mark"]):
         id_, mark, rid, rmark, x, r, seed = (table.column(c).to_numpy() for c in ("id", "mark", "rid", "rmark", "x", "r", "seed"))
         x, r = x.astype(np.int64), r.astype(np.int64)
-        own = group_starts(id_, mark)
-        met = [np.split(v, own[1:]) for v in (x, seed)]
-        owner = id_[own], mark[own]
-        pair = np.zeros(len(x), np.int64)
-        pair[group_starts(id_, mark, rid, rmark)] = 1
-        pair = np.cumsum(pair)
-        order = np.lexsort((x, x - r, pair))
-        id_, mark, rid, rmark, x, r, pair = (a[order] for a in (id_, mark, rid, rmark, x, r, pair))
+        order = np.lexsort((x, x - r, rmark, rid, mark, id_))
+        id_, mark, rid, rmark, x, r, seed = (a[order] for a in (id_, mark, rid, rmark, x, r, seed))
+        line = np.zeros(len(x), np.int64)
+        line[group_starts(id_, mark, rid, rmark, x - r)] = 1
+        line = np.cumsum(line)
+        windows = []
+        docs = group_starts(id_, mark).tolist()
+        for a, b in zip(docs, [*docs[1:], len(x)], strict=True):
+            found = split_windows(x[a:b], seed[a:b], line[a:b]) if line[a] != line[b - 1] else []
+            if found:
+                windows.append((id_[a], mark[a], *zip(*found, strict=True)))
+        other = (id_ != rid) | (mark != rmark)
+        id_, mark, rid, rmark, x, r, line = (a[other] for a in (id_, mark, rid, rmark, x, r, line))
         near = np.ones(len(x), bool)
-        near[1:] = (pair[1:] != pair[:-1]) | ((x - r)[1:] != (x - r)[:-1]) | (x[1:] - x[:-1] > MIN_PART)
+        near[1:] = (line[1:] != line[:-1]) | (x[1:] - x[:-1] > MIN_PART)
         first = np.flatnonzero(near)
-        last = np.concatenate([first[1:], [len(x)]]) - 1
-        long = x[last] + K - x[first]
-        rows, docs = [], group_starts(id_[first], mark[first])
-        pairs = pair[first]
-        for a, b in zip(docs.tolist(), [*docs[1:].tolist(), len(first)], strict=True):
-            found = []
-            cuts = [a, *(np.flatnonzero(np.diff(pairs[a:b])) + a + 1).tolist(), b]
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                blocks = list(zip(x[first[s:e]].tolist(), r[first[s:e]].tolist(), long[s:e].tolist(), strict=True))
-                found += [(c[0][0], c[-1][0] + c[-1][2], first[s], c) for c in chain(blocks)]
-            rows += sorted(found, key=lambda f: f[:2])  # all of them: what a chain holds shows only in align()
-        at = np.array([row for *_, row, _ in rows], np.int64)
-        columns = [[[block[i] for block in c] for *_, c in rows] for i in range(3)]
-        ints, none = pa.list_(pa.int32()), [None] * len(own)
-        both = [pa.array(np.concatenate([v[at], o])) for v, o in zip((id_, mark), owner, strict=True)]
+        long = x[np.append(first[1:], len(x)) - 1] + K - x[first] if len(first) else first
+        rows, pairs = [], group_starts(id_[first], mark[first], rid[first], rmark[first])
+        for s, e in zip(pairs.tolist(), np.append(pairs, len(first))[1:].tolist(), strict=True):
+            blocks = list(zip(x[first[s:e]].tolist(), r[first[s:e]].tolist(), long[s:e].tolist(), strict=True))
+            rows += [(first[s], c) for c in chain(blocks)]  # all of them: what a chain holds shows only in align()
+        at = np.array([row for row, _ in rows], np.int64)
+        ints, none = pa.list_(pa.int32()), [None] * len(windows)
+        own = [np.array([w[i] for w in windows], v.dtype) for i, v in enumerate((id_, mark))]
+        both = [pa.array(np.concatenate([v[at], o])) for v, o in zip((id_, mark), own, strict=True)]
         both += [pa.array([*v[at].tolist(), *none], t) for v, t in ((rid, pa.int64()), (rmark, pa.int32()))]
-        both += [pa.array([*c, *o], ints) for c, o in zip(columns, (met[0], none, none), strict=True)]
-        both.append(pa.array([None] * len(at) + met[1], pa.list_(pa.int64())))
+        lists = [[[block[i] for block in c] for _, c in rows] for i in range(3)]
+        both += [pa.array([*c, *o], ints) for c, o in zip(lists, ([w[3] for w in windows], [w[4] for w in windows], none), strict=True)]
+        both.append(pa.array([None] * len(at) + [w[2] for w in windows], pa.list_(pa.int64())))
         yield pa.RecordBatch.from_arrays(both, names=["id", "mark", "rid", "rmark", "xs", "rs", "ns", "seeds"])
 
 
@@ -389,43 +392,51 @@ def _place(found: list[tuple[int, bytes]]) -> np.ndarray:
     return words[:most]
 
 
-def open_windows(places: np.ndarray, seeds: np.ndarray, spans: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """(seed, least and most words before it) of windows that no span holds and whose seeds all have an earlier place."""
-    if not len(places):
-        return []
+def split_windows(places: np.ndarray, seeds: np.ndarray, lines: np.ndarray) -> list[tuple[int, int, int]]:
+    """(anchor, first and last start) of windows whose seeds are all repeated ones (those given) and not all of one line.
+
+    A line is a diagonal of one earlier document; the text's own first places are a line too.
+    """
     order = np.lexsort((places, seeds))
     close = (seeds[order][1:] == seeds[order][:-1]) & (np.diff(places[order]) < 2 * WINDOW)
     again = np.zeros(len(places), bool)  # k-mers that come again at once: seeds_of() keeps a place a window of these
     again[order[1:][close]] = again[order[:-1][close]] = True
     order = np.argsort(places, kind="stable")
-    places, seeds, again = places[order], seeds[order].view(np.uint64), again[order]
+    places, seeds, again, lines = places[order], seeds[order].view(np.uint64), again[order], lines[order]
     reach = np.where(again, 2 * WINDOW, WINDOW)
     cuts = np.flatnonzero(np.diff(places) > np.maximum(reach[1:], reach[:-1])) + 1
-    most, width, out = _MOST, MIN_WORDS - K + 1, []
+    width, out = MIN_WORDS - K + 1, []
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(places)], strict=True):
         low = max(int(places[a] - reach[a]) + 1, 0)
         n = int(places[b - 1] + K + reach[b - 1]) - 1 - MIN_WORDS - low + 1  # starts of windows
-        if n <= 0:
+        change = np.flatnonzero(lines[a + 1 : b] != lines[a : b - 1]) + a + 1
+        if n <= 0 or not len(change):
             continue
-        held = np.full(n + width - 1, most)
-        inside = places[a:b] - low < len(held)
-        held[places[a:b][inside] - low] = seeds[a:b][inside]
-        least = _sliding(held, width, np.minimum)
-        wanted = least != most
-        for start, end in spans:
-            wanted[max(start - low, 0) : max(end - MIN_WORDS + 1 - low, 0)] = False
-        at = np.flatnonzero(wanted)
+        split = np.zeros(n + 1, np.int64)  # windows that hold two neighbouring seeds of different lines
+        begin, end = (places[change] + K - MIN_WORDS - low).clip(0, n), (places[change - 1] - low + 1).clip(0, n)
+        np.add.at(split, begin[begin < end], 1)
+        np.add.at(split, end[begin < end], -1)
+        at = np.flatnonzero(np.cumsum(split)[:-1] > 0)
         if not len(at):
             continue
-        for run in np.split(at, np.flatnonzero((np.diff(at) > 1) | (np.diff(least[at]) != 0)) + 1):
-            first, last, seed = int(run[0]), int(run[-1]), least[run[0]]
-            spread = WINDOW - 1 if again[a:b][seeds[a:b] == seed].any() else 0
-            for place in np.flatnonzero(held[first : last + width] == seed) + first:
-                if first > last:
-                    break
-                until = min(last, int(place))
-                out.append((int(seed.astype(np.int64)), int(place) - until - spread, int(place) - first))
-                first = until + 1
+        held = np.full(n + width - 1, _MOST)
+        inside = places[a:b] - low < len(held)
+        held[places[a:b][inside] - low] = seeds[a:b][inside]
+        least = _sliding(held, width, np.minimum)[at].astype(np.uint64).view(np.int64)
+        for run in np.split(np.arange(len(at)), np.flatnonzero((np.diff(at) > 1) | (np.diff(least) != 0)) + 1):
+            out.append((int(least[run[0]]), int(at[run[0]]) + low, int(at[run[-1]]) + low))
+    return out
+
+
+def _open(windows: list[tuple[int, int, int]], spans: list[tuple[int, int]]) -> set[int]:
+    """Anchors of windows that no span holds."""
+    out = set()
+    for anchor, first, last in windows:
+        for start, end in sorted(spans):
+            if start <= first <= end - MIN_WORDS:
+                first = end - MIN_WORDS + 1
+        if first <= last:
+            out.add(anchor)
     return out
 
 
@@ -433,7 +444,7 @@ PASSAGES = (
     "id long, mark int, start_word int, end_word int, ref_id long, ref_start_word int, ref_end_word int, "
     "agreeing_words int, ref_ids array<long>"
 )
-FOUND = PASSAGES + ", seed long, least int, most int"  #: of passages, these are null; of open windows all between mark and seed
+FOUND = PASSAGES + ", seed long"  #: null for passages; for anchors of open windows all between mark and it
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -465,7 +476,7 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in whole_groups(batches, ["id", "mark"]):
         id_, mark = table.column("id").to_numpy(), table.column("mark").to_numpy()
         starts = group_starts(id_, mark)
-        is_block, is_match = _valid(table.column("words")), _valid(table.column("seeds"))
+        is_block, is_window = _valid(table.column("words")), _valid(table.column("seeds"))
         other, rmark, block = (table.column(c).fill_null(0).to_numpy() for c in ("bid", "bmark", "block"))
         lists = {c: _lists(table.column(c)) for c in ("xs", "rs", "ns", "seeds")}
         column = table.column("words").combine_chunks()
@@ -479,21 +490,21 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             placed = {key: _place(found) for key, found in words.items()}
             me = int(id_[a]), int(mark[a])
             parts = []
-            for i in own[~is_block[a:b] & ~is_match[a:b]].tolist():
+            for i in own[~is_block[a:b] & ~is_window[a:b]].tolist():
                 ref = int(other[i]), int(rmark[i])
                 if me in placed and ref in placed:
                     blocks = list(zip(*(some(c, i).tolist() for c in ("xs", "rs", "ns")), strict=True))
                     parts += [(*p, ref[0], (ref[0],)) for p in align(placed[me], placed[ref], blocks)]
             found = merge(parts)
-            rows += [(*row, None, None, None) for row in _rows(me, found)]
-            for i in own[is_match[a:b]].tolist():
-                open_ = open_windows(some("xs", i).astype(np.int64), some("seeds", i), [f[:2] for f in found])
-                rows += [(*me, *[None] * 7, *window) for window in open_]
+            rows += [(*row, None) for row in _rows(me, found)]
+            for i in own[is_window[a:b]].tolist():
+                windows = list(zip(*(some(c, i).tolist() for c in ("seeds", "xs", "rs")), strict=True))
+                rows += [(*me, *[None] * 7, anchor) for anchor in sorted(_open(windows, [f[:2] for f in found]))]
         yield _batch(rows, FOUND)
 
 
 def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of the windows around the anchors of documents."""
+    """Hashes of the wanted windows of documents."""
     for batch in slices(batches, "text", SLICE):
         hashes, first = words_of(batch.column("text"))
         hashes ^= hashes >> np.uint64(31)
@@ -503,8 +514,8 @@ def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if len(words) < MIN_WORDS:
                 continue
             asked = np.zeros(len(words) - MIN_WORDS + 2, np.int64)
-            low = np.array([w["place"] - w["most"] for w in wanted]).clip(0, len(asked) - 1)
-            high = np.array([w["place"] - w["least"] + 1 for w in wanted]).clip(0, len(asked) - 1)
+            low = np.array([w["low"] for w in wanted]).clip(0, len(asked) - 1)
+            high = np.array([w["high"] + 1 for w in wanted]).clip(0, len(asked) - 1)
             np.add.at(asked, low, 1)
             np.add.at(asked, high, -1)
             starts = np.flatnonzero(np.cumsum(asked)[:-1] > 0)
@@ -572,13 +583,12 @@ def find_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     met = seeds.join(first, "seed").select(
         "id", mark("at").alias("mark"), "rid", mark("rat").alias("rmark"), place("at").alias("x"), place("rat").alias("r"), "seed"
     )
-    met = met.filter((F.col("id") != F.col("rid")) | (F.col("mark") != F.col("rmark")))
     met = met.repartition("id", "mark").sortWithinPartitions("id", "mark", "rid", "rmark", "x", "r")
     chains = met.mapInArrow(
         _chains, "id long, mark int, rid long, rmark int, xs array<int>, rs array<int>, ns array<int>, seeds array<long>"
     )
     chains = written(chains, "passage-chains")
-    discard(first)
+    discard(first, seeds)
     paired = chains.filter(F.col("rid").isNotNull())
 
     begin, end = (lambda a: F.element_at(a, 1)), (lambda a: F.element_at(a, -1) + F.element_at("ns", -1))
@@ -588,7 +598,8 @@ def find_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     wanted = needs.select("bid", "bmark", "block").distinct().groupBy("bid", "bmark").agg(F.collect_list("block").alias("wanted"))
     # what is wanted grows with the documents: never a broadcast
     texts = keyed.withColumnsRenamed({"id": "bid", "mark": "bmark"}).join(wanted.hint("merge"), ["bid", "bmark"])
-    blocks = texts.mapInArrow(_emit_blocks, "bid long, bmark int, block int, words binary")
+    # written, so that the texts' shuffle files go before the blocks are shuffled
+    blocks = written(texts.mapInArrow(_emit_blocks, "bid long, bmark int, block int, words binary"), "passage-blocks")
     none = F.lit(None).cast("array<int>")
     fetched = needs.join(blocks, ["bid", "bmark", "block"]).select(
         "id", "mark", "bid", "bmark", "block", "words", none.alias("xs"), none.alias("rs"), none.alias("ns"), F.lit(None).cast("array<long>").alias("seeds")
@@ -599,20 +610,20 @@ def find_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     )
     both = fetched.union(lines).repartition("id", "mark").sortWithinPartitions("id", "mark")
     found = written(both.mapInArrow(_passages, FOUND), "passage-found")
-    discard(chains)
+    discard(blocks)
     names = [column.split()[0] for column in PASSAGES.split(", ")]
     passages = found.filter("seed is null").select(names)
 
-    anchors = found.filter("seed is not null").groupBy("seed").agg(F.min("least").alias("least"), F.max("most").alias("most"))
-    anchors = written(anchors, "passage-anchors")
+    anchors = written(found.filter("seed is not null").select("seed").distinct(), "passage-anchors")
     if anchors.isEmpty():
-        discard(seeds)
+        discard(chains)
         return passages
-    held = seeds.join(anchors, "seed").select("id", mark("at").alias("mark"), F.struct(place("at").alias("place"), "least", "most").alias("one"))
-    held = held.groupBy("id", "mark").agg(F.collect_list("one").alias("wanted"))
+    spread = chains.filter("seeds is not null").select("id", "mark", F.inline(F.arrays_zip("seeds", F.col("xs").alias("low"), F.col("rs").alias("high"))))
+    held = spread.toDF("id", "mark", "seed", "low", "high").join(anchors, "seed", "left_semi")
+    held = held.groupBy("id", "mark").agg(F.collect_list(F.struct("low", "high")).alias("wanted"))
     windows = keyed.join(held.hint("merge"), ["id", "mark"]).mapInArrow(_emit_windows, "window long, id long, at long")
     windows = written(windows, "passage-windows")
-    discard(seeds, anchors)
+    discard(chains, anchors)
     first = windows.groupBy("window").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     first = written(first.select("window", F.col("first.id").alias("rid"), F.col("first.at").alias("rat")), "passage-firsts")
     met = windows.join(first, "window").filter((F.col("id") != F.col("rid")) | (mark("at") != mark("rat")))
@@ -627,14 +638,20 @@ def find_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 
 
 def list_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, the passage's words, an earlier document that has them or a part, its place there, and all such that were met.
+    """doc_id, the passage's words, an earlier document that has them or a part, its place there, all such that were met, and a class.
 
-    Those met are first places of seeds and windows; a later holder of the passage isn't listed, even where it has more
-    of the words than they have. ref_doc_id is the one of those met with the most agreeing words in one part.
+    Those met are first places of seeds and windows, the representatives of all that share them: a later holder of the
+    passage isn't listed, even where it has more of the words than they have. ref_doc_id is the one of those met with
+    the most agreeing words in one part. class_id is the smallest id among all documents that passages connect, so
+    documents that share a passage have one class, whether or not one lists the other; a representative itself, where it has no
+    earlier holder, is the class of those that list it.
     """
-    found = find_passages(docs, doc_id=doc_id, text=text)
+    found = written(find_passages(docs, doc_id=doc_id, text=text), "passages")
+    links = found.select(F.col("id").alias("a"), F.explode("ref_ids").alias("b")).distinct()
+    classes = star_forest(links, "passage-classes").select(F.col("a").alias("id"), F.col("b").alias("class_id"))
     real = lambda c: F.nullif(c, F.lit(NO_ID))
-    return found.select(
+    # only rows that share an id with what they repeat have no class from another document: their own id
+    return found.join(classes, "id", "left").select(
         real(F.col("id")).alias("doc_id"),
         "start_word",
         "end_word",
@@ -644,6 +661,7 @@ def list_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
         "ref_end_word",
         "agreeing_words",
         F.transform("ref_ids", real).alias("ref_doc_ids"),
+        real(F.coalesce("class_id", "id")).alias("class_id"),
     )
 
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwright.llm.common import WORD_BYTES, ascii_lower
+from siftwright.llm.common import HEAVY, WORD_BYTES, ascii_lower, join_heavy
 from siftwright.llm.components import star_forest
 from siftwright.shared import written
 
@@ -41,7 +41,6 @@ CELL = 4096  #: fingerprints of an anchor that are compared in one unit
 DENSE = 4096  #: pairs in a cell above which a forest is emitted
 AT_ONCE = 1 << 20  #: pairs compared by one numpy call
 HASHES = 1 << 15  #: shingles hashed before their bits are summed
-HEAVY = 10_000  #: a fingerprint with more than this part of all rows is heavy; so there are fewer heavy ones than this
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -253,19 +252,13 @@ def group_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str
     linked = joined.select("fp", "root").join(roots, "root")
     ids = first.join(linked, "fp", "left").select(
         "fp",
-        "n",
+        F.col("n").alias("_n"),
         F.coalesce("root", "fp").alias("component_fp"),
         F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("least_id")).alias("component_id"),
     )
     ids = written(ids, "simhash-ids")
-    # heavy fingerprints are fewer than HEAVY, so their rows meet a broadcast; no other has a notable part of the rows
     total = first.agg(F.sum("n")).first()[0] or 0
-    is_heavy = F.col("n") * HEAVY > F.lit(total)
-    columns = ["fp", "component_fp", "component_id"]
-    told = rows.join(F.broadcast(ids.filter(is_heavy).select(*columns)), "fp", "left")
-    out = ["doc_id", "text_hash", *columns]
-    rest = told.filter(F.col("component_fp").isNull()).select("doc_id", "text_hash", "fp").join(ids.filter(~is_heavy).select(*columns), "fp")
-    return told.filter(F.col("component_fp").isNotNull()).select(*out).unionByName(rest.select(*out))
+    return join_heavy(rows, ids, "fp", total, HEAVY).select("doc_id", "text_hash", "fp", "component_fp", "component_id")
 
 
 def fingerprint_hex(fp: str = "fp"):

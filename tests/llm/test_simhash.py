@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from siftwright.llm import components, simhash
+from siftwright.llm import common, components, simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -59,6 +59,7 @@ def test_code_covers_and_replicas_meet():
 @pytest.mark.parametrize("heavy", [1, 9, 10_000])
 def test_groups_equal_brute_force(spark, monkeypatch, heavy):
     monkeypatch.setattr(simhash, "HEAVY", heavy)
+    monkeypatch.setattr(common, "LIGHT", 2)
     rng = random.Random(1)
     vocabulary = [f"w{i}" for i in range(300)]
     texts = [None, "", "  ", None]
@@ -119,7 +120,9 @@ def test_repeated_ids_and_empty(spark):
     assert simhash.keep_one_of_each(df.limit(0)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("light", [2, 1000])
+def test_components(spark, monkeypatch, light):
+    monkeypatch.setattr(common, "LIGHT", light)
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)]
     stars = components.star_forest(spark.createDataFrame(edges, "a long, b long"))
