@@ -36,9 +36,11 @@ SMOOTHING = 0.5
 FOLDS, HELD_OUT = 4, 2
 
 #: Numbers that are word characters but neither digits nor letters, such as superscripts, fractions and Roman numerals.
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-_NOT_LETTERS = re.compile(rf"[\W\d_{_NUMBERS}]+")
-_LETTER = re.compile(rf"[^\W\d_{_NUMBERS}]")
+_NUMBERS = {i: " " for i in range(sys.maxunicode + 1) if chr(i).isnumeric() and not chr(i).isalpha() and not chr(i).isdecimal()}
+_IS_NUMBER = np.zeros(sys.maxunicode + 1, bool)
+_IS_NUMBER[list(_NUMBERS)] = True
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_LETTER = re.compile(r"[^\W\d_]")
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 #: Characters scored at once; a longer document takes as many rounds as it needs.
 BLOCK = 1 << 20
@@ -46,6 +48,8 @@ BLOCK = 1 << 20
 
 def plain(text: str | None) -> str:
     """Lower-case letters with one space between and around runs; empty if there is no letter."""
+    if text and not text.isascii() and _IS_NUMBER[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)].any():
+        text = text.translate(_NUMBERS)
     if not text or not _LETTER.search(text):
         return ""
     return f" {_NOT_LETTERS.sub(' ', text.lower()).strip()} "
