@@ -1,4 +1,4 @@
-"""Settings of the three phases, with the configuration file's defaults."""
+"""Settings of the three phases. The configuration file's keys and defaults."""
 
 from __future__ import annotations
 
@@ -49,7 +49,7 @@ class RunLogConfig:
 class Phase1Config:
     dataset: str = "records"
     dataset_config: str = "multiclass"
-    data_dir: Path = Path("data")
+    data_dir: str = "data"
     seed: int = 42
     cleaning: CleaningConfig = CleaningConfig()
     drop_invalid_rows: bool = True
@@ -59,7 +59,7 @@ class Phase1Config:
 
 @dataclass(frozen=True)
 class Phase2Config:
-    data_dir: Path = Path("data")
+    data_dir: str = "data"
     seed: int = 42
     enabled: bool = True
     balancing_strategy: str = "oversample_median"
@@ -69,8 +69,8 @@ class Phase2Config:
 
 @dataclass(frozen=True)
 class Phase3Config:
-    data_dir: Path = Path("data")
-    docs_dir: Path = Path("docs")
+    data_dir: str = "data"
+    docs_dir: str = "docs"
     seed: int = 42
     enabled: bool = True
     leakage_near_threshold: float = 0.85
@@ -93,7 +93,7 @@ def config_from(payload: dict[str, Any] | None) -> Config:
     aug, para = second.get("augmentation") or {}, third.get("adversarial_paraphrase") or {}
     log2 = second.get("mlflow") or {}
     log3 = third.get("mlflow") or log2
-    seed, data_dir = int(payload.get("seed", 42)), Path(data.get("data_dir", "data"))
+    seed, data_dir = int(payload.get("seed", 42)), str(data.get("data_dir", "data")).rstrip("/")
     run_log = lambda d: RunLogConfig(bool(d.get("enabled", True)), d.get("experiment_name", "data-engineering"))
     return Config(
         Phase1Config(
@@ -121,10 +121,11 @@ def config_from(payload: dict[str, Any] | None) -> Config:
         ),
         Phase3Config(
             data_dir=data_dir,
-            docs_dir=Path(third.get("docs_dir", "docs")),
+            docs_dir=str(third.get("docs_dir", "docs")).rstrip("/"),
             seed=seed,
             enabled=bool(third.get("enabled", True)),
             leakage_near_threshold=float(third.get("leakage_near_threshold", 0.85)),
+            leakage_sample_limit=None if third.get("leakage_sample_limit", 2000) is None else int(third.get("leakage_sample_limit", 2000)),
             paraphrase=ParaphraseConfig(
                 enabled=bool(para.get("enabled", True)), max_variants_per_row=int(para.get("max_variants_per_row", 1))
             ),

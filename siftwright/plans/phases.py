@@ -6,7 +6,6 @@ Stages write new paths (raw, processed, enriched, ...), never the path they read
 from __future__ import annotations
 
 from dataclasses import asdict
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +15,7 @@ from siftwright.operators import augment, balance, dedup, records, reports, subs
 from siftwright.schema import SPLITS
 from siftwright.shared import written
 from siftwright.sources import sinks
+from siftwright.sources.files import Files
 from siftwright.sources.records import exists, ingest, read_splits, read_table, train_source
 
 
@@ -29,54 +29,72 @@ def process_records(df: DataFrame, config: Phase1Config) -> tuple[DataFrame, Dat
 
 def prepare(spark: SparkSession, source: DataFrame, config: Phase1Config) -> dict:
     """Phase 1: snapshot, cleaning, dedup, validation, processed table and reports."""
-    base = Path(config.data_dir) / "processed"
+    files, raw, base = Files(spark), f"{config.data_dir}/raw", f"{config.data_dir}/processed"
     rows, snapshot = ingest(source, name=config.dataset, config=config.dataset_config, seed=config.seed)
-    sinks.write_jsonl(rows.repartition("split"), Path(config.data_dir) / "raw" / "records")
-    sinks.write_json(snapshot.to_dict(), Path(config.data_dir) / "raw" / "snapshot_metadata.json")
+    sinks.write_jsonl(rows.repartition("split"), f"{raw}/records")
+    files.write_json(snapshot.to_dict(), f"{raw}/snapshot_metadata.json")
     cleaned, unique, kept = process_records(rows, config)
-    sinks.write_table(kept, base / "processed", "split")
-    kept = read_table(spark, str(base / "processed"))
+    sinks.write_table(kept, f"{base}/processed", "split")
+    kept = read_table(spark, f"{base}/processed")
     report = {r["split"]: r.asDict() for r in reports.split_report(cleaned, unique, kept).collect()}
     exact = {r["split"]: r.asDict() for r in dedup.exact_report(cleaned, config.cleaning.complete).collect()}
-    sinks.write_distribution_reports(kept, base / "reports")
+    for split, own in report.items():
+        removed = exact.get(split, {}).get("exact_removed", 0)
+        own |= {"exact_duplicates_removed": removed, "near_duplicates_removed": own["removed"] - removed}
+    sinks.write_distribution_reports(kept, f"{base}/reports")
     checked = {s: validation.summarize(unique, s).to_dict() for s in SPLITS if s in report}
-    sinks.write_json(checked, base / "reports" / "validation_report.json")
-    sinks.write_json({s: r | exact.get(s, {}) for s, r in report.items()}, base / "reports" / "dedup_report.json")
-    summary = {s: r["output_rows"] for s, r in report.items()}
-    return sinks.write_json({"snapshot": snapshot.to_dict(), "splits": report, "distribution_summary": summary}, base / "metadata.json")
+    files.write_json(checked, f"{base}/reports/validation_report.json")
+    shown = ("exact_duplicates_removed", "near_duplicates_removed", "output_rows")
+    files.write_json({s: {k: r[k] for k in shown} for s, r in report.items()}, f"{base}/reports/dedup_report.json")
+    told = {
+        "snapshot": snapshot.to_dict(),
+        "config": {
+            "seed": config.seed,
+            "dataset_name": config.dataset,
+            "dataset_config": config.dataset_config,
+            "lowercase": config.cleaning.lowercase,
+            "near_duplicate_threshold": config.near_duplicate_threshold,
+            "drop_invalid_rows": config.drop_invalid_rows,
+        },
+        "splits": {s: r | {"validation": checked.get(s)} for s, r in report.items()},
+        "distribution_summary": {s: r["output_rows"] for s, r in report.items()},
+    }
+    return files.write_json(told, f"{base}/metadata.json")
 
 
 def enrich(spark: SparkSession, config: Phase2Config) -> dict:
     """Phase 2: obfuscation columns, severity and ambiguity reports, balanced and augmented training rows.
 
-    Switched off, the derived columns and reports are written all the same.
+    The enriched text is the one with decoded fragments. Switched off, only training rows are left as they are. Balanced
+    rows are written in a seeded order.
     """
-    base = Path(config.data_dir) / "processed"
-    rows = read_splits(spark, str(base / "processed"))
-    if config.enabled:
-        rows = records.add_obfuscation_columns(rows)
-    sinks.write_table(rows, base / "enriched", "split")
-    rows = read_table(spark, str(base / "enriched"))
-    sinks.write_severity_reports(rows, base / "reports")
-    sinks.write_unless_empty(reports.ambiguity_subset(rows), base / "subsets" / "ambiguity")
-    sinks.write_distribution_reports(rows, base / "reports", "enriched_distribution")
-    told: dict = {"enabled": config.enabled}
+    files, base = Files(spark), f"{config.data_dir}/processed"
+    rows = records.add_obfuscation_columns(read_splits(spark, f"{base}/processed"))
+    sinks.write_table(rows.withColumn("text", F.col("text_obfuscation_aware")), f"{base}/enriched", "split")
+    rows = read_table(spark, f"{base}/enriched")
+    sinks.write_severity_reports(rows, f"{base}/reports")
+    sinks.write_unless_empty(reports.ambiguity_subset(rows), f"{base}/subsets/ambiguity")
+    sinks.write_distribution_reports(rows, f"{base}/reports", "enriched_distribution")
+    told: dict = {"enabled": config.enabled, "balancing_strategy": config.balancing_strategy, "balancing": {}, "augmentation": {}}
+    made_tables = {}
     if config.enabled:
         train = rows.filter("split = 'train'")
-        sinks.write_table(balance.balance_classes(train, config.balancing_strategy, config.seed), base / "train_balanced")
-        balanced = read_table(spark, str(base / "train_balanced"))
-        sinks.write_table(augment.augment_training(balanced, config.augment, config.seed), base / "train_augmented")
-        made = read_table(spark, str(base / "train_augmented"))
-        methods = {r["augment_method"]: r["n"] for r in augment.augment_counts(made).collect()}
-        targets = {str(r["intent_label"]): r["target"] for r in balance.balance_targets(train, config.balancing_strategy).collect()}
-        n, generated = balanced.count(), sum(methods.values())
-        told |= {
-            "balancing_strategy": config.balancing_strategy,
-            "balance_targets": targets,
-            "augmentation": {"enabled": config.augment.enabled, "input_rows": n, "generated_rows": generated, "output_rows": n + generated, "methods": methods},
-        }
-    sinks.merge_metadata(base / "metadata.json", phase2=told)
-    run = sinks.log_run(base, "phase2", config.run_log.experiment) if config.run_log.enabled else None
+        sinks.write_table(balance.shuffled(balance.balance_classes(train, config.balancing_strategy, config.seed), config.seed), f"{base}/train_balanced")
+        made_tables["train_balanced"] = "train_balanced"
+        balanced, n = read_table(spark, f"{base}/train_balanced"), 0
+        targets = {str(r["intent_label"]): r.asDict() for r in balance.balance_targets(train, config.balancing_strategy).collect()}
+        told["balancing"] = {k: {"before": r["n"], "after": r["target"]} for k, r in targets.items()}
+        if config.augment.enabled:
+            sinks.write_table(augment.augment_training(balanced, config.augment, config.seed), f"{base}/train_augmented")
+            made_tables["train_augmented"] = "train_augmented"
+            made = read_table(spark, f"{base}/train_augmented")
+            methods = {r["augment_method"]: r["n"] for r in augment.augment_counts(made).collect()}
+            n, generated = balanced.count(), sum(methods.values())
+            told["augmentation"] = {"enabled": True, "input_rows": n, "generated_rows": generated, "output_rows": n + generated, "methods": methods}
+    told["reports"] = {"severity_buckets": "reports/severity_buckets.json", "ambiguity_subsets": "reports/ambiguity_subsets.json", "subsets_dir": "subsets/"}
+    told["artifacts"] = made_tables
+    files.merge_json(f"{base}/metadata.json", phase2=told)
+    run = sinks.log_run(spark, base, "phase2", config.run_log.experiment, {"phase": "phase2"}) if config.run_log.enabled else None
     return told | {"run_id": run}
 
 
@@ -85,27 +103,32 @@ def finalize(spark: SparkSession, config: Phase3Config) -> dict:
 
     Switched off, only the paraphrases are left out.
     """
-    base = Path(config.data_dir) / "processed"
-    table = base / "enriched" if exists(spark, str(base / "enriched")) else base / "processed"
-    rows = read_splits(spark, str(table))
-    sinks.write_table(subsets.technique_subsets(rows), base / "subsets" / "technique", "subset", "split")
+    files, base = Files(spark), f"{config.data_dir}/processed"
+    table = f"{base}/enriched" if exists(spark, f"{base}/enriched") else f"{base}/processed"
+    rows = read_splits(spark, table)
+    sinks.write_table(subsets.technique_subsets(rows), f"{base}/subsets/technique", "subset", "split")
     counted: dict = {}
     for r in subsets.technique_subset_counts(rows).collect():
         counted.setdefault(r["subset"], {})[r["split"]] = r["n"]
-    sinks.write_json(counted, base / "reports" / "technique_subsets.json")
-    told: dict = {"technique_subsets": counted, "paraphrase": asdict(config.paraphrase)}
+    files.write_json(counted, f"{base}/reports/technique_subsets.json")
+    told: dict = {"enabled": config.enabled, "technique_subsets": counted, "adversarial_paraphrase": asdict(config.paraphrase)}
+    made_tables = {"reproducibility_doc": f"{config.docs_dir}/REPRODUCIBILITY.md", "package_zip": "package.zip"}
     if config.enabled and config.paraphrase.enabled:
         try:
-            train = read_table(spark, train_source(spark, str(base)))
+            train = read_table(spark, train_source(spark, base))
         except FileNotFoundError:
             train = rows.filter("split = 'train'")
-        sinks.write_table(augment.augment_paraphrases(train, config.paraphrase, config.seed), base / "train_adversarial")
-        made = read_table(spark, str(base / "train_adversarial"))
-        told["paraphrase"] |= made.agg(F.count("*").alias("output_rows"), F.sum(F.col("is_adversarial_paraphrase").cast("long")).alias("generated_rows")).first().asDict()
+        sinks.write_table(augment.augment_paraphrases(train, config.paraphrase, config.seed), f"{base}/train_adversarial")
+        made = read_table(spark, f"{base}/train_adversarial")
+        told["adversarial_paraphrase"] |= made.agg(F.count("*").alias("output_rows"), F.sum(F.col("is_adversarial_paraphrase").cast("long")).alias("generated_rows")).first().asDict()
+        made_tables["train_adversarial"] = "train_adversarial"
     audit = sinks.leakage_payload(rows, config.leakage_near_threshold, config.leakage_sample_limit)
-    told["leakage_audit"] = sinks.write_json(audit, base / "reports" / "leakage_audit.json")
-    sinks.merge_metadata(base / "metadata.json", phase3={k: v for k, v in told.items() if k != "leakage_audit"} | {"leakage": audit["summary"]})
+    told["leakage_audit"] = files.write_json(audit, f"{base}/reports/leakage_audit.json")
+    told |= {"reproducibility_manifest": "reports/reproducibility_manifest.json", "artifacts": made_tables}
+    files.merge_json(f"{base}/metadata.json", phase3=told)
     told["package"] = sinks.package_dataset(spark, base)
-    told["run_id"] = sinks.log_run(base, "phase3", config.run_log.experiment) if config.run_log.enabled else None
-    told["manifest"] = sinks.write_reproducibility(spark, base, config.docs_dir, {"rows": sinks.content_hash(rows)})
+    files.merge_json(f"{base}/metadata.json", phase3=told)
+    extra = {"phase": "phase3", "leakage_passed": audit["passed"]}
+    told["run_id"] = sinks.log_run(spark, base, "phase3", config.run_log.experiment, extra) if config.run_log.enabled else None
+    told["manifest"] = sinks.write_reproducibility(spark, base, str(config.docs_dir), {"rows": sinks.content_hash(rows)})
     return told

@@ -8,31 +8,36 @@ from siftwright import cli
 from siftwright.config import Config, config_from
 from siftwright.plans import phases
 from siftwright.sources import records as src
+from siftwright.sources import sinks
 from siftwright.streaming.records import dedup_stream, enrich_stream
 
 
 def test_phases_end_to_end(spark, sf_dir, tmp_path):
     table = src.records_from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = Config()
-    one = phases.prepare(spark, table, replace(base.phase1, data_dir=tmp_path))
+    one = phases.prepare(spark, table, replace(base.phase1, data_dir=str(tmp_path)))
     assert one["snapshot"]["splits"] == {"train": 160, "validation": 20, "test": 20}
     again, snapshot = src.ingest(table, name="records")
     assert snapshot.snapshot_id == one["snapshot"]["snapshot_id"] and snapshot.snapshot_id.startswith("tm-")
     processed = tmp_path / "processed"
     kept = src.read_splits(spark, str(processed / "processed"))
     assert {"text_original", "text_clean", "text_fingerprint", "severity_bucket"} <= set(kept.columns)
-    two = phases.enrich(spark, replace(base.phase2, data_dir=tmp_path))
+    two = phases.enrich(spark, replace(base.phase2, data_dir=f"file:{tmp_path}"))
     assert two["augmentation"]["output_rows"] == spark.read.parquet(str(processed / "train_augmented")).count()
     assert src.train_source(spark, str(processed)).endswith("train_augmented")
-    three = phases.finalize(spark, replace(base.phase3, data_dir=tmp_path, docs_dir=tmp_path / "docs"))
+    three = phases.finalize(spark, replace(base.phase3, data_dir=f"file://{tmp_path}", docs_dir=str(tmp_path / "docs")))
     assert {"passed", "summary", "exact_leakage", "near_leakage"} <= set(three["leakage_audit"])
     assert {"commands", "artifact_hashes_sha256", "content_hashes"} <= set(three["manifest"])
-    assert three["paraphrase"]["generated_rows"] > 0
+    assert three["adversarial_paraphrase"]["generated_rows"] > 0
     metadata = json.loads((processed / "metadata.json").read_text())
-    assert {"snapshot", "distribution_summary", "phase2", "phase3"} <= set(metadata)
+    assert {"snapshot", "config", "distribution_summary", "phase2", "phase3"} <= set(metadata)
+    assert {"leakage_audit", "reproducibility_manifest", "package", "artifacts"} <= set(metadata["phase3"])
     with zipfile.ZipFile(processed / "package.zip") as packed:
         assert "phase3" in json.loads(packed.read("metadata.json"))
-    assert len((processed / "runs.jsonl").read_text().splitlines()) == 2
+    runs = sinks.read_runs(spark, str(processed))
+    assert [r["params"]["phase"] for r in runs] == ["phase2", "phase3"] and runs[1]["params"]["leakage_passed"] == str(three["leakage_audit"]["passed"])
+    assert runs[0]["metrics"]["rows_train_augmented"] == two["augmentation"]["output_rows"]
+    assert sinks.dataset_version(spark, str(processed))["dataset_train_rows"] == one["distribution_summary"]["train"]
     reports = {p.name for p in (processed / "reports").iterdir()}
     assert {"class_distribution.md", "validation_report.json", "dedup_report.json", "severity_buckets.json", "leakage_audit.json", "reproducibility_manifest.json"} <= reports
 
