@@ -40,11 +40,12 @@ def _query(sql: str | None = None):
     return add
 
 
-# The adapter and the cleaning rules as SQL; NFKC changes no row of these tables.
+# The adapter and the cleaning rules as SQL; NFKC changes only what the adapter adds.
 RECORDS = r"""records as (
   select doc_id as row_idx, case when doc_id % 10 < 8 then 'train' when doc_id % 10 = 8 then 'validation' else 'test' end as split,
-    text, source, l as label, l as intent_label,
-    case when (l > 0) <> (doc_id % 41 = 0) then 1 else 0 end as binary_label,
+    case when doc_id % 73 = 0 then text || ' ＡＢＣ ﬁ %41%42 слово' else text end as text, source,
+    case when doc_id % 53 = 0 then 9 else l end::int as label, case when doc_id % 53 = 0 then 9 else l end::int as intent_label,
+    case when doc_id % 67 = 0 then 3 when (l > 0) <> (doc_id % 41 = 0) then 1 else 0 end as binary_label,
     case when doc_id % 43 = 0 then 'invalid' else ['benign', 'direct_injection', 'system_extraction', 'role_hijack', 'obfuscation', 'tool_abuse', 'indirect_injection'][l + 1] end as intent,
     case when doc_id % 47 = 0 then 0 when l = 0 and doc_id % 59 = 0 then 5 when l = 0 then 1 + doc_id % 2 else 3 + doc_id % 8 end::int as severity,
     case when doc_id % 61 = 0 then '' else ['none', 'instruction_override', 'prompt_leak', 'role-play', 'encoding', 'tool_abuse', 'context_injection'][l + 1] end as technique,
@@ -53,7 +54,7 @@ RECORDS = r"""records as (
         from (select *, (doc_id // 10) % 20 as b from documents))
 ), cleaned as (
   select *, text as text_original,
-    trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]', '', 'g'), '[\x{200b}-\x{200d}\x{feff}\x{2060}\x{180e}]', '', 'g'), '[\s\p{Z}]+', ' ', 'g')) as text_clean
+    trim(regexp_replace(regexp_replace(regexp_replace(replace(coalesce(text, ''), 'ＡＢＣ ﬁ', 'ABC fi'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]', '', 'g'), '[\x{200b}-\x{200d}\x{feff}\x{2060}\x{180e}]', '', 'g'), '[\s\p{Z}]+', ' ', 'g')) as text_clean
   from records
 )"""
 EXACT = RECORDS + """, exact_kept as (
@@ -81,7 +82,7 @@ ISSUES = """found as (
     case when intent_label not between 0 and 6 then ['intent_label', 'error'] end,
     case when intent <> ['benign', 'direct_injection', 'system_extraction', 'role_hijack', 'obfuscation', 'tool_abuse', 'indirect_injection'][intent_label + 1] then ['intent', 'error'] end,
     case when binary_label not in (0, 1) then ['binary_label', 'error'] end,
-    case when binary_label <> (intent_label <> 0)::int then ['binary_label', 'error'] end,
+    case when binary_label in (0, 1) and binary_label <> (intent_label <> 0)::int then ['binary_label', 'error'] end,
     case when severity not between 1 and 10 then ['severity', 'error'] end,
     case when intent_label = 0 and severity > 2 then ['severity', 'warning'] end,
     case when intent_label <> 0 and trim(technique) = '' then ['technique', 'error'] end
@@ -252,7 +253,7 @@ def split_report(spark: SparkSession, sf_dir: str) -> DataFrame:
       union all select split, 'technique', coalesce(technique, 'unknown') from exact_kept
       union all select split, 'severity', severity::varchar from exact_kept
       union all select split, 'ambiguity', case when ambiguity then 'True' else 'False' end from exact_kept
-      union all select split, 'intent_label_named', ['benign', 'direct_injection', 'system_extraction', 'role_hijack', 'obfuscation', 'tool_abuse', 'indirect_injection'][intent_label + 1] from exact_kept
+      union all select split, 'intent_label_named', coalesce(['benign', 'direct_injection', 'system_extraction', 'role_hijack', 'obfuscation', 'tool_abuse', 'indirect_injection'][intent_label + 1], intent_label::varchar) from exact_kept
       union all select split, 'row_count', 'all' from exact_kept) group by all"""
 )
 def class_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:

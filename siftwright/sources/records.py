@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from siftwright.operators.records import add_derived_columns
 from siftwright.schema import INTENTS, SPLITS
 
+ODD_TEXT = " ＡＢＣ ﬁ %41%42 слово"
 TRAIN_SOURCES = ("train_augmented", "train_balanced", "train")
 
 
@@ -79,7 +80,10 @@ def train_source(spark: SparkSession, folder: str) -> str:
 
 
 def records_from_documents(documents: DataFrame) -> DataFrame:
-    """Labelled records from the driver's documents: labels and defects follow from the id, texts stay."""
+    """Labelled records from the driver's documents: labels and defects follow from the id.
+
+    Texts stay but for one in 73, which gets what the documents lack: full-width letters, a ligature, url encoding, Cyrillic.
+    """
     i = F.col("doc_id")
     b = F.expr("(doc_id div 10) % 20")
     label = F.when(b < 8, 0).when(b < 12, 1).when(b < 15, 2).when(b < 17, 3).otherwise(b - 13).cast("int")
@@ -89,19 +93,20 @@ def records_from_documents(documents: DataFrame) -> DataFrame:
     rows = documents.select(
         i.alias("row_idx"),
         F.when(i % 10 < 8, "train").when(i % 10 == 8, "validation").otherwise("test").alias("split"),
-        "text",
+        F.when(i % 73 == 0, F.concat("text", F.lit(ODD_TEXT))).otherwise(F.col("text")).alias("text"),
         label.alias("intent_label"),
         "source",
     )
     i = F.col("row_idx")
     rows = rows.withColumns(
         {
-            "label": F.col("intent_label"),
-            "binary_label": F.when((i % 41 == 0), F.when(benign, 1).otherwise(0)).otherwise(F.when(benign, 0).otherwise(1)).cast("int"),
+            "binary_label": F.when(i % 67 == 0, 3).when((i % 41 == 0), F.when(benign, 1).otherwise(0)).otherwise(F.when(benign, 0).otherwise(1)).cast("int"),
             "intent": F.when(i % 43 == 0, F.lit("invalid")).otherwise(F.element_at(names, F.col("intent_label"))),
             "severity": F.when(i % 47 == 0, 0).when(benign & (i % 59 == 0), 5).when(benign, 1 + i % 2).otherwise(3 + i % 8).cast("int"),
             "technique": F.when(i % 61 == 0, F.lit("")).otherwise(F.element_at(F.array(*map(F.lit, techniques)), F.col("intent_label") + 1)),
             "ambiguity": i % 7 == 0,
         }
     )
+    known = F.when(i % 53 == 0, 9).otherwise(F.col("intent_label")).cast("int")
+    rows = rows.withColumns({"intent_label": known, "label": known})
     return rows.select("row_idx", "split", "text", "label", "intent_label", "binary_label", "intent", "technique", "severity", "ambiguity", "source")
