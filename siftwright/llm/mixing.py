@@ -30,7 +30,7 @@ def word_count(text: Column) -> Column:
 
 
 def unit_draw(key: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) from 60 bits of md5(seed, key)."""
+    """A number in [0, 1) from 52 bits of md5(seed, key)."""
     digits = F.substring(F.md5(F.concat(F.lit(f"{seed}|"), key).cast("binary")), 1, 13)
     return F.conv(digits, 16, 10).cast("long") / F.lit(float(1 << 52))
 
@@ -42,7 +42,8 @@ def source_targets(
 
     A target is its weight's part of share x all sizes, most x the source's size at most; what is above goes to the
     rest by weight. Water-filling in closed form: in the order of cap over weight, sources are full up to the first
-    whose part of what is left stays below its cap. The windows run over one row a source.
+    whose part of what is left stays below its cap. The windows run over one row a source, in one task: the README has its
+    time for two million sources.
     """
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1

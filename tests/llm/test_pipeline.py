@@ -65,3 +65,17 @@ def test_empty_tables(spark, planted):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, path)
     assert docs.count() == 0
+
+
+def test_run_goes_on_from_finished_stages(spark, planted, tmp_path, monkeypatch):
+    path, *_ = planted
+    rows = lambda d: sorted((r["doc_id"], r["mix_copy"], r["text"]) for r in d.collect())
+    whole = rows(corpus_pipeline.run(spark, path))
+    calls = []
+    counted = [(n, lambda s, d, f, n=n, stage=stage: calls.append(n) or stage(s, d, f)) for n, stage in corpus_pipeline.STAGES]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", counted)
+    folder = str(tmp_path / "run")
+    assert rows(corpus_pipeline.run(spark, path, folder)) == whole and len(calls) == 5
+    assert rows(corpus_pipeline.run(spark, path, folder)) == whole and calls[5:] == ["source_mix"]
+    (tmp_path / "run" / "repeated_passages" / "_SUCCESS").unlink()
+    assert rows(corpus_pipeline.run(spark, path, folder)) == whole and calls[6:] == ["repeated_passages", "source_mix"]
