@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir), calls one operator and returns its documents; all but the last return the
 columns of docs. run() writes each stage's rows as Parquet to the shared folder and reads them again, so a lost
-executor costs the stage at hand at most. Nulls, empty tables and extra columns are as the operators define them.
+executor costs the stage at hand at most, and with a folder of its own a lost driver too. Nulls, empty tables and extra
+columns are as the operators define them.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwright.llm import decontam, langid, mixing, passages, simhash
-from siftwright.shared import written
+from siftwright.shared import write_once, written
+from siftwright.sources.records import exists
 
 #: Posterior below which a document's language counts as unknown.
 SURE = 0.5
@@ -57,8 +59,19 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """The last stage's rows.
+
+    With a folder (a shared one), each stage's table stays there, and a run that is started again with the same folder reads
+    the stages that are finished. Without, tables have paths of their own and go when the driver ends.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if folder is None:
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+            continue
+        path = f"{folder.rstrip('/')}/{name}"
+        if not exists(spark, f"{path}/_SUCCESS"):
+            write_once(stage(spark, docs, sf_dir), path, "overwrite")
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

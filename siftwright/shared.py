@@ -32,13 +32,13 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
-def write_once(df: DataFrame, path: str) -> None:
-    """Write df to a new path and let go of the shuffle files that made it."""
+def write_once(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write df to path and let go of the shuffle files that made it."""
     conf = df.sparkSession.conf
     before = conf.get(_CLEANUP, None)
     conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.mode(mode).parquet(path)
     finally:
         if before is None:
             conf.unset(_CLEANUP)
