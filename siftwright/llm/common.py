@@ -69,6 +69,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_CHA
             total += int(n)
         if len(lengths) > start:
             yield batch.slice(start)
+        pa.default_memory_pool().release_unused()  # a worker that waits for its next task holds nothing of this one
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -89,6 +90,8 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
             held = held.slice(cut)
     if held is not None:
         yield held.combine_chunks()
+    held = None
+    pa.default_memory_pool().release_unused()  # as slices() does
 
 
 def group_starts(*keys: np.ndarray) -> np.ndarray:

@@ -42,8 +42,9 @@ _IS_NUMBER[list(_NUMBERS)] = True
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _LETTER = re.compile(r"[^\W\d_]")
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
-#: Characters scored at once; a longer document takes as many rounds as it needs.
-BLOCK = 1 << 20
+#: Characters hashed at once; a longer document takes as many rounds as it needs.
+BLOCK = 1 << 17
+GATHERED = 1 << 18  #: n-grams whose rows of the matrix are summed at once
 
 
 def plain(text: str | None) -> str:
@@ -94,8 +95,8 @@ class Model:
             if held:
                 rows = np.array([r for r, _ in held])
                 ends = np.cumsum([0] + [len(b) for _, b in held][:-1])
-                sums = np.add.reduceat(self.log_probs[np.concatenate([b for _, b in held])], ends, axis=0, dtype=np.float64)
-                np.add.at(totals, rows, sums)
+                found = self.log_probs[np.concatenate([b for _, b in held])]
+                np.add.at(totals, rows, np.add.reduceat(found, ends, axis=0, dtype=np.float64))
             held, size = [], 0
 
         for row, text in enumerate(texts):
@@ -107,7 +108,7 @@ class Model:
                 found = buckets_of(block, len(self.log_probs))
                 held.append((row, found))
                 size += len(found)
-                if size >= 2 * BLOCK:
+                if size >= GATHERED:
                     flush()
         flush()
         if not self.languages:

@@ -64,8 +64,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _BYTES[_SPACE] = 0
 _PLACES = np.cumprod(np.full(4096, 0xD6E8FEB86659FD93, np.uint64))
-PIECE = 1 << 20  #: bytes hashed by one numpy call; a longer word is a piece of its own
-SLICE = 1_000_000  #: characters of the texts whose words are held at once; a longer text is alone
+PIECE = 1 << 18  #: bytes hashed by one numpy call; a longer word is a piece of its own
+SLICE = 400_000  #: characters of the texts whose words are held at once; a longer text is alone
 
 
 def _mixed(values: np.ndarray) -> np.ndarray:
