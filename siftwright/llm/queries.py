@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwright.llm import chat, decontam, langid, media, mixing, passages, simhash, tokens, toxicity, urlfilter
+from siftwright.llm import chat, decontam, funnel, langid, media, mixing, passages, simhash, tokens, toxicity, urlfilter
 
 URL_RULES = ("block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/")
 
+FUNNELS = [
+    funnel.Funnel("A", ("view", "click", "view", "purchase"), ("error",)),
+    funnel.Funnel("B", ("signup", "view", "click", "purchase"), ("error",)),
+    funnel.Funnel("C", ("click", "click", "purchase", "view"), ("signup",)),
+]
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -64,6 +70,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe_texts(_table(spark, sf_dir, "documents"))
 
 
+def op12_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return funnel.count_funnels(_table(spark, sf_dir, "clicks"), FUNNELS)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_toxicity,
@@ -76,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_decontamination,
         op9_urls,
         op10_media,
+        op12_funnels,
     )
     return {f.__name__: f for f in found}
 
@@ -178,6 +189,48 @@ from split s left join (select distinct * from fits where place = 1) f
   on s.page_id is not distinct from f.page_id and s.host = f.host and s.path = f.path
 """
 
+OP12_SQL = """
+with e as (
+  select distinct client_id, kind, ts from clicks where client_id is not null and kind is not null and ts is not null
+), funnels(funnel, s1, s2, s3, s4, x) as (
+  values ('A', 'view', 'click', 'view', 'purchase', 'error'), ('B', 'signup', 'view', 'click', 'purchase', 'error'),
+    ('C', 'click', 'click', 'purchase', 'view', 'signup')
+), a1 as (
+  select funnel, client_id, ts as p1, s2, s3, s4, x from e join funnels on kind = s1
+), e_next as (
+  select * from e
+), b2 as (
+  select a.*, n.ts as p2 from a1 a asof left join e_next n on a.client_id = n.client_id and a.s2 = n.kind and a.p1 < n.ts
+), c2 as (
+  select b.*, n.ts as q2 from b2 b asof left join e_next n on b.client_id = n.client_id and b.x = n.kind and b.p1 < n.ts
+), a2 as (
+  select *, p2 is not null and p2 <= p1 + interval 15 minute and (q2 is null or q2 > p2) as r2 from c2
+), b3 as (
+  select a.*, n.ts as p3 from a2 a asof left join e_next n on a.client_id = n.client_id and a.s3 = n.kind and a.p2 < n.ts
+), c3 as (
+  select b.*, n.ts as q3 from b3 b asof left join e_next n on b.client_id = n.client_id and b.x = n.kind and b.p2 < n.ts
+), a3 as (
+  select *, r2 and p3 is not null and p3 <= p2 + interval 15 minute and (q3 is null or q3 > p3) as r3 from c3
+), b4 as (
+  select a.*, n.ts as p4 from a3 a asof left join e_next n on a.client_id = n.client_id and a.s4 = n.kind and a.p3 < n.ts
+), c4 as (
+  select b.*, n.ts as q4 from b4 b asof left join e_next n on b.client_id = n.client_id and b.x = n.kind and b.p3 < n.ts
+), a4 as (
+  select *, r3 and p4 is not null and p4 <= p3 + interval 15 minute and (q4 is null or q4 > p4) as r4 from c4
+), counted as (
+  select funnel, client_id, count(*)::bigint as n1, count(*) filter (r2)::bigint as n2, count(*) filter (r3)::bigint as n3,
+    count(*) filter (r4)::bigint as n4,
+    list_sort(list(epoch_us(p2) - epoch_us(p1)) filter (r2)) as d2, list_sort(list(epoch_us(p3) - epoch_us(p2)) filter (r3)) as d3,
+    list_sort(list(epoch_us(p4) - epoch_us(p3)) filter (r4)) as d4
+  from a4 group by funnel, client_id
+), told as (
+  select *, (case when n4 > 0 then 4 when n3 > 0 then 3 when n2 > 0 then 2 else 1 end)::int as deepest from counted
+)
+select funnel, client_id, n1, n2, n3, n4, deepest, d2[(n2 + 1) // 2] as t2, d3[(n3 + 1) // 2] as t3, d4[(n4 + 1) // 2] as t4,
+  count(*) over (partition by funnel, deepest)::bigint as same_depth
+from told
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL, "op6_chat": OP6_SQL, "op8_decontamination": OP8_SQL, "op9_urls": OP9_SQL}
+    return {"op4_mixing": OP4_SQL, "op6_chat": OP6_SQL, "op8_decontamination": OP8_SQL, "op9_urls": OP9_SQL, "op12_funnels": OP12_SQL}
