@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwright.llm import chat, decontam, funnel, langid, media, mixing, passages, simhash, tokens, toxicity, urlfilter
+from siftwright.llm import chat, decontam, funnel, langid, media, mixing, passages, simhash, tokens, topk, toxicity, urlfilter
 
 URL_RULES = ("block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/")
 
@@ -70,6 +70,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe_texts(_table(spark, sf_dir, "documents"))
 
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
 def op12_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return funnel.count_funnels(_table(spark, sf_dir, "clicks"), FUNNELS)
 
@@ -86,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_decontamination,
         op9_urls,
         op10_media,
+        op11_topk,
         op12_funnels,
     )
     return {f.__name__: f for f in found}
@@ -189,6 +194,19 @@ from split s left join (select distinct * from fits where place = 1) f
   on s.page_id is not distinct from f.page_id and s.host = f.host and s.path = f.path
 """
 
+OP11_SQL = """
+with kept as (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.r as qr, q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+  from kept q join kept c on q.vec_id % 100 = 0 and q.r <> c.r and len(q.v) = len(c.v)
+), ranked as (
+  select *, row_number() over (partition by qr order by score desc, vec_id nulls last)::int as rank from scored
+)
+select query_id, rank, vec_id, score from ranked where rank <= 10
+"""
+
 OP12_SQL = """
 with e as (
   select distinct client_id, kind, ts from clicks where client_id is not null and kind is not null and ts is not null
@@ -233,4 +251,4 @@ from told
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL, "op6_chat": OP6_SQL, "op8_decontamination": OP8_SQL, "op9_urls": OP9_SQL, "op12_funnels": OP12_SQL}
+    return {"op4_mixing": OP4_SQL, "op6_chat": OP6_SQL, "op8_decontamination": OP8_SQL, "op9_urls": OP9_SQL, "op11_topk": OP11_SQL, "op12_funnels": OP12_SQL}
