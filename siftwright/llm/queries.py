@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwright.llm import chat, decontam, funnel, langid, media, mixing, passages, simhash, tokens, topk, toxicity, urlfilter
+from siftwright.llm import chat, codes, decontam, funnel, langid, media, mixing, passages, simhash, tokens, topk, toxicity, urlfilter
 
 URL_RULES = ("block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/")
 
@@ -78,6 +78,10 @@ def op12_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return funnel.count_funnels(_table(spark, sf_dir, "clicks"), FUNNELS)
 
 
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_toxicity,
@@ -92,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_media,
         op11_topk,
         op12_funnels,
+        op13_codes,
     )
     return {f.__name__: f for f in found}
 
@@ -250,5 +255,42 @@ from told
 """
 
 
+def _lloyd_sql(rounds: int) -> str:
+    """Codebooks b0 to b<rounds>, and a<i>, the parts as assigned to b<i>."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} as materialized (
+  select r, p, any_value(part) as part, min(struct_pack(d := list_inner_product(part, part) - 2 * list_inner_product(part, entry) + list_inner_product(entry, entry), e := e)) as best
+  from parts join b{i} using (p) group by r, p
+)""")
+        if i < rounds:
+            steps.append(f"""b{i + 1} as materialized (
+  select b.p, b.e, coalesce(m.entry, b.entry) as entry from b{i} b left join (
+    select p, e, list(floor(s / n)::double order by j) as entry from (
+      select p, best.e as e, j, sum(part[j]) as s, count(*) as n from (select *, unnest(range(1, len(part) + 1)) as j from a{i}) group by all
+    ) group by p, e
+  ) m on b.p = m.p and b.e = m.e
+)""")
+    return ", ".join(steps)
+
+
+OP13_SQL = f"""
+with kept as materialized (
+  select row_number() over (order by vec_id nulls last, embedding) - 1 as r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), parts as materialized (
+  select r, p, v[p * len(v) // 4 + 1:(p + 1) * len(v) // 4] as part from kept, range(4) as t(p)
+), b0 as materialized (
+  select p, r as e, part as entry from parts where r < 256
+), {_lloyd_sql(4)}, told as (
+  select r, string_agg(format('{{:02x}}', best.e), '' order by p) as code, sum(best.d)::bigint as error from a4 group by r
+), digest as (
+  select sha256(string_agg(x::bigint::varchar, ',' order by p, e, j)) as h from (select p, e, unnest(entry) as x, unnest(range(1, len(entry) + 1)) as j from b4)
+)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, h as codebooks_sha256
+from kept join told using (r), digest
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL, "op6_chat": OP6_SQL, "op8_decontamination": OP8_SQL, "op9_urls": OP9_SQL, "op11_topk": OP11_SQL, "op12_funnels": OP12_SQL}
+    return {"op4_mixing": OP4_SQL, "op6_chat": OP6_SQL, "op8_decontamination": OP8_SQL, "op9_urls": OP9_SQL, "op11_topk": OP11_SQL, "op12_funnels": OP12_SQL, "op13_codes": OP13_SQL}

@@ -12,4 +12,4 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
 
 
 def test_registered():
-    assert [int(n[2:].split("_")[0]) for n in q.queries()] == list(range(1, 13))
+    assert [int(n[2:].split("_")[0]) for n in q.queries()] == list(range(1, 14))
