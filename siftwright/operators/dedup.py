@@ -4,28 +4,33 @@ Near-duplicates have two modes. "verified" drops a row if an earlier kept row ha
 threshold or more. "lsh" drops a row that shares a MinHash band with an earlier kept row, without verification.
 
 Both are greedy in row order, which is neither connected components nor "any earlier neighbour": in a chain a-b-c
-without a-c, a and c stay. Greedy is resolved in rounds. A row is kept once no undecided row comes before it among its
-neighbours, and dropped once a kept one does; rounds are written tables, their number is the longest chain's length.
+without a-c, a and c stay. Greedy is resolved in a few rounds, in which a row is kept once no undecided row comes before it
+among its neighbours, and dropped once a kept one does; the chains that are left are walked through by component.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftwright.functions.text import fingerprint_digest, let, shingle_hashes, token_shingles
+from siftwright.functions.text import fingerprint_digest, let, token_shingles
+from siftwright.operators.components import star_forest
 from siftwright.operators.records import text_column
+from siftwright.operators.similarity import candidates, collapsed, fits, inverted_lists, promising, shingle_sets, similar_pairs, verified
 from siftwright.shared import written
 
 THRESHOLD = 0.85
 PERMUTATIONS = 128
 SEED = 1
 NO_SHINGLE = 1 << 30  #: stands for a text without tokens
+ROUNDS = 3  #: rounds of greedy before what is left is resolved by component
+COMPONENT = 200_000  #: memberships of a component that one task walks through
 HOT = 64  #: rows of a bucket above which rows meet its first row only, round by round
 _PRIME = (1 << 61) - 1
 
@@ -55,94 +60,78 @@ def exact_report(df: DataFrame, cleaned: bool = False) -> DataFrame:
     return counted.withColumn("exact_removed", F.col("input_rows") - F.col("output_rows"))
 
 
-def shingle_sets(df: DataFrame) -> DataFrame:
-    """(split, row_idx, hashes, n): hashes of the distinct word 3-grams; of no token, one sentinel.
-
-    The sentinel makes texts without tokens equal to each other and to nothing else.
-    """
-    hashes = shingle_hashes(F.col(text_column(df, "text_clean", "text")))
-    sets = df.select("split", "row_idx", hashes.alias("hashes"))
-    sets = sets.withColumn("hashes", F.when(F.size("hashes") == 0, F.array(F.lit(-1).cast("long"))).otherwise(F.sort_array("hashes")))
-    return sets.withColumn("n", F.size("hashes"))
-
-
-def prefixes(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(split, row_idx, n, h): the elements of each set's prefix that another set has too.
-
-    A pair above t shares an element of both prefixes: with elements ordered from rare to common, the first
-    n - ceil(t n) + 1. So only prefixes join, and common shingles rarely are in one.
-    """
-    spread = sets.select("split", "row_idx", "n", F.explode("hashes").alias("h"))
-    often = spread.groupBy("h").agg(F.count("*").alias("uses")).filter("uses > 1")
-    ranked = spread.join(often, "h").withColumn("at", F.struct("uses", "h"))
-    shared = ranked.groupBy("split", "row_idx", "n").agg(F.array_sort(F.collect_list("at")).alias("ordered"))
-    # elements that occur once come first in the order and match nothing: they only use up the prefix
-    reach = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("ordered"))
-    taken = F.transform(F.slice("ordered", F.lit(1), reach.cast("int")), lambda x: x["h"])
-    return shared.filter(reach > 0).select("split", "row_idx", "n", F.explode(taken).alias("h"))
-
-
-def _fits(threshold: float) -> Column:
-    """Sizes that allow the threshold."""
-    return F.least("l_n", "r_n") >= F.lit(threshold) * F.greatest("l_n", "r_n") - 1e-9
-
-
-def _verified(met: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs (l_split, l_row, r_split, r_row) with their Jaccard similarity, where it is the threshold or more."""
-    sets = sets.select("split", "row_idx", "hashes")
-    met = met.join(sets.toDF("l_split", "l_row", "l_hashes"), ["l_split", "l_row"]).join(sets.toDF("r_split", "r_row", "r_hashes"), ["r_split", "r_row"])
-    both = F.size(F.array_intersect("l_hashes", "r_hashes"))
-    met = met.withColumn("jaccard", both / (F.size("l_hashes") + F.size("r_hashes") - both))
-    return met.filter(F.col("jaccard") >= threshold - 1e-12).select("l_split", "l_row", "r_split", "r_row", "jaccard")
-
-
-def similar_pairs(sets: DataFrame, threshold: float = THRESHOLD, across: bool = False, prefix: DataFrame | None = None) -> DataFrame:
-    """(l_split, l_row, r_split, r_row, jaccard) of sets at or above the threshold.
-
-    Prefixes join, sizes filter, then the sets are fetched. Pairs are within a split, earlier row first; or across
-    splits, the split that sorts first on the left.
-    """
-    prefix = written(prefixes(sets, threshold), "prefixes") if prefix is None else prefix
-
-    def side(name: str) -> DataFrame:
-        return prefix.select(F.col("split").alias(f"{name}_split"), F.col("row_idx").alias(f"{name}_row"), F.col("n").alias(f"{name}_n"), "h")
-
-    rule = (F.col("l_split") == F.col("r_split")) & (F.col("l_row") < F.col("r_row"))
-    rule = F.col("l_split") < F.col("r_split") if across else rule
-    met = side("l").join(side("r"), "h").filter(rule & _fits(threshold)).select("l_split", "l_row", "r_split", "r_row").distinct()
-    return _verified(met, sets, threshold)
-
-
-def _distinct_sets(sets: DataFrame) -> DataFrame:
-    """The first row of each split with each set: later ones are dropped by any rule, since it is their neighbour."""
-    return sets.groupBy("split", "hashes").agg(F.min("row_idx").alias("row_idx")).withColumn("n", F.size("hashes"))
-
-
 def near_duplicate_pairs(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs of different sets; rows with equal sets stand behind their first row."""
-    pairs = similar_pairs(written(_distinct_sets(shingle_sets(df)), "sets"), threshold=threshold)
+    pairs = similar_pairs(collapsed(shingle_sets(df))[0], threshold)
     return pairs.select(F.col("l_split").alias("split"), "l_row", "r_row", "jaccard")
 
 
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Greedy over memberships sorted by component and row: a row is kept if no kept row has one of its buckets."""
+    component, taken, row, own = None, set(), None, []
+
+    def closed(kept: list) -> None:
+        if row is not None and taken.isdisjoint(own):
+            taken.update(own)
+            kept.append(row)
+
+    for batch in batches:
+        kept: list = []
+        for at, split, row_idx, bucket in zip(*(batch.column(c).to_pylist() for c in ("component", "split", "row_idx", "bucket")), strict=True):
+            if (split, row_idx) != row or at != component:
+                closed(kept)
+                if at != component:
+                    component, taken = at, set()
+                row, own = (split, row_idx), []
+            own.append(bucket)
+        yield pa.RecordBatch.from_pydict({"split": pa.array([s for s, _ in kept], pa.string()), "row_idx": pa.array([i for _, i in kept], pa.int64())})
+    kept = []
+    closed(kept)
+    yield pa.RecordBatch.from_pydict({"split": pa.array([s for s, _ in kept], pa.string()), "row_idx": pa.array([i for _, i in kept], pa.int64())})
+
+
+def _walked(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kept, rest): what greedy keeps of the components of at most COMPONENT memberships, and the memberships of the others."""
+    first = left.groupBy("split", "bucket").agg(F.min("row_idx").alias("first"))
+    node = lambda c: F.struct("split", F.col(c).alias("row_idx"))
+    edges = left.join(first, ["split", "bucket"]).select(node("row_idx").alias("a"), node("first").alias("b"))
+    root = star_forest(edges, "greedy-components").select("a.split", "a.row_idx", F.col("b.row_idx").alias("root"))
+    held = left.join(root, ["split", "row_idx"], "left").withColumn("component", F.xxhash64("split", F.coalesce("root", "row_idx")))
+    held = written(held.drop("root"), "greedy-held")
+    large = written(held.groupBy("component").agg(F.count("*").alias("k")).filter(F.col("k") > COMPONENT).select("component"), "greedy-large")
+    small = held.join(large, "component", "left_anti").select("component", "split", "row_idx", "bucket")
+    walked = small.repartition("component").sortWithinPartitions("component", "split", "row_idx").mapInArrow(_walk, "split string, row_idx long")
+    return written(walked, "greedy-kept"), held.join(large, "component", "left_semi").select("split", "bucket", "row_idx")
+
+
 def greedy_kept(rows: DataFrame, buckets: DataFrame) -> DataFrame:
     """(split, row_idx) that greedy keeps: no earlier kept row is in a bucket with it.
 
     rows: split, row_idx. buckets: split, bucket, row_idx; a pair is a bucket of two. A round needs the first undecided
-    row of each bucket (a partial aggregate), never the pairs of a bucket.
+    row of each bucket (a partial aggregate), never the pairs of a bucket. What ROUNDS rounds leave, chains, is resolved by
+    component in one pass; only components too large for a task go on in rounds.
     """
     key = ["split", "row_idx"]
-    left, kept = written(buckets.select("split", "bucket", "row_idx"), "greedy"), None
+    left, kept = written(buckets.select("split", "bucket", "row_idx"), "greedy"), []
+    rounds = 0
     while not left.isEmpty():
-        first = left.groupBy("split", "bucket").agg(F.min("row_idx").alias("first"))
-        seen = written(left.join(first, ["split", "bucket"]), "greedy-first")
-        chosen = seen.groupBy(*key).agg(F.min(F.expr("first = row_idx")).alias("all_first")).filter("all_first").select(*key)
-        chosen = written(chosen, "greedy-kept")
-        kept = chosen if kept is None else kept.unionByName(chosen)
-        hit = seen.join(chosen.withColumnRenamed("row_idx", "first"), ["split", "first"], "left_semi")
-        gone = hit.select(*key).distinct().unionByName(chosen).distinct()
-        left = written(left.join(gone, key, "left_anti"), "greedy")
+        if rounds == ROUNDS:
+            chosen, rest = _walked(left)
+            left = written(rest, "greedy")
+        else:
+            first = left.groupBy("split", "bucket").agg(F.min("row_idx").alias("first"))
+            seen = written(left.join(first, ["split", "bucket"]), "greedy-first")
+            chosen = seen.groupBy(*key).agg(F.min(F.expr("first = row_idx")).alias("all_first")).filter("all_first").select(*key)
+            chosen = written(chosen, "greedy-kept")
+            hit = seen.join(chosen.withColumnRenamed("row_idx", "first"), ["split", "first"], "left_semi")
+            gone = hit.select(*key).distinct().unionByName(chosen).distinct()
+            left = written(left.join(gone, key, "left_anti"), "greedy")
+        kept.append(chosen)
+        if len(kept) > ROUNDS + 1:  # few tables, however long the rounds of a large component go on
+            kept = [written(reduce(DataFrame.unionByName, kept), "greedy-kept")]
+        rounds += 1
     free = rows.select(*key).join(buckets.select(*key).distinct(), key, "left_anti")
-    return free if kept is None else free.unionByName(kept)
+    return reduce(DataFrame.unionByName, kept, free)
 
 
 def band_layout(threshold: float, permutations: int = PERMUTATIONS) -> tuple[int, int] | None:
@@ -212,50 +201,61 @@ def lsh_buckets(df: DataFrame, threshold: float, permutations: int = PERMUTATION
 def _verified_kept(sets: DataFrame, threshold: float) -> DataFrame:
     """(split, row_idx) that greedy keeps by exact similarity, of different sets.
 
-    While buckets of prefix elements are large, their rows meet the first one only: what comes first in all of its
+    While buckets of prefix hashes are large, their rows meet the first one only: what comes first in all of its
     buckets is kept, and what is similar to it goes. So a cluster of n near copies costs n comparisons, not n * n. Once
     buckets are small or a round gains little, the rest is decided by its similar pairs.
     """
     key = ["split", "row_idx"]
-    left, before = written(prefixes(sets, threshold), "prefixes"), None
+    lists = inverted_lists(sets, threshold)
+    left, before = lists.prefix, None
     rows = sets.select(*key)
     while True:
-        first = left.groupBy("split", "h").agg(F.min(F.struct("row_idx", "n")).alias("first"), F.count("*").alias("uses"))
-        first = written(first, "near-first")
-        crowded = first.filter(F.col("uses") > HOT).agg(F.sum("uses")).first()[0] or 0
+        crowded = left.groupBy("split", "h").agg(F.count("*").alias("uses")).filter(F.col("uses") > HOT).agg(F.sum("uses")).first()[0] or 0
         if not crowded or (before is not None and crowded > 0.7 * before):
             break
         before = crowded
-        seen = left.join(first, ["split", "h"]).select(*key, "n", F.col("first.row_idx").alias("l_row"), F.col("first.n").alias("l_n"))
-        seen = written(seen.distinct(), "near-seen")
-        chosen = seen.groupBy(*key).agg(F.min(F.expr("l_row = row_idx")).alias("all_first")).filter("all_first").select(*key)
-        chosen = written(chosen, "near-chosen")
-        met = seen.join(chosen.withColumnRenamed("row_idx", "l_row"), ["split", "l_row"], "left_semi").filter("l_row < row_idx")
-        met = met.withColumn("r_n", F.col("n")).filter(_fits(threshold))
-        met = met.select(F.col("split").alias("l_split"), "l_row", F.col("split").alias("r_split"), F.col("row_idx").alias("r_row"))
-        gone = _verified(met, sets, threshold).select(F.col("r_split").alias("split"), F.col("r_row").alias("row_idx")).distinct()
+        least = F.min(F.struct("row_idx", "n", "at", "rest")).alias("first")
+        first = written(left.groupBy("split", "h").agg(least), "near-first")
+        own = left.select(F.col("split").alias("l_split"), "h", *(F.col(c).alias(f"r_{to}") for c, to in (("row_idx", "row"), ("n", "n"), ("at", "at"), ("rest", "rest"))))
+        told = first.select(F.col("split").alias("l_split"), "h", *(F.col(f"first.{c}").alias(f"l_{to}") for c, to in (("row_idx", "row"), ("n", "n"), ("at", "at"), ("rest", "rest"))))
+        seen = written(own.join(told, ["l_split", "h"]).withColumn("r_split", F.col("l_split")), "near-seen")
+        chosen = seen.groupBy(F.col("r_split").alias("split"), F.col("r_row").alias("row_idx")).agg(F.min(F.expr("l_row = r_row")).alias("all_first"))
+        chosen = written(chosen.filter("all_first").select(*key), "near-chosen")
+        met = seen.join(chosen.toDF("l_split", "l_row"), ["l_split", "l_row"], "left_semi").filter((F.col("l_row") < F.col("r_row")) & fits(threshold))
+        gone = verified(promising(met, threshold), lists).select(F.col("r_split").alias("split"), F.col("r_row").alias("row_idx")).distinct()
         gone = written(gone, "near-gone")
         rows = rows.join(gone, key, "left_anti")
         left = written(left.join(gone.unionByName(chosen), key, "left_anti"), "prefixes")
-    pairs = similar_pairs(sets, threshold, prefix=left)
+    pairs = verified(candidates(lists, left), lists)
     named = pairs.select(F.col("l_split").alias("split"), F.xxhash64("l_split", "l_row", "r_row").alias("bucket"), F.explode(F.array("l_row", "r_row")).alias("row_idx"))
-    return greedy_kept(rows, named)
+    return greedy_kept(rows, written(named, "near-pairs"))
 
 
-def near_deduplicate(df: DataFrame, threshold: float = THRESHOLD, mode: str = "verified") -> DataFrame:
-    """df without near-duplicates; in lsh mode a threshold too extreme for bands keeps every row."""
+def near_kept(df: DataFrame, threshold: float = THRESHOLD, mode: str = "verified") -> DataFrame | None:
+    """(split, row_idx) that stay; None for all, in lsh mode with a threshold too extreme for bands.
+
+    Rows with equal fingerprints have equal sets, of which the first stays: exact duplicates needn't be removed before.
+    """
     if mode == "lsh":
         buckets = lsh_buckets(df, threshold)
-        if buckets is None:
-            return df
-        kept = greedy_kept(df, buckets)
-    else:
-        kept = _verified_kept(written(_distinct_sets(shingle_sets(df)), "sets"), threshold)
-    return df.join(kept, ["split", "row_idx"], "left_semi")
+        return None if buckets is None else greedy_kept(df, buckets)
+    return _verified_kept(collapsed(shingle_sets(df))[0], threshold)
+
+
+def near_deduplicate(df: DataFrame, threshold: float = THRESHOLD, mode: str = "verified") -> DataFrame:
+    """df without near-duplicates."""
+    kept = near_kept(df, threshold, mode)
+    return df if kept is None else df.join(kept, ["split", "row_idx"], "left_semi")
 
 
 def deduplicate_records(df: DataFrame, threshold: float = THRESHOLD, mode: str = "verified", cleaned: bool = False) -> DataFrame:
-    return near_deduplicate(exact_deduplicate(df, cleaned), threshold, mode)
+    """df without exact and near-duplicates, with text_fingerprint; the texts are cleaned and cut into shingles once."""
+    kept = near_kept(df, threshold, mode)
+    if kept is None:
+        return exact_deduplicate(df, cleaned)
+    name = text_column(df, "text_clean", "text")
+    digest = fingerprint_digest(F.col(name), cleaned and name == "text_clean")
+    return df.join(kept, ["split", "row_idx"], "left_semi").withColumn("text_fingerprint", digest)
 
 
 def near_duplicate_examples(df: DataFrame, threshold: float = THRESHOLD, most: int = 10) -> DataFrame:

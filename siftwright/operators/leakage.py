@@ -7,10 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftwright.functions.text import cleaning_fingerprint, recleaned
-from siftwright.operators.dedup import THRESHOLD, shingle_sets, similar_pairs
+from siftwright.operators.dedup import THRESHOLD
 from siftwright.operators.records import text_column
+from siftwright.operators.similarity import collapsed, first_matches, inverted_lists, shingle_sets
 from siftwright.schema import SPLITS
-from siftwright.shared import written
 
 EXAMPLES = 5
 SAMPLE = 2000
@@ -62,25 +62,18 @@ def first_rows(df: DataFrame, limit: int | None = SAMPLE) -> DataFrame:
 def near_matches(df: DataFrame, threshold: float = THRESHOLD, limit: int | None = SAMPLE) -> DataFrame:
     """(source_split, target_split, row_idx, matched_row, jaccard) of each source row with a similar target row.
 
-    Rows of a split with one and the same set of shingles are matched once and expanded by their set. Similarity is
-    exact. The match is the first target row.
+    The match is the first target row, and similarity is exact. Rows of a split with one and the same set of shingles are
+    matched once and expanded by their set.
     """
     text = text_column(df)
-    rows = first_rows(df, limit).select("split", "row_idx", F.col(text).alias("text"))
-    sets = written(shingle_sets(rows), "leak-sets")
-    first = sets.groupBy("split", "hashes").agg(F.min("row_idx").alias("first"))
-    members = written(sets.join(first, ["split", "hashes"]).select("split", "row_idx", "first"), "leak-members")
-    distinct = sets.join(members.filter("first = row_idx").select("split", "row_idx"), ["split", "row_idx"], "left_semi")
-    order = {s: i for i, s in enumerate(SPLITS)}
-    rank = F.create_map(*(F.lit(x) for item in order.items() for x in item))
-    # similar_pairs takes splits in text order: "0".."2" stand in for them
-    coded = written(distinct.withColumn("split", F.element_at(rank, F.col("split")).cast("string")), "leak-coded")
-    pairs = similar_pairs(coded, threshold, across=True)
+    order = F.create_map(*(F.lit(x) for i, s in enumerate(SPLITS) for x in (s, str(i))))  # splits in text order
+    rows = first_rows(df, limit).select(F.element_at(order, F.col("split")).alias("split"), "row_idx", F.col(text).alias("text"))
+    sets, members = collapsed(shingle_sets(rows))
+    found = first_matches(inverted_lists(sets, threshold))
+    spread = found.join(members.toDF("l_split", "row_idx", "l_row"), ["l_split", "l_row"])
     name = lambda c: F.element_at(F.array(*map(F.lit, SPLITS)), F.col(c).cast("int") + 1)
-    found = pairs.select(name("l_split").alias("source_split"), name("r_split").alias("target_split"), "l_row", "r_row", "jaccard")
-    best = found.groupBy("source_split", "target_split", "l_row").agg(F.min(F.struct(F.col("r_row").alias("row"), "jaccard")).alias("m"))
-    spread = best.join(members.select(F.col("split").alias("source_split"), "row_idx", F.col("first").alias("l_row")), ["source_split", "l_row"])
-    return spread.select("source_split", "target_split", "row_idx", F.col("m.row").alias("matched_row"), F.round("m.jaccard", 4).alias("jaccard"))
+    shown = F.round("jaccard", 4).alias("jaccard")
+    return spread.select(name("l_split").alias("source_split"), name("r_split").alias("target_split"), "row_idx", F.col("r_row").alias("matched_row"), shown)
 
 
 def near_leakage(df: DataFrame, threshold: float = THRESHOLD, limit: int | None = SAMPLE) -> DataFrame:

@@ -15,7 +15,7 @@ from siftwright.functions import text as tx
 from siftwright.operators import augment, balance, dedup, leakage, reports, subsets, validation
 from siftwright.operators import records as rec
 from siftwright.shared import written
-from siftwright.sources.records import records_from_documents, snapshot_id
+from siftwright.sources.records import records_from_documents, snapshot_id, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -27,7 +27,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records_from_documents(_table(spark, sf_dir, "documents"))
+    return records_from_documents(spread(_table(spark, sf_dir, "documents")))
 
 
 def _query(sql: str | None = None):
@@ -153,7 +153,7 @@ PAIRS = (
 
 @_query(f"with {PAIRS} select split, l_row, r_row, round(jaccard, 9) as jaccard from pairs")
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.near_duplicate_pairs(_exact(spark, sf_dir)).withColumn("jaccard", F.round("jaccard", 9))
+    return dedup.near_duplicate_pairs(_cleaned(spark, sf_dir)).withColumn("jaccard", F.round("jaccard", 9))
 
 
 @_query(
@@ -161,7 +161,7 @@ def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"with {PAIRS} select f.split, f.row_idx from first_sets f where not exists (select 1 from pairs p where p.split = f.split and p.r_row = f.row_idx)"
 )
 def near_dedup_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.near_deduplicate(_exact(spark, sf_dir)).select("split", "row_idx")
+    return dedup.near_deduplicate(_cleaned(spark, sf_dir)).select("split", "row_idx")
 
 
 def _lsh_sql() -> str:
@@ -190,7 +190,7 @@ select split, row_idx from exact_kept where row_idx not in (select unnest(droppe
 
 @_query(_lsh_sql())
 def near_dedup_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.near_deduplicate(_exact(spark, sf_dir), mode="lsh").select("split", "row_idx")
+    return dedup.near_deduplicate(_cleaned(spark, sf_dir), mode="lsh").select("split", "row_idx")
 
 
 @_query(
@@ -201,7 +201,7 @@ def near_dedup_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     select split, row_idx, matched_row, substr(text_clean, 1, 120) as duplicate_text_preview from hits join cleaned using (split, row_idx)"""
 )
 def near_dedup_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.near_duplicate_examples(_exact(spark, sf_dir))
+    return dedup.near_duplicate_examples(_cleaned(spark, sf_dir))
 
 
 @_query(

@@ -15,6 +15,7 @@ from siftwright.operators.records import add_derived_columns
 from siftwright.schema import INTENTS, SPLITS
 
 ODD_TEXT = " ＡＢＣ ﬁ %41%42 слово"
+SPLIT_BYTES = 32 << 20  #: of a table, for each core, from which on its row groups are enough tasks
 TRAIN_SOURCES = ("train_augmented", "train_balanced", "train")
 
 
@@ -53,6 +54,13 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return reader.parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out to all cores if it is too small for that by itself: a table of a few row groups is read by as many tasks."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+
+
 def ingest(
     records: DataFrame, *, name: str, config: str = "multiclass", seed: int = 42, url: str = "", licence: str = ""
 ) -> tuple[DataFrame, Snapshot]:
