@@ -6,16 +6,17 @@ The three phases run once a session and folder, over all records, into the share
 from __future__ import annotations
 
 import atexit
-import os
+import re
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftwright import queries as core
-from siftwright.config import Config, Phase1Config, Phase2Config, Phase3Config, load_config
-from siftwright.operators import augment, leakage, validation
+from siftwright.config import Phase1Config, Phase2Config, Phase3Config
+from siftwright.operators import augment, balance, leakage, validation
 from siftwright.operators import records as rec
 from siftwright.plans import phases
 from siftwright.schema import RECORD
@@ -233,20 +234,33 @@ def dataset_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([tuple(told[n] for n in names)], "dataset_snapshot_id string, dataset_name string, dataset_config string, dataset_train_rows long")
 
 
-@_query("select 'train_augmented' as name")
-def train_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = src.train_source(spark, f"{_folder(spark, sf_dir)}/processed")
-    return spark.createDataFrame([(path.rsplit("/", 1)[-1],)], "name string")
-
-
-@_query("select r_regionkey::bigint as r_regionkey, sha256(r_name || chr(10)) as sha256 from region")
+@_query(
+    """select (doc_id % 64)::int as part, sha256(string_agg(replace(coalesce(text, ''), chr(10), ' ') || chr(10), '' order by doc_id)) as sha256 from documents group by 1"""
+)
 def file_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A text file a region, found and hashed again."""
-    folder = f"{shared_dir(spark)}/regions-{uuid.uuid4().hex}"
+    """The documents' texts in 64 text files, found and hashed again."""
+    folder = f"{shared_dir(spark)}/texts-{uuid.uuid4().hex}"
     atexit.register(_forget, spark, folder)
-    spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", "r_name").repartition(1).write.partitionBy("r_regionkey").text(folder)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    line = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")).alias("line")
+    parts = docs.select("doc_id", (F.col("doc_id") % 64).cast("int").alias("part"), line).repartition(64, "part").sortWithinPartitions("part", "doc_id")
+    parts.select("line", "part").write.partitionBy("part").text(folder)
     found = sinks.artifact_hashes(spark, folder, "*.txt")
-    return found.select(F.regexp_extract("path", r"r_regionkey=(\d+)", 1).cast("long").alias("r_regionkey"), "sha256")
+    return found.select(F.regexp_extract("path", r"/part=(\d+)/", 1).cast("int").alias("part"), "sha256")
+
+
+@_query(f"with {UNIQUE} select split, row_idx, true as digests from valid_rows")
+def package_zip_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The processed rows as the package's archive has them; digests: every file in it has the digest that it lists."""
+    manifest = _json(spark, sf_dir, "processed/reports/package_manifest.json")
+    folder = f"{shared_dir(spark)}/unzipped-{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, folder)
+    files = Files(spark)
+    names = set(files.unzip(manifest["zip_path"], folder))
+    listed = files.read_json(f"{folder}/digests.json")
+    found = {r["path"].rpartition(f"/{folder.rpartition('/')[2]}/")[2]: r["sha256"] for r in sinks.artifact_hashes(spark, folder).collect()}
+    right = names == {*listed, "digests.json"} and all(found[name] == digest for name, digest in listed.items())
+    return spark.read.parquet(f"{folder}/processed").select("split", "row_idx", F.lit(right).alias("digests"))
 
 
 @_query(f"with {core.RECORDS} select row_idx, label as intent_label from records")
@@ -254,30 +268,92 @@ def aliased_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rec.normalize_fields(core._records(spark, sf_dir).drop("intent_label")).select("row_idx", "intent_label")
 
 
-@_query("select doc_id as row_idx, coalesce([true, false, null, true][(doc_id % 4 + 1)::int], false) as ambiguity from documents")
+@_query(
+    """select page_id as row_idx, coalesce(nullif(regexp_extract(url, '[?#](.*)$', 1), '') is not null, false) as ambiguity from pages"""
+)
 def truth_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = F.array(F.lit("maybe"), F.lit(""), F.lit(None).cast("string"), F.lit("False"))
-    rows = core._records(spark, sf_dir).withColumn("ambiguity", F.get(texts, (F.col("row_idx") % 4).cast("int")))
+    """Truth of a text column, the query or fragment of each page's url: any text but the empty one is true."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rows = pages.select(F.col("page_id").alias("row_idx"), F.regexp_extract("url", "[?#](.*)$", 1).alias("ambiguity"), F.lit(1).alias("severity"))
     return rec.add_derived_columns(rows).select("row_idx", "ambiguity")
 
 
 @_query(
-    """with texts as (select doc_id as row_idx, ['3', ' 4 ', '5.0', 'x', '', null, '-2', '99999999999'][(doc_id % 8 + 1)::int] as v from documents)
+    """with texts as (select stamp_id as row_idx, raw as v from stamps)
     select row_idx, coalesce(case when regexp_full_match(trim(v), '[+-]?[0-9]+') then try_cast(trim(v) as int) end::varchar, 'none') as value from texts"""
 )
 def integer_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = F.array(*(F.lit(v).cast("string") for v in ("3", " 4 ", "5.0", "x", "", None, "-2", "99999999999")))
-    rows = core._records(spark, sf_dir).withColumn("severity", F.get(texts, (F.col("row_idx") % 8).cast("int")))
+    """Integers in a text column, the raw stamps: some are seconds, most are no number."""
+    rows = spark.read.parquet(f"{sf_dir}/stamps.parquet").select(F.col("stamp_id").alias("row_idx"), F.col("raw").alias("severity"))
     return rows.select("row_idx", F.coalesce(validation.as_int("severity").cast("string"), F.lit("none")).alias("value"))
 
 
-@_query("select 42 as seed, 0.85::double as near_duplicate_threshold, 'oversample_median' as balancing_strategy, 2000 as leakage_sample_limit")
-def config_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The settings of the configuration file that comes with the repository."""
-    path = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "configs", "data.yaml")
-    config: Config = load_config(path)
-    row = (config.phase1.seed, config.phase1.near_duplicate_threshold, config.phase2.balancing_strategy, config.phase3.leakage_sample_limit)
-    return spark.createDataFrame([row], "seed int, near_duplicate_threshold double, balancing_strategy string, leakage_sample_limit int")
+NEAR_MATCHES = core.NEAR_LEAKS + """, leak_pairs as (
+  select a.split as source_split, b.split as target_split, a.row_idx as row_idx, b.row_idx as matched_row,
+    count(*)::double / (any_value(a.n) + any_value(b.n) - count(*)) as jaccard
+  from (select * from spread join ordered using (split)) a join (select * from spread join ordered using (split)) b
+    on a.h = b.h and a.place < b.place and least(a.n, b.n) >= 0.85 * greatest(a.n, b.n) - 1e-9
+  group by all having count(*)::double / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.85 - 1e-12
+), first_leaks as (
+  select source_split, target_split, row_idx, matched_row, round(jaccard, 4) as jaccard from leak_pairs
+  qualify row_number() over (partition by source_split, target_split, row_idx order by matched_row) = 1
+)"""
+
+
+@_query(f"with {NEAR_MATCHES} select source_split, target_split, row_idx, matched_row, jaccard from first_leaks")
+def leakage_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.near_matches(core._cleaned(spark, sf_dir), limit=None)
+
+
+@_query(
+    f"""with {NEAR_MATCHES}, listed as (
+      select *, row_number() over (partition by source_split, target_split order by row_idx)::int as place from first_leaks)
+    select source_split, target_split, row_idx, matched_row, place, substr(a.text_clean, 1, 80) as source_preview, substr(b.text_clean, 1, 80) as target_preview
+    from listed join cleaned a using (row_idx) join cleaned b on b.row_idx = matched_row where place <= 5"""
+)
+def leakage_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = leakage.near_examples(core._cleaned(spark, sf_dir), limit=None)
+    return shown.select("source_split", "target_split", "row_idx", "matched_row", "place", "source_preview", "target_preview")
+
+
+@_query(
+    f"""with {UNIQUE}, counted as (select split, severity::varchar as value, count(*) as n from valid_rows group by all)
+    select split, value, n, row_number() over (partition by split order by n desc, value) as by_count, row_number() over (partition by split order by value::int) as by_number from counted"""
+)
+def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severities as the reports list them: by rows in the JSON file, by number in the Markdown file."""
+    folder = f"{_folder(spark, sf_dir)}/processed/reports"
+    told, rows = Files(spark).read_json(f"{folder}/class_distribution.json"), []
+    split, part, shown = None, None, {}
+    for line in Files(spark).read(f"{folder}/class_distribution.md").decode().splitlines():
+        if line.startswith("## "):
+            split = line[3:]
+        elif found := re.match(r"\| (.*) \| rows \|$", line):
+            part = found[1]
+        elif part == "severity" and (found := re.match(r"\| (-?\d+) \| \d+ \|$", line)):
+            shown.setdefault(split, []).append(found[1])
+    for split, own in told.items():
+        rows += [(split, value, n, i, shown[split].index(value) + 1) for i, (value, n) in enumerate(own["severity"].items(), 1)]
+    return spark.createDataFrame(rows, "split string, value string, n long, by_count long, by_number long")
+
+
+@_query(
+    f"""with {core.RECORDS}, {core.BALANCED}
+    select row_idx, is_balanced_duplicate, row_number() over (order by {core.DRAW.format("'42|' || row_idx || '|' || is_balanced_duplicate")}, row_idx) as place
+    from (select distinct row_idx, is_balanced_duplicate from balanced)"""
+)
+def shuffled_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in the seeded order of the balanced training rows, by what was written before: partition by partition."""
+    rows = balance.balance_classes(core._train(spark, sf_dir)).select("row_idx", "is_balanced_duplicate").distinct()
+    path = f"{shared_dir(spark)}/shuffled-{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, path)
+    balance.shuffled(rows).write.json(path)
+    read = spark.read.schema("row_idx long, is_balanced_duplicate boolean").json(path)
+    block = ["file_path", "file_block_start"]
+    placed = read.select("*", *(f"_metadata.{c}" for c in block), F.monotonically_increasing_id().alias("at"))
+    sizes = placed.groupBy(*block).agg(F.count("*").alias("k"), F.min("at").alias("start"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("k").over(W.orderBy(*block).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row a block
+    return placed.join(before, block).select("row_idx", "is_balanced_duplicate", (F.col("before") + F.col("at") - F.col("start") + 1).alias("place"))
 
 
 def queries() -> dict[str, Query]:

@@ -16,7 +16,7 @@ from siftwright.schema import SPLITS
 from siftwright.shared import written
 from siftwright.sources import sinks
 from siftwright.sources.files import Files
-from siftwright.sources.records import exists, ingest, read_splits, read_table, train_source
+from siftwright.sources.records import exists, ingest, read_splits, read_table, spread, train_source
 
 
 def process_records(df: DataFrame, config: Phase1Config) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -30,8 +30,8 @@ def process_records(df: DataFrame, config: Phase1Config) -> tuple[DataFrame, Dat
 def prepare(spark: SparkSession, source: DataFrame, config: Phase1Config) -> dict:
     """Phase 1: snapshot, cleaning, dedup, validation, processed table and reports."""
     files, raw, base = Files(spark), f"{config.data_dir}/raw", f"{config.data_dir}/processed"
-    rows, snapshot = ingest(source, name=config.dataset, config=config.dataset_config, seed=config.seed)
-    sinks.write_jsonl(rows.repartition("split"), f"{raw}/records")
+    rows, snapshot = ingest(spread(source), name=config.dataset, config=config.dataset_config, seed=config.seed)
+    sinks.write_snapshot(rows, f"{raw}/records", sum(snapshot.splits.values()))
     files.write_json(snapshot.to_dict(), f"{raw}/snapshot_metadata.json")
     cleaned, unique, kept = process_records(rows, config)
     sinks.write_table(kept, f"{base}/processed", "split")

@@ -6,6 +6,8 @@ import json
 
 from pyspark.sql import SparkSession
 
+PIECE = 1 << 20  #: bytes of a file that are held at once
+
 
 class Files:
     def __init__(self, spark: SparkSession):
@@ -40,6 +42,57 @@ class Files:
         finally:
             stream.close()
 
+    def sha256(self, path: str) -> str:
+        """Digest of a file, streamed within the driver's JVM."""
+        system, target = self._at(path)
+        stream = system.open(target)
+        try:
+            return self._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+        finally:
+            stream.close()
+
+    def zip(self, path: str, entries: list[tuple[str, str | bytes]]) -> None:
+        """An archive of (name, path or content), in that order; a file goes through in pieces, whatever its size."""
+        system, target = self._at(path)
+        archive = self._jvm.java.util.zip.ZipOutputStream(system.create(target, True))  # beyond 4 GB as ZIP64
+        try:
+            for name, what in entries:
+                archive.putNextEntry(self._jvm.java.util.zip.ZipEntry(name))
+                if isinstance(what, bytes):
+                    archive.write(bytearray(what))
+                else:
+                    self._copy(what, archive)
+                archive.closeEntry()
+        finally:
+            archive.close()
+
+    def _copy(self, path: str, out) -> None:
+        system, source = self._at(path)
+        stream = system.open(source)
+        try:
+            self._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, PIECE, False)
+        finally:
+            stream.close()
+
+    def unzip(self, path: str, folder: str) -> list[str]:
+        """The archive's entries below a folder, each copied in pieces; their names in order."""
+        system, source = self._at(path)
+        archive, names = self._jvm.java.util.zip.ZipInputStream(system.open(source)), []
+        try:
+            while (entry := archive.getNextEntry()) is not None:
+                names.append(entry.getName())
+                if ".." in names[-1].split("/") or names[-1].startswith("/"):
+                    raise ValueError(f"an entry outside of the archive: {names[-1]}")
+                to, target = self._at(f"{folder}/{names[-1]}")
+                out = to.create(target, True)
+                try:
+                    self._jvm.org.apache.hadoop.io.IOUtils.copyBytes(archive, out, PIECE, False)
+                finally:
+                    out.close()
+        finally:
+            archive.close()
+        return names
+
     def write_json(self, payload: dict, path: str) -> dict:
         self.write(path, json.dumps(payload, indent=2, ensure_ascii=False, default=str).encode("utf-8"))
         return payload

@@ -1,14 +1,19 @@
+import hashlib
 import json
 import zipfile
 from dataclasses import replace
+from pathlib import Path
+from urllib.parse import unquote
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftwright import cli
-from siftwright.config import Config, config_from
+from siftwright.config import Config, Phase1Config, RunLogConfig, config_from, load_config
 from siftwright.plans import phases
 from siftwright.sources import records as src
 from siftwright.sources import sinks
+from siftwright.sources.files import Files
 from siftwright.streaming.records import dedup_stream, enrich_stream
 
 
@@ -33,7 +38,11 @@ def test_phases_end_to_end(spark, sf_dir, tmp_path):
     assert {"snapshot", "config", "distribution_summary", "phase2", "phase3"} <= set(metadata)
     assert {"leakage_audit", "reproducibility_manifest", "package", "artifacts"} <= set(metadata["phase3"])
     with zipfile.ZipFile(processed / "package.zip") as packed:
-        assert "phase3" in json.loads(packed.read("metadata.json"))
+        assert packed.testzip() is None and "phase3" in json.loads(packed.read("metadata.json"))
+        digests = json.loads(packed.read("digests.json"))
+        assert {n for n in packed.namelist() if n != "digests.json"} == set(digests)
+        assert all(hashlib.sha256(packed.read(n)).hexdigest() == d for n, d in digests.items())
+        assert any(n.startswith("processed/part-") and n.endswith(".parquet") for n in digests)
     runs = sinks.read_runs(spark, str(processed))
     assert [r["params"]["phase"] for r in runs] == ["phase2", "phase3"] and runs[1]["params"]["leakage_passed"] == str(three["leakage_audit"]["passed"])
     assert runs[0]["metrics"]["rows_train_augmented"] == two["augmentation"]["output_rows"]
@@ -42,6 +51,44 @@ def test_phases_end_to_end(spark, sf_dir, tmp_path):
     assert {"class_distribution.md", "validation_report.json", "dedup_report.json", "severity_buckets.json", "leakage_audit.json", "reproducibility_manifest.json"} <= reports
 
 
+def test_snapshot_files_are_bounded_and_in_order(spark, tmp_path):
+    n, most = 5000, 400
+    rows = spark.range(n).select(F.expr("(id * 7919) % 5000").alias("row_idx"), F.expr("if(id % 10 < 8, 'train', 'test')").alias("split"), F.lit("x").alias("text"))
+    sinks.write_snapshot(rows, str(tmp_path / "raw"), n, most)
+    seen = {}
+    for folder in sorted((tmp_path / "raw").glob("split=*")):
+        for file in sorted(folder.glob("part-*")):
+            own = [json.loads(line)["row_idx"] for line in file.read_text().splitlines()]
+            assert 0 < len(own) <= most
+            seen.setdefault(folder.name, []).extend(own)
+    assert {k: len(v) for k, v in seen.items()} == {"split=train": 4000, "split=test": 1000}
+    assert all(v == sorted(v) for v in seen.values())
+    tasks = {f.name[5:10] for f in (tmp_path / "raw").glob("split=*/part-*")}
+    assert len(tasks) >= n // most
+
+
+def test_digests_and_archives_go_through_in_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "PIECE", 1000)
+    data = {"a.bin": bytes(range(256)) * 5000, "b b%20.txt": b"", "deep/c.json": b"{}\n"}
+    for name, content in data.items():
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(content)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")  # so no file can be one cell
+    try:
+        got = {r["path"].rpartition("/in/")[2]: r["sha256"] for r in sinks.artifact_hashes(spark, str(tmp_path / "in")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert {unquote(k): v for k, v in got.items()} == {k: hashlib.sha256(v).hexdigest() for k, v in data.items()}
+    files = Files(spark)
+    assert files.sha256(f"{tmp_path}/in/a.bin") == hashlib.sha256(data["a.bin"]).hexdigest()
+    files.zip(f"{tmp_path}/x.zip", [("a.bin", f"{tmp_path}/in/a.bin"), ("sub/note.txt", b"hello")])
+    assert files.unzip(f"{tmp_path}/x.zip", f"{tmp_path}/out") == ["a.bin", "sub/note.txt"]
+    assert (tmp_path / "out" / "a.bin").read_bytes() == data["a.bin"] and (tmp_path / "out" / "sub" / "note.txt").read_bytes() == b"hello"
+    files.zip(f"{tmp_path}/y.zip", [("../evil", b"x")])
+    with pytest.raises(ValueError, match="outside"):
+        files.unzip(f"{tmp_path}/y.zip", f"{tmp_path}/out")
+
+
 def test_missing_tables(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         src.read_table(spark, str(tmp_path / "none"))
@@ -56,6 +103,13 @@ def test_config_defaults():
     assert config.phase1.seed == 7 and config.phase1.cleaning.lowercase
     assert not config.phase3.run_log.enabled
     assert config_from(None) == Config()
+    file = load_config(Path(__file__).parent.parent / "configs" / "data.yaml")
+    assert (file.phase1.seed, file.phase1.near_duplicate_threshold, file.phase2.balancing_strategy, file.phase3.leakage_sample_limit) == (42, 0.85, "oversample_median", 2000)
+    log = config_from({"phase2": {"mlflow": {"experiment_name": "two"}}, "phase3": {"mlflow": {"enabled": False}, "leakage_sample_limit": None}})
+    assert log.phase2.run_log == RunLogConfig(True, "two") and log.phase3.run_log == RunLogConfig(False) and log.phase3.leakage_sample_limit is None
+    assert config_from({"dedup": {"near_duplicate_mode": "lsh"}, "data": {"data_dir": "x/"}}).phase1 == Phase1Config(near_duplicate_mode="lsh", data_dir="x")
+    with pytest.raises(ValueError, match="near_duplicate_mode"):
+        config_from({"dedup": {"near_duplicate_mode": "other"}})
 
 
 def test_streams(spark, sf_dir, tmp_path):
