@@ -155,7 +155,7 @@ class Hits:
 
         t = F.col(text).cast("string")
         told = _let(bench_words(t), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), around_hits(w).alias("windows")))
-        kept = [F.struct(*docs.columns).alias("row")] if whole_rows else []
+        kept = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if whole_rows else []
         scan = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(t).alias("text_hash"), told.alias("told"), *kept)
         self.scan = written(scan.select("doc_id", "text_hash", "told.n_words", "told.windows", *(["row"] if whole_rows else [])), "bench-scan")
         near = self.scan.select("doc_id", "text_hash", F.inline("windows"))

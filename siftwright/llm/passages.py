@@ -701,14 +701,16 @@ def drop_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     )
     spans = written(spans, "passage-spans")
     t = F.col(text).cast("string")
-    rows = docs.withColumns({"_sw_key": F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), "_sw_own": _mark(t)})
-    met = rows.join(spans.hint("merge"), (rows["_sw_key"] == spans["_sw_id"]) & (rows["_sw_own"] == spans["_sw_mark"]), "left")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(whole, F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("key"), _mark(t).alias("own"))
+    met = rows.join(spans.hint("merge"), (rows["key"] == spans["_sw_id"]) & (rows["own"] == spans["_sw_mark"]), "left")
     was_cut = F.col("_sw_spans").isNotNull()
-    cut = F.pandas_udf(_cut, "string").asNondeterministic()(F.when(was_cut, t), F.col("_sw_spans"))  # null where whole
-    met = met.withColumn("_sw_text", cut)
-    met = met.filter(~was_cut | F.col("_sw_text").rlike(r"[^\x20\x09-\x0D]"))
-    changed = {text: F.when(was_cut, F.col("_sw_text")).otherwise(F.col(text))}
+    old = F.col("row").getField(text)
+    cut = F.pandas_udf(_cut, "string").asNondeterministic()(F.when(was_cut, old.cast("string")), F.col("_sw_spans"))  # null where whole
+    met = met.withColumn("cut", cut)
+    met = met.filter(~was_cut | F.col("cut").rlike(r"[^\x20\x09-\x0D]"))
+    changed = {text: F.when(was_cut, F.col("cut")).otherwise(old)}
     if length in docs.columns:
         kind = docs.schema[length].dataType
-        changed[length] = F.when(was_cut, F.length("_sw_text").cast(kind)).otherwise(F.col(length))
-    return met.withColumns(changed).select(docs.columns)
+        changed[length] = F.when(was_cut, F.length("cut").cast(kind)).otherwise(F.col("row").getField(length))
+    return met.select(*(changed[c].alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in docs.columns))

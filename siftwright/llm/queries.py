@@ -103,7 +103,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 OP4_SQL = """
 with sized as (
-  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size,
+    coalesce(doc_id::varchar, '') || '|' || coalesce(source, '') || '|' || md5(coalesce(text, '')) as key from documents
 ), by_source as (
   select source, sum(size)::bigint as source_size from sized group by source
 ), ranked as (
@@ -125,7 +126,7 @@ with sized as (
   from levels left join water on true
 ), drawn as (
   select doc_id, source, size,
-    ('0x' || substr(md5('mix-1|' || coalesce(doc_id::varchar, '')), 1, 13))::bigint / 4503599627370496::double as u
+    ('0x' || substr(md5('mix-1|' || key || '|' || row_number() over (partition by key)), 1, 13))::bigint / 4503599627370496::double as u
   from sized
 )
 select doc_id, size, source_size, target,

@@ -276,11 +276,10 @@ def keep_one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     best = texts.groupBy("component_fp").agg(F.min(F.struct("text_hash", "doc_id", "rows")).alias("best"))
     kept = best.select(F.col("best.doc_id").alias("_sw_id"), F.col("best.text_hash").alias("_sw_hash"), F.col("best.rows").alias("_sw_rows"))
     kept = written(kept, "simhash-kept")
-    same = docs[doc_id].eqNullSafe(kept["_sw_id"]) & (F.xxhash64(docs[text].cast("string")) == kept["_sw_hash"])
-    rows = docs.join(kept.hint("merge"), same, "inner")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(doc_id).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("hash"))
+    rows = rows.join(kept.hint("merge"), rows["id"].eqNullSafe(kept["_sw_id"]) & (rows["hash"] == kept["_sw_hash"]), "inner")
     if kept.filter("_sw_rows > 1").isEmpty():
-        return rows.select(docs.columns)
-    once = rows.filter("_sw_rows = 1").select(docs.columns)
-    whole = F.struct(*docs.columns)
-    more = rows.filter("_sw_rows > 1").groupBy("_sw_id", "_sw_hash").agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("_sw_row"))
-    return once.unionByName(more.select("_sw_row.*"))
+        return rows.select("row.*")
+    once = rows.filter("_sw_rows = 1").select("row.*")
+    more = rows.filter("_sw_rows > 1").groupBy("_sw_id", "_sw_hash").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return once.unionByName(more.select("row.*"))
