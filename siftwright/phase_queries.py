@@ -217,9 +217,8 @@ def reproducibility_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     select phase, metric, n from counted, (select unnest(['phase2', 'phase3']) as phase)"""
 )
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = sinks.read_runs(spark, f"{_folder(spark, sf_dir)}/processed")
-    rows = [(r["params"]["phase"], k, n) for r in runs for k, n in r["metrics"].items() if k.startswith(("rows_raw_", "rows_processed_"))]
-    return spark.createDataFrame(rows, "phase string, metric string, n long")
+    told = sinks.runs(spark, f"{_folder(spark, sf_dir)}/processed").select(F.col("params")["phase"].alias("phase"), F.explode("metrics").alias("metric", "n"))
+    return told.filter(F.col("metric").startswith("rows_raw_") | F.col("metric").startswith("rows_processed_"))
 
 
 @_query(

@@ -1,6 +1,8 @@
 """The three phases over a data folder: prepare, enrich, finalize.
 
-Stages write new paths (raw, processed, enriched, ...), never the path they read. All splits go through one plan.
+Stages write new paths (raw, processed, enriched, ...), never the path they read. All splits go through one plan. A ledger
+in the data folder has the state of each table's input, parameters and code: a run that is started again makes only the
+tables that aren't there in that state, and all reports.
 """
 
 from __future__ import annotations
@@ -13,28 +15,37 @@ from pyspark.sql import functions as F
 from siftwright.config import Phase1Config, Phase2Config, Phase3Config
 from siftwright.operators import augment, balance, dedup, records, reports, subsets, validation
 from siftwright.schema import SPLITS
-from siftwright.shared import written
 from siftwright.sources import sinks
 from siftwright.sources.files import Files
+from siftwright.sources.ledger import Ledger, code_state, files_state, source_state, state_of
 from siftwright.sources.records import exists, ingest, read_splits, read_table, spread, train_source
 
 
-def process_records(df: DataFrame, config: Phase1Config) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(cleaned, deduplicated, kept) of all splits."""
+def process_records(df: DataFrame, config: Phase1Config) -> tuple[DataFrame, DataFrame]:
+    """(cleaned, deduplicated) of all splits."""
     cleaned = records.clean_records(df, config.cleaning)
-    unique = dedup.deduplicate_records(cleaned, config.near_duplicate_threshold, config.near_duplicate_mode, config.cleaning.complete)
-    unique = written(unique, "unique")
-    return cleaned, unique, validation.valid_records(unique) if config.drop_invalid_rows else unique
+    return cleaned, dedup.deduplicate_records(cleaned, config.near_duplicate_threshold, config.near_duplicate_mode, config.cleaning.complete)
+
+
+def _state(before: str | None, *parameters: object) -> str | None:
+    """State of a table that is made from one of the state before."""
+    return before and state_of(before, code_state(), *parameters)
 
 
 def prepare(spark: SparkSession, source: DataFrame, config: Phase1Config) -> dict:
     """Phase 1: snapshot, cleaning, dedup, validation, processed table and reports."""
     files, raw, base = Files(spark), f"{config.data_dir}/raw", f"{config.data_dir}/processed"
+    ledger = Ledger(spark, f"{config.data_dir}/ledger")
     rows, snapshot = ingest(spread(source), name=config.dataset, config=config.dataset_config, seed=config.seed)
-    sinks.write_snapshot(rows, f"{raw}/records", sum(snapshot.splits.values()))
+    state = source_state(source)
+    ledger.made(f"{raw}/records", _state(state), lambda path: sinks.write_snapshot(rows, path, sum(snapshot.splits.values())))
     files.write_json(snapshot.to_dict(), f"{raw}/snapshot_metadata.json")
-    cleaned, unique, kept = process_records(rows, config)
-    sinks.write_table(kept, f"{base}/processed", "split")
+    cleaned, unique = process_records(rows, config)
+    state = _state(state, config.cleaning, config.near_duplicate_threshold, config.near_duplicate_mode)
+    ledger.made(f"{base}/unique", state, lambda path: sinks.write_table(unique, path))
+    unique = read_table(spark, f"{base}/unique")
+    valid = validation.valid_records(unique) if config.drop_invalid_rows else unique
+    ledger.made(f"{base}/processed", _state(state, config.drop_invalid_rows), lambda path: sinks.write_table(valid, path, "split"))
     kept = read_table(spark, f"{base}/processed")
     report = {r["split"]: r.asDict() for r in reports.split_report(cleaned, unique, kept).collect()}
     exact = {r["split"]: r.asDict() for r in dedup.exact_report(cleaned, config.cleaning.complete).collect()}
@@ -69,8 +80,9 @@ def enrich(spark: SparkSession, config: Phase2Config) -> dict:
     rows are written in a seeded order.
     """
     files, base = Files(spark), f"{config.data_dir}/processed"
-    rows = records.add_obfuscation_columns(read_splits(spark, f"{base}/processed"))
-    sinks.write_table(rows.withColumn("text", F.col("text_obfuscation_aware")), f"{base}/enriched", "split")
+    ledger, state = Ledger(spark, f"{config.data_dir}/ledger"), files_state(spark, f"{base}/processed")
+    found = records.add_obfuscation_columns(read_splits(spark, f"{base}/processed")).withColumn("text", F.col("text_obfuscation_aware"))
+    ledger.made(f"{base}/enriched", _state(state), lambda path: sinks.write_table(found, path, "split"))
     rows = read_table(spark, f"{base}/enriched")
     sinks.write_severity_reports(rows, f"{base}/reports")
     sinks.write_unless_empty(reports.ambiguity_subset(rows), f"{base}/subsets/ambiguity")
@@ -79,13 +91,16 @@ def enrich(spark: SparkSession, config: Phase2Config) -> dict:
     made_tables = {}
     if config.enabled:
         train = rows.filter("split = 'train'")
-        sinks.write_table(balance.shuffled(balance.balance_classes(train, config.balancing_strategy, config.seed), config.seed), f"{base}/train_balanced")
+        state = _state(state, config.balancing_strategy, config.seed)
+        drawn = balance.shuffled(balance.balance_classes(train, config.balancing_strategy, config.seed), config.seed)
+        ledger.made(f"{base}/train_balanced", state, lambda path: sinks.write_table(drawn, path))
         made_tables["train_balanced"] = "train_balanced"
         balanced, n = read_table(spark, f"{base}/train_balanced"), 0
         targets = {str(r["intent_label"]): r.asDict() for r in balance.balance_targets(train, config.balancing_strategy).collect()}
         told["balancing"] = {k: {"before": r["n"], "after": r["target"]} for k, r in targets.items()}
         if config.augment.enabled:
-            sinks.write_table(augment.augment_training(balanced, config.augment, config.seed), f"{base}/train_augmented")
+            more = augment.augment_training(balanced, config.augment, config.seed)
+            ledger.made(f"{base}/train_augmented", _state(state, config.augment), lambda path: sinks.write_table(more, path))
             made_tables["train_augmented"] = "train_augmented"
             made = read_table(spark, f"{base}/train_augmented")
             methods = {r["augment_method"]: r["n"] for r in augment.augment_counts(made).collect()}
@@ -106,7 +121,8 @@ def finalize(spark: SparkSession, config: Phase3Config) -> dict:
     files, base = Files(spark), f"{config.data_dir}/processed"
     table = f"{base}/enriched" if exists(spark, f"{base}/enriched") else f"{base}/processed"
     rows = read_splits(spark, table)
-    sinks.write_table(subsets.technique_subsets(rows), f"{base}/subsets/technique", "subset", "split")
+    ledger, state = Ledger(spark, f"{config.data_dir}/ledger"), files_state(spark, table)
+    ledger.made(f"{base}/subsets/technique", _state(state), lambda path: sinks.write_table(subsets.technique_subsets(rows), path, "subset", "split"))
     counted: dict = {}
     for r in subsets.technique_subset_counts(rows).collect():
         counted.setdefault(r["subset"], {})[r["split"]] = r["n"]
@@ -115,10 +131,12 @@ def finalize(spark: SparkSession, config: Phase3Config) -> dict:
     made_tables = {"reproducibility_doc": f"{config.docs_dir}/REPRODUCIBILITY.md", "package_zip": "package.zip"}
     if config.enabled and config.paraphrase.enabled:
         try:
-            train = read_table(spark, train_source(spark, base))
+            chosen = train_source(spark, base)
+            train, state = read_table(spark, chosen), files_state(spark, chosen)
         except FileNotFoundError:
             train = rows.filter("split = 'train'")
-        sinks.write_table(augment.augment_paraphrases(train, config.paraphrase, config.seed), f"{base}/train_adversarial")
+        wrapped = augment.augment_paraphrases(train, config.paraphrase, config.seed)
+        ledger.made(f"{base}/train_adversarial", _state(state, config.paraphrase, config.seed), lambda path: sinks.write_table(wrapped, path))
         made = read_table(spark, f"{base}/train_adversarial")
         told["adversarial_paraphrase"] |= made.agg(F.count("*").alias("output_rows"), F.sum(F.col("is_adversarial_paraphrase").cast("long")).alias("generated_rows")).first().asDict()
         made_tables["train_adversarial"] = "train_adversarial"

@@ -1,9 +1,9 @@
 import hashlib
 import json
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from pathlib import Path
-from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,7 +69,7 @@ def test_snapshot_files_are_bounded_and_in_order(spark, tmp_path):
 
 def test_digests_and_archives_go_through_in_pieces(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sinks, "PIECE", 1000)
-    data = {"a.bin": bytes(range(256)) * 5000, "b b%20.txt": b"", "deep/c.json": b"{}\n"}
+    data = {"a.bin": bytes(range(256)) * 5000, "b b%20.txt": b"x", "deep/c.json": b"{}\n"}
     for name, content in data.items():
         (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / "in" / name).write_bytes(content)
@@ -78,7 +78,7 @@ def test_digests_and_archives_go_through_in_pieces(spark, tmp_path, monkeypatch)
         got = {r["path"].rpartition("/in/")[2]: r["sha256"] for r in sinks.artifact_hashes(spark, str(tmp_path / "in")).collect()}
     finally:
         spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
-    assert {unquote(k): v for k, v in got.items()} == {k: hashlib.sha256(v).hexdigest() for k, v in data.items()}
+    assert got == {k: hashlib.sha256(v).hexdigest() for k, v in data.items()}
     files = Files(spark)
     assert files.sha256(f"{tmp_path}/in/a.bin") == hashlib.sha256(data["a.bin"]).hexdigest()
     files.zip(f"{tmp_path}/x.zip", [("a.bin", f"{tmp_path}/in/a.bin"), ("sub/note.txt", b"hello")])
@@ -89,6 +89,50 @@ def test_digests_and_archives_go_through_in_pieces(spark, tmp_path, monkeypatch)
         files.unzip(f"{tmp_path}/y.zip", f"{tmp_path}/out")
 
 
+def test_a_killed_run_goes_on(spark, sf_dir, tmp_path, monkeypatch):
+    source = src.records_from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id < 60"))
+    config, calls = Phase1Config(data_dir=str(tmp_path)), []
+    tables = ("write_snapshot", "write_table")
+    for name in tables:
+        monkeypatch.setattr(sinks, name, lambda df, path, *a, f=getattr(sinks, name): calls.append(path.rpartition("/")[2]) or f(df, path, *a))
+    made = lambda: [c for c in calls if c != "class_distribution"]
+
+    def prepared(source, config):
+        calls.clear()
+        return phases.prepare(spark, source, config)["distribution_summary"]
+
+    whole = prepared(source, config)
+    assert made() == ["records", "unique", "processed"]
+    assert prepared(source, config) == whole and made() == []
+    files = Files(spark)
+    files.write_json({}, f"{tmp_path}/ledger/processed.json")  # killed while it wrote the last table
+    assert prepared(source, config) == whole and made() == ["processed"]
+    assert prepared(source, replace(config, drop_invalid_rows=False)) != whole and made() == ["processed"]
+    assert prepared(source.filter("row_idx < 30"), config) != whole and made() == ["records", "unique", "processed"]
+    in_memory = spark.createDataFrame(source.collect(), source.schema)
+    assert prepared(in_memory, config) == whole and made() == ["records", "unique", "processed"]
+    assert prepared(in_memory, config) == whole and made() == ["records", "unique", "processed"]  # no files, no state
+
+
+def test_two_writers_of_runs(spark, tmp_path):
+    assert sinks.read_runs(spark, str(tmp_path)) == [] and sinks.log_run(spark, str(tmp_path)) is None
+    Files(spark).write_json({"snapshot": {"snapshot_id": "tm-1", "splits": {"train": 3}}}, f"{tmp_path}/metadata.json")
+    with ThreadPoolExecutor(2) as pool:
+        ids = set(pool.map(lambda n: sinks.log_run(spark, str(tmp_path), n), ("a", "b")))
+    table = sinks.runs(spark, str(tmp_path))
+    assert {r["run_id"] for r in table.collect()} == ids and len(ids) == 2
+    assert {(r["name"], r["metrics"]["rows_raw_train"]) for r in table.collect()} == {("a", 3), ("b", 3)}
+
+
+def test_reports_of_free_text_are_bounded(spark, tmp_path):
+    rows = spark.range(5000).selectExpr("'train' as split", "id as row_idx", "1 as intent_label", "concat('t', if(id < 3000, id, 7)) as technique")
+    told = sinks.write_distribution_reports(rows, str(tmp_path))
+    assert len(told["train"]["technique"]) == sinks.VALUES and told["train"]["technique"]["t7"] == 2001
+    assert told["train"]["others"] == {"technique": {"values": 2000, "rows": 2000}} and told["train"]["row_count"] == 5000
+    table = spark.read.parquet(f"{tmp_path}/class_distribution").filter("dimension = 'technique'")
+    assert table.count() == 3000 and table.agg(F.sum("n")).first()[0] == 5000
+
+
 def test_missing_tables(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         src.read_table(spark, str(tmp_path / "none"))
