@@ -24,6 +24,7 @@ from siftwright.shared import _forget, shared_dir, written
 from siftwright.sources import records as src
 from siftwright.sources import sinks
 from siftwright.sources.files import Files
+from siftwright.streaming.records import first_rows, write_first_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -355,6 +356,20 @@ def shuffled_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.join(before, block).select("row_idx", "is_balanced_duplicate", (F.col("before") + F.col("at") - F.col("start") + 1).alias("place"))
 
 
+@_query(f"with {core.EXACT} select split, row_idx, text_fingerprint from exact_kept")
+def streamed_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records as a stream of three shuffled batches, the stream started anew for each."""
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, folder)
+    records = core._records(spark, sf_dir).select("split", "row_idx", "text")
+    for i in range(3):
+        part = F.pmod(F.xxhash64("row_idx"), F.lit(3)) == i
+        records.filter(part).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(records.schema).parquet(f"{folder}/in")
+        write_first_rows(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return first_rows(spark, f"{folder}/out").select("split", "row_idx", "text_fingerprint")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
