@@ -2,7 +2,7 @@
 
 1. Seeds. Of the hashes of five consecutive words, the smallest of each window of eight is kept (with its place), so
    documents that share 12 consecutive words share a seed. Five words of which two at most are distinct ("the the the")
-   are low-complexity text, as sequence aligners mask it: they are no seeds, and a text of nothing else has no passage.
+   are low-complexity text, as sequence aligners mask it, and no seeds.
 2. Matches. Each seed's first place (smallest id, then place) is a partial aggregate; every other place joins it. A
    seed that thousands of documents share gives one match each, never pairs among them.
 3. Chains. A document's matches are at most its seeds. Those on one diagonal merge; blocks with one earlier document
@@ -15,8 +15,9 @@
 6. Windows. A seed meets its first place only, which may hold nothing but a line of the passage. Where all seeds of
    ``MIN_WORDS`` words are repeated ones, but their first places don't lie on one diagonal of one document, the words have an
    anchor, their least seed. The anchors of such words that no passage holds are gathered; all such words with these
-   anchors give hashes of their whole windows, and each hash's first place is joined. So an exact repeat of ``MIN_WORDS``
-   words without low-complexity text is found whoever else holds its seeds.
+   anchors give hashes of their whole windows, and each hash's first place is joined. Windows of nothing but low-complexity
+   text, which have no seed, all do. So an exact repeat of ``MIN_WORDS`` words is found whoever else holds its seeds, if it is
+   of either kind throughout.
 
 Words are white-space separated, A-Z lower-cased. A repeat within one document is none. Defined results: null, empty
 and short texts have no passage; rows that share id and text are one document; rows that share an id alone are told
@@ -127,16 +128,51 @@ def _distinct(words: np.ndarray) -> np.ndarray:
     return out
 
 
+def _long(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts that have as many words as a passage must agree in, their words, and the first word of each and the end."""
+    sizes = np.diff(first)
+    long = sizes >= LEAST
+    return np.flatnonzero(long), words[np.repeat(long, sizes)], np.concatenate([[0], np.cumsum(sizes[long])])
+
+
+def low_windows(texts: np.ndarray, words: np.ndarray, first: np.ndarray, low: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hash, text, place) of the windows of MIN_WORDS words that are nothing but low-complexity text, some at a time."""
+    inside = MIN_WORDS - K + 1
+    if len(low) < inside:
+        return
+    upto = np.concatenate([[0], np.cumsum(low)])
+    starts = np.flatnonzero(upto[inside:] - upto[:-inside] == inside)
+    row = np.searchsorted(first, starts, "right") - 1
+    fits = starts + MIN_WORDS <= first[row + 1]
+    starts, row = starts[fits], row[fits]
+    for at, own in zip(*(np.array_split(x, len(starts) // 50_000 + 1) for x in (starts, row)), strict=True):
+        yield window_hashes(words, at), texts[own], at - first[own]
+
+
+def window_hashes(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hashes of the MIN_WORDS words from each start."""
+    window = np.zeros(len(starts), np.uint64)
+    for j in range(MIN_WORDS):
+        own = words[starts + j]
+        window += (own ^ (own >> np.uint64(31))) * _POWERS[j]
+    return window ^ (window >> np.uint64(32))
+
+
 def seeds_of(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, text, place, is the text's first with this hash) of the kept k-mers of texts' word hashes.
 
     k-mers of two distinct words or one are low-complexity text and never kept; texts of fewer words than a passage
     must agree in have none.
     """
-    sizes = np.diff(first)
-    long = sizes >= LEAST
-    texts, sizes, words = np.flatnonzero(long), sizes[long], words[np.repeat(long, sizes)]
-    first = np.concatenate([[0], np.cumsum(sizes)])
+    return _seeds(*(held := _long(words, first)), _low(held[1]))
+
+
+def _low(words: np.ndarray) -> np.ndarray:
+    """For each K consecutive words, whether they are low-complexity text."""
+    return _distinct(words) < LEAST_DISTINCT if len(words) else np.zeros(0, bool)
+
+
+def _seeds(texts: np.ndarray, words: np.ndarray, first: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     if not len(texts):
         return np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 2, np.zeros(0, bool)
     n = len(words) - K + 1
@@ -144,7 +180,7 @@ def seeds_of(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     for j in range(K):
         mixed += words[j : j + n] * _SPREAD[j]
     mixed = _mixed(mixed)
-    mixed[(_distinct(words) < LEAST_DISTINCT) | (mixed == 0)] = _MOST
+    mixed[low | (mixed == 0)] = _MOST
     cut = lambda width: (first[1:-1, None] - np.arange(1, width)).ravel()  # noqa: E731  those that go over a text's end
     mixed[cut(K)] = _MOST
     least = _sliding(mixed, WINDOW, np.minimum)
@@ -173,11 +209,20 @@ def seeds_of(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _emit_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Seeds, and as rows marked low the windows of low-complexity text."""
     for batch in slices(batches, "text", SLICE):
-        seed, text, place, fresh = seeds_of(*words_of(batch.column("text")))
+        texts, words, first = _long(*words_of(batch.column("text")))
+        low = _low(words)
         ids, marks = batch.column("id").to_numpy(), batch.column("mark").to_numpy().astype(np.int64)
-        columns = [pa.array(seed.view(np.int64)), pa.array(ids[text]), pa.array(marks[text] << 32 | place), pa.array(fresh)]
-        yield pa.RecordBatch.from_arrays(columns, names=["seed", "id", "at", "fresh"])
+
+        def rows(keys: np.ndarray, text: np.ndarray, place: np.ndarray, fresh: np.ndarray, is_low: bool) -> pa.RecordBatch:
+            columns = [keys.view(np.int64), ids[text], marks[text] << 32 | place, fresh, np.full(len(keys), is_low)]  # noqa: B023
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["seed", "id", "at", "fresh", "low"])
+
+        yield rows(*_seeds(texts, words, first, low), False)
+        for keys, text, place in low_windows(texts, words, first, low):
+            if len(keys):
+                yield rows(keys, text, place, np.zeros(len(keys), bool), True)
 
 
 class _PrefixMax:
@@ -507,7 +552,6 @@ def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Hashes of the wanted windows of documents."""
     for batch in slices(batches, "text", SLICE):
         hashes, first = words_of(batch.column("text"))
-        hashes ^= hashes >> np.uint64(31)
         keys = (batch.column(c).to_pylist() for c in ("id", "mark", "wanted"))
         for i, mark, wanted, a, b in zip(*keys, first[:-1].tolist(), first[1:].tolist(), strict=True):
             words = hashes[a:b]
@@ -520,10 +564,7 @@ def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             np.add.at(asked, high, -1)
             starts = np.flatnonzero(np.cumsum(asked)[:-1] > 0)
             for some in np.array_split(starts, len(starts) // 50_000 + 1):
-                window = np.zeros(len(some), np.uint64)
-                for j in range(MIN_WORDS):
-                    window += words[some + j] * _POWERS[j]
-                window ^= window >> np.uint64(32)
+                window = window_hashes(words, some)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(window.view(np.int64)), pa.array(np.full(len(some), i, np.int64)), pa.array(np.int64(mark) << 32 | some)],
                     names=["window", "id", "at"],
@@ -573,7 +614,9 @@ def _blocks_between(low: Column, high: Column) -> Column:
 def find_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Passages (columns PASSAGES) of documents that an earlier document has; words are counted from 0."""
     keyed = _keyed(docs, doc_id, text)
-    seeds = written(keyed.mapInArrow(_emit_seeds, "seed long, id long, at long, fresh boolean"), "passage-seeds")
+    emitted = written(keyed.mapInArrow(_emit_seeds, "seed long, id long, at long, fresh boolean, low boolean"), "passage-seeds")
+    seeds, low = emitted.filter("not low"), emitted.filter("low").select(F.col("seed").alias("window"), "id", "at")
+    low = None if low.isEmpty() else written(low, "passage-low")
     # two numbers rather than a struct, so that it is a hash aggregate; a text has one fresh place a seed
     first = seeds.filter("fresh").groupBy("seed").agg(F.min("id").alias("rid"), F.min_by("at", "id").alias("rat"), F.count("*").alias("n"))
     first = first.filter("n > 1").drop("n")
@@ -588,7 +631,7 @@ def find_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
         _chains, "id long, mark int, rid long, rmark int, xs array<int>, rs array<int>, ns array<int>, seeds array<long>"
     )
     chains = written(chains, "passage-chains")
-    discard(first, seeds)
+    discard(first, emitted)
     paired = chains.filter(F.col("rid").isNotNull())
 
     begin, end = (lambda a: F.element_at(a, 1)), (lambda a: F.element_at(a, -1) + F.element_at("ns", -1))
@@ -615,15 +658,17 @@ def find_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     passages = found.filter("seed is null").select(names)
 
     anchors = written(found.filter("seed is not null").select("seed").distinct(), "passage-anchors")
-    if anchors.isEmpty():
-        discard(chains)
-        return passages
-    spread = chains.filter("seeds is not null").select("id", "mark", F.inline(F.arrays_zip("seeds", F.col("xs").alias("low"), F.col("rs").alias("high"))))
-    held = spread.toDF("id", "mark", "seed", "low", "high").join(anchors, "seed", "left_semi")
-    held = held.groupBy("id", "mark").agg(F.collect_list(F.struct("low", "high")).alias("wanted"))
-    windows = keyed.join(held.hint("merge"), ["id", "mark"]).mapInArrow(_emit_windows, "window long, id long, at long")
-    windows = written(windows, "passage-windows")
+    windows = low
+    if not anchors.isEmpty():
+        spread = chains.filter("seeds is not null").select("id", "mark", F.inline(F.arrays_zip("seeds", F.col("xs").alias("low"), F.col("rs").alias("high"))))
+        held = spread.toDF("id", "mark", "seed", "low", "high").join(anchors, "seed", "left_semi")
+        held = held.groupBy("id", "mark").agg(F.collect_list(F.struct("low", "high")).alias("wanted"))
+        anchored = keyed.join(held.hint("merge"), ["id", "mark"]).mapInArrow(_emit_windows, "window long, id long, at long")
+        anchored = written(anchored, "passage-windows")
+        windows = anchored if low is None else anchored.unionByName(low)
     discard(chains, anchors)
+    if windows is None:
+        return passages
     first = windows.groupBy("window").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     first = written(first.select("window", F.col("first.id").alias("rid"), F.col("first.at").alias("rat")), "passage-firsts")
     met = windows.join(first, "window").filter((F.col("id") != F.col("rid")) | (mark("at") != mark("rat")))

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from siftwright.llm import passages
 
@@ -184,7 +185,7 @@ def test_edges(spark):
     rows = [(None, long), (1, long), (1, long), (2, None), (3, ""), (4, " \n "), (5, "x " + long + " y"), (6, again), (7, again), (8, "w " * 100_000), (9, junk), (10, junk), (11, long + " " + junk + long)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "length(text) as n_chars", "1 as mark", "'b' as block")
     got = {(r["doc_id"], r["ref_doc_id"]) for r in passages.list_passages(df).collect()}
-    assert got == {(1, None), (5, None), (7, 6), (11, None)}
+    assert got == {(1, None), (5, None), (7, 6), (10, 9), (11, None)}
     kept = passages.drop_passages(df)
     assert kept.columns == df.columns
     left = {r["doc_id"]: (r["text"], r["n_chars"]) for r in kept.collect()}
@@ -216,3 +217,29 @@ def test_cut_words():
     assert passages.cut_words("é b", [(0, 1)]) == "b"
     assert passages.cut_words("a b", [(0, 9)]) == ""
     assert passages.cut_words(" a b ", []) == " a b "
+
+
+def test_repeats_of_low_complexity_text(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    plain = lambda n: " ".join(word() for _ in range(n))
+    chant = " ".join(["hey", "ho"] * 100)
+    coin = " ".join(" ".join([x] * 4) for x in rng.choices(["yes", "no"], k=60))  # runs of one word or the other, in no period
+    rows = [
+        *((i, f"{plain(70)} {chant} {plain(70)}") for i in (1, 2, 3)),
+        *((i, f"{plain(30)} {coin} {plain(30)}") for i in (4, 5)),
+        (6, " ".join(["hey", "ho"] * 24)),  # fewer words than a passage
+        (7, " ".join(["la"] * 500)),  # a repeat within one text
+        (8, plain(200)),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = passages.list_passages(df).collect()
+    covered = {}
+    for r in got:
+        words = dict(rows)[r["doc_id"]].split()
+        covered.setdefault(r["doc_id"], []).extend(words[r["start_word"] : r["end_word"]])
+    assert set(covered) == {2, 3, 5}
+    assert covered[2] == chant.split() == covered[3] and covered[5] == coin.split()
+    assert all(r["ref_doc_id"] in (1, 4) and r["class_id"] in (1, 4) for r in got)
+    kept = {r["doc_id"]: r["text"] for r in passages.drop_passages(df.withColumn("n_chars", F.length("text"))).collect()}
+    assert chant in kept[1] and "hey ho" not in kept[2] and "hey ho" not in kept[3] and coin in kept[4] and "yes" not in kept[5]
