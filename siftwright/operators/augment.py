@@ -43,7 +43,12 @@ def words(text: Column) -> Column:
 
 
 def _term(word: Column) -> Column:
-    return F.regexp_replace(F.lower(word), r"^[.,!?]+|[.,!?]+$", "")
+    return F.btrim(F.lower(word), F.lit(".,!?"))
+
+
+def _changed(rows: DataFrame, new: Column, text: Column) -> DataFrame:
+    """rows with _new where it differs from text; new is evaluated once, which a filter on a projected column isn't."""
+    return rows.withColumn("_new", F.explode(F.filter(F.array(new), lambda x: x != text)))
 
 
 def synonym_replace(text: Column, seed: int, key: Column, n: int = 1) -> Column:
@@ -121,7 +126,8 @@ def augment_training(df: DataFrame, config: AugmentConfig = AugmentConfig(), see
         .when(method == "paraphrase", paraphrase(text, seed, key))
         .otherwise(text)
     )
-    made = made.withColumn("_new", new).filter(F.col("_new") != text)
+    wanted = (method == "paraphrase") | ((method == "synonym") & (gate < config.synonym_replace_prob)) | ((method == "noise") & (gate < config.token_noise_prob))
+    made = _changed(made.filter(wanted), new, text)
     flags = {"is_augmented": F.lit(True), "augment_method": method, "text_original_aug_source": text}
     flags |= {c: F.col("_new") for c in ("text", "text_clean", "text_obfuscation_aware") if c in df.columns}
     return base.unionByName(made.withColumns(flags).select(base.columns))
@@ -156,7 +162,7 @@ def augment_paraphrases(df: DataFrame, config: ParaphraseConfig = ParaphraseConf
     made = rows.withColumn("_v", F.explode(F.sequence(F.lit(1), F.lit(config.max_variants_per_row))))
     key = F.concat_ws("|", F.col("row_idx").cast("string"), *marks, F.col("_v").cast("string"))
     text = F.coalesce(F.col(text_column(df)), F.lit(""))
-    made = made.withColumn("_new", adversarial_paraphrase(text, F.col("_intent"), seed, key)).filter(F.col("_new") != text)
+    made = _changed(made, adversarial_paraphrase(text, F.col("_intent"), seed, key), text)
     flags = {"is_augmented": F.lit(True), "is_adversarial_paraphrase": F.lit(True), "augment_method": F.lit("adversarial_paraphrase"), "text_original_adv_source": text}
     flags |= {c: F.col("_new") for c in ("text", "text_clean", "text_obfuscation_aware") if c in df.columns}
     return base.unionByName(made.withColumns(flags).select(base.columns))
