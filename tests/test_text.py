@@ -1,12 +1,15 @@
 import base64
+import re
 import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
+from siftwright import queries
 from siftwright.config import CleaningConfig
 from siftwright.functions import obfuscation as ob
 from siftwright.functions import text as tx
+from siftwright.operators import augment
 
 
 def one(spark, column, **values):
@@ -79,3 +82,10 @@ def test_decoded_texts_are_printable_as_python_has_it(spark, decoded):
     decoded = base64.b64decode(text).decode()
     wanted = [decoded] if decoded.isprintable() or " " in decoded else []
     assert one(spark, ob.base64_fragments(F.col("t")), t=f"<{text}>") == wanted
+
+
+def test_words_of_any_white_space(spark, duck):
+    text = "a" + "".join(f"{chr(c)}w{c:x}" for c in range(1, 0x3001) if chr(c).isspace()) + "\u180eb\u200bc "
+    assert one(spark, augment.words(F.col("t")), t=text) == text.split()
+    pattern = re.search(r"regexp_split_to_array\(t, '(.*?)'\)", queries.AUGMENTED)[1]
+    assert duck.execute("select [x for x in regexp_split_to_array(?, ?) if x <> '']", [text, pattern]).fetchone()[0] == text.split()
