@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +125,16 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert dedup.near_deduplicate(df).count() == 0 and dedup.near_duplicate_pairs(df).count() == 0
     assert leakage.near_matches(df, 0.85, None).count() == 0 and dedup.near_deduplicate(df, mode="lsh").count() == 0
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.85, 0.95, 1.0])
+def test_similar_sets_share_a_signature(threshold):
+    rng = np.random.default_rng(5)
+    for n in [*range(1, 60), 100, 333, 1000] * 4:
+        a = rng.integers(0, 2**64, n, dtype=np.uint64)
+        gone = rng.integers(0, n)
+        for less, more in ((int(n * (1 - threshold) + 1e-9), 0), (0, int(n / threshold + 1e-9) - n), (gone, max(0, int((n - gone) / threshold + 1e-9) - n))):
+            if less < n and (n - less) / (n + more) >= threshold - 1e-12:
+                b = np.concatenate([a[less:], rng.integers(0, 2**64, more, dtype=np.uint64)])
+                row, signature = similarity.part_signatures(np.concatenate([a, b]), np.array([len(a), len(b)]), threshold)
+                assert set(signature[row == 0]) & set(signature[row == 1])
