@@ -8,9 +8,10 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from siftwright import cli
+from siftwright import cli, phase_queries
 from siftwright.config import Config, Phase1Config, RunLogConfig, config_from, load_config
 from siftwright.plans import phases
+from siftwright.shared import shared_dir
 from siftwright.sources import records as src
 from siftwright.sources import sinks
 from siftwright.sources.files import Files
@@ -165,3 +166,16 @@ def test_streams(spark, sf_dir, tmp_path):
     got = spark.table("enriched")
     assert got.count() == table.selectExpr("split", "lower(trim(text)) as t").distinct().count()
     assert {"issues", "obfuscation_types", "text_clean"} <= set(got.columns)
+
+
+def test_queries_run_the_phases_only_as_far_as_they_read(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(phase_queries, "_DONE", {})
+    ran = []
+    for name in ("take_snapshot", "prepare", "enrich", "finalize"):
+        monkeypatch.setattr(phases, name, lambda *a, name=name, step=getattr(phases, name): (ran.append(name), step(*a))[1])
+    assert phase_queries.raw_records(spark, sf_dir).count() == 200 and phase_queries.snapshot_splits(spark, sf_dir).count() == 3
+    assert ran == ["take_snapshot"]
+    held = {p.name for p in Path(shared_dir(spark)).iterdir()}
+    assert phase_queries.validation_report_file(spark, sf_dir).count() > 0
+    assert ran[1] == "prepare" and set(ran) == {"take_snapshot", "prepare"}
+    assert {p.name for p in Path(shared_dir(spark)).iterdir()} == held  # no table of dedup is left behind
