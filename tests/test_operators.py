@@ -104,6 +104,20 @@ def test_minhash_equals_plain_integers():
         assert got[i].tolist() == [min((v * x + y) % prime for v in s) for s in sets]
 
 
+def test_minhash_in_slices_of_runs(monkeypatch):
+    rng = np.random.default_rng(3)
+    sizes = [1, 40, 3, 3, 200, 1, 1, 64, 63, 65, 7]
+    values = rng.integers(0, 1 << 31, sum(sizes))
+    values[:4] = [0, (1 << 31) - 1, (1 << 31) - 1, 0]
+    starts = np.cumsum([0, *sizes[:-1]])
+    a, b = dedup.permutations_of(8)
+    a[:2], b[:3] = [1, (1 << 31) - 1], [0, dedup._PRIME - 1, dedup._PRIME - (1 << 31) + 1]
+    monkeypatch.setattr(dedup, "SLICE", 64)
+    got = dedup.minhash(values, starts, a, b)
+    runs = [values[i : i + n].tolist() for i, n in zip(starts, sizes, strict=True)]
+    assert got.tolist() == [[min((v * x + y) % dedup._PRIME for v in r) for r in runs] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+
+
 def test_validation_rules(spark):
     assert fields(rows(spark, {})) == []
     bad = dict(label=1, intent_label=1, intent="direct_injection", technique="instruction_override", severity=8)
