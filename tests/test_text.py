@@ -89,3 +89,21 @@ def test_words_of_any_white_space(spark, duck):
     assert one(spark, augment.words(F.col("t")), t=text) == text.split()
     pattern = re.search(r"regexp_split_to_array\(t, '(.*?)'\)", queries.AUGMENTED)[1]
     assert duck.execute("select [x for x in regexp_split_to_array(?, ?) if x <> '']", [text, pattern]).fetchone()[0] == text.split()
+
+
+def test_composed_letters_never_reach_python(spark):
+    kept = [chr(c) for c in range(0x132) if not 0x80 <= c <= 0xBF]
+    assert all(unicodedata.normalize("NFKC", a + b) == a + b for a in kept for b in kept)
+    texts = ["Straße « où » plain", "café é", "ﬁ", "", None, *(f"Ａ{i}" for i in range(600))]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    got = {r["i"]: r["x"] for r in frame.select("i", tx.normalize_unicode(F.col("t")).alias("x")).collect()}
+    assert got == {i: t if t is None else unicodedata.normalize("NFKC", t) for i, t in enumerate(texts)}
+    reach = spark.createDataFrame([(c,) for c in map(chr, range(1, 0x3000))], "t string").filter(F.col("t").rlike(tx.UNSTABLE[0]) | F.col("t").rlike(tx.UNSTABLE[1]))
+    assert {r["t"] for r in reach.collect()} == set(map(chr, range(1, 0x3000))) - set(kept)
+
+
+@pytest.mark.parametrize("text", ["a b", "a  b", "a  b", " a\tb ", " \n a  　b c  d \t", " ", "   ", "a b"])
+def test_spaces_collapse_to_one_and_edges_go(spark, text):
+    whole = re.sub(r"\s+", " ", text).strip()
+    assert one(spark, tx.clean_text(F.col("t")), t=text) == whole
+    assert one(spark, tx.collapse_whitespace(F.col("t")), t=text) == whole
