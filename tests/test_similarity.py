@@ -1,11 +1,15 @@
 """Exact joins of similar sets, greedy along chains, and first matches between splits, against brute force."""
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from siftwright.functions.text import shingle_hashes
 from siftwright.operators import components, dedup, leakage, similarity
 
 SCHEMA = "row_idx long, split string, text string"
@@ -138,3 +142,51 @@ def test_similar_sets_share_a_signature(threshold):
                 b = np.concatenate([a[less:], rng.integers(0, 2**64, more, dtype=np.uint64)])
                 row, signature = similarity.part_signatures(np.concatenate([a, b]), np.array([len(a), len(b)]), threshold)
                 assert set(signature[row == 0]) & set(signature[row == 1])
+
+
+def test_lists_across_splits_hold_no_signature_of_one_split(spark):
+    rows = clusters(4, 12, 6, 3)
+    sets = similarity.collapsed(similarity.shingle_sets(spark.createDataFrame(rows, SCHEMA)))[0]
+    by = lambda lists: {(r["h"], r["split"]) for r in lists.prefix.collect()}
+    every, across = by(similarity.inverted_lists(sets, 0.8)), by(similarity.inverted_lists(sets, 0.8, across=True))
+    several = {h for h, _ in every if len({s for k, s in every if k == h}) > 1}
+    assert across == {(h, s) for h, s in every if h in several} and len(across) < len(every)
+
+
+def test_buckets_too_large_to_sort_at_once(monkeypatch):
+    rng, rows = np.random.default_rng(6), []
+    for _ in range(200):
+        h = np.unique(rng.integers(0, 300, 4).astype(np.uint64))
+        rows.append((rng.choice(["a", "b"]), h, rng.integers(0, 10**6, len(h)), np.full(len(h), 7, np.int32)))
+    packed = [pa.array([x[i].tobytes() for x in rows], pa.binary()) for i in (1, 2, 3)]
+    batches = pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows]), *packed], names=["split", "h", "row", "n"])
+    wanted = [(s, i, 7, k) for s, h, row, _ in rows for k, i in zip(h.tolist(), row.tolist(), strict=True)]
+    uses = Counter(k for *_, k in wanted)
+    wanted = sorted(x for x in wanted if uses[x[3]] > 1)
+    for held in (1, 50, 10**6):
+        monkeypatch.setattr(similarity, "HELD", held)
+        got = [tuple(r.values()) for b in similarity._met(iter([batches.slice(0, 70), batches.slice(70)]), False) for r in b.to_pylist()]
+        assert sorted(got) == wanted
+
+
+def test_hashes_of_texts_are_sets_of_word_3_grams():
+    rng = random.Random(7)
+    long = "x" * 64
+    texts = ["", "a", "a b", "b a", "ab", "a b c", "a b c a b c", "é a-b c", f"{long} {long}y {long}yz", f"{long} {long}y {long}yy", "abcdefgh abcdefghi a", ""]
+    texts += [" ".join(rng.choice(["u", "vv", "w3", "xyzxyzxyz", "..", "ßa"]) for _ in range(rng.randint(0, 9))) for _ in range(300)]
+    data = [t.encode() for t in texts]
+    values, n = shingle_hashes(np.frombuffer(b"".join(data), np.uint8), np.cumsum([len(t) for t in data]))
+    of, at = {}, 0
+    for text, k in zip(texts, n.tolist(), strict=True):
+        words = re.findall("[a-z0-9]+", text)
+        grams = {tuple(words[i : i + 3]) for i in range(len(words) - 2)} or {tuple(words)}
+        hashes = values[at : at + k].tolist()
+        assert len(hashes) == len(grams) and hashes == sorted(set(hashes))
+        assert of.setdefault(frozenset(grams), hashes) == hashes
+        at += k
+    assert len({tuple(h) for h in of.values()}) == len(of) and at == len(values)
+    each = {}  # a 3-gram has one hash, wherever it stands
+    for grams, hashes in of.items():
+        for g in grams:
+            each[g] = each.get(g, set(hashes)) & set(hashes)
+    assert all(each.values())

@@ -107,3 +107,13 @@ def test_spaces_collapse_to_one_and_edges_go(spark, text):
     whole = re.sub(r"\s+", " ", text).strip()
     assert one(spark, tx.clean_text(F.col("t")), t=text) == whole
     assert one(spark, tx.collapse_whitespace(F.col("t")), t=text) == whole
+
+
+def test_cleaning_scans_plain_texts_once_for_all_steps_on_characters(spark):
+    df = spark.createDataFrame([("Été\tà  la plage\r\n",), ("no\u200bn",), ("x\x85y",), ("e\u0301",)], "t string")
+    plan = df.select(tx.clean_text(F.col("t")).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 1
+    assert [r[0] for r in df.select(tx.clean_text(F.col("t"))).collect()] == ["Été à la plage", "non", "xy", "é"]
+    points = spark.createDataFrame([(chr(i),) for i in range(0x3000) if not 0xD800 <= i < 0xE000], "t string")
+    steps = tx.remove_zero_width_characters(tx.remove_control_characters(tx.normalize_unicode(F.col("t"))))
+    assert points.filter((steps != F.col("t")) & ~F.col("t").rlike(tx.ODD)).count() == 0
