@@ -190,3 +190,11 @@ def test_hashes_of_texts_are_sets_of_word_3_grams():
         for g in grams:
             each[g] = each.get(g, set(hashes)) & set(hashes)
     assert all(each.values())
+
+
+def test_signatures_of_the_same_rows_are_listed_once(spark):
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, "train", " ".join([*words[:150], f"own{i}", *words[150:]])) for i in range(2)]
+    lists = similarity.inverted_lists(similarity.shingle_sets(spark.createDataFrame(rows, SCHEMA)), 0.85)
+    assert lists.prefix.count() == 2  # some fifty parts are alike
+    assert similarity.verified(similarity.candidates(lists), lists).count() == 1
