@@ -198,3 +198,27 @@ def test_signatures_of_the_same_rows_are_listed_once(spark):
     lists = similarity.inverted_lists(similarity.shingle_sets(spark.createDataFrame(rows, SCHEMA)), 0.85)
     assert lists.prefix.count() == 2  # some fifty parts are alike
     assert similarity.verified(similarity.candidates(lists), lists).count() == 1
+
+
+def test_summary_reads_texts_once(spark):
+    rows = [*clusters(5, 4, 6, 3), (901, "train", "One and the same"), (902, "test", "one and  the same"), (903, "test", " "), (904, "train", "  ")]
+    df, seen = spark.createDataFrame(rows, SCHEMA), spark.sparkContext.accumulator(0)
+
+    def read(text):
+        seen.add(1)
+        return text
+
+    got = leakage.leakage_summary(df.withColumn("text", F.udf(read, "string").asNondeterministic()("text")), limit=None).first()
+    assert seen.value == len(rows)
+    exact, near = leakage.exact_leakage(df).collect(), leakage.near_leakage(df, limit=None).collect()
+    assert (got["exact_leak_pairs"], got["total_exact_overlaps"]) == (len(exact), sum(r["n"] for r in exact)) and exact
+    assert (got["near_leak_pairs"], got["total_near_overlaps"]) == (len(near), sum(r["n"] for r in near)) and near
+
+
+def test_exact_leakage_shuffles_digests(spark):
+    df = spark.createDataFrame([(1, "train", "long " * 50_000), (2, "test", "long " * 50_000), (3, "test", "")], SCHEMA)
+    assert [tuple(r) for r in leakage.exact_leakage(df).collect()] == [("train", "test", 1)]
+    shared = leakage.shared_fingerprints(df).collect()
+    assert [tuple(r) for r in shared] == [("long " * 49_999 + "long", "train", "test")]
+    plan = leakage.exact_leakage(df)._jdf.queryExecution().executedPlan().toString()
+    assert "sha2" in plan and "collect_set" not in plan
