@@ -40,6 +40,16 @@ def test_files_of_phases_after_a_chain(spark, tmp_path):
         assert_same(QUERIES[name](spark, str(tmp_path)).toPandas(), con.execute(SQL[name]).df())
 
 
+def test_reports_of_phases_after_a_chain(spark, tmp_path):
+    words = F.expr("array_join(transform(sequence(6 * id, 6 * id + 99), x -> concat('w', x)), ' ')")
+    docs = spark.range(18).select(F.col("id").alias("doc_id"), words.alias("text"), F.lit("s").alias("source"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for name in ("distribution_file", "phase1_report", "dataset_version"):
+        assert_same(QUERIES[name](spark, str(tmp_path)).toPandas(), con.execute(SQL[name]).df())
+
+
 def test_entry(spark, sf_dir):
     import __spark_entry__ as e
 
