@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwright.functions.text import shingle_hashes
-from siftwright.operators import components, dedup, leakage, similarity
+from siftwright.operators import components, dedup, leakage, records, similarity
 
 SCHEMA = "row_idx long, split string, text string"
 
@@ -222,3 +222,11 @@ def test_exact_leakage_shuffles_digests(spark):
     assert [tuple(r) for r in shared] == [("long " * 49_999 + "long", "train", "test")]
     plan = leakage.exact_leakage(df)._jdf.queryExecution().executedPlan().toString()
     assert "sha2" in plan and "collect_set" not in plan
+
+
+def test_summary_normalizes_once_more(spark):
+    texts = [(1, "train", "Caf\u00e9 one two three"), (2, "test", "cafe\u200b\u0301 ONE two three"), (3, "validation", "cafe\u200b\u0301 one two three"), (4, "test", "cafe one two three")]
+    df = records.clean_records(spark.createDataFrame(texts, SCHEMA))
+    got = leakage.leakage_summary(df, limit=None, cleaned=True)
+    assert (got.first()["exact_leak_pairs"], got.first()["total_exact_overlaps"]) == (3, 3)
+    assert leakage.exact_leakage(df, cleaned=True).count() == 3
