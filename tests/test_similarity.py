@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from siftwright.functions.text import shingle_hashes
 from siftwright.operators import components, dedup, leakage, records, similarity
+from siftwright.shared import shared_dir
 
 SCHEMA = "row_idx long, split string, text string"
 
@@ -230,3 +232,55 @@ def test_summary_normalizes_once_more(spark):
     got = leakage.leakage_summary(df, limit=None, cleaned=True)
     assert (got.first()["exact_leak_pairs"], got.first()["total_exact_overlaps"]) == (3, 3)
     assert leakage.exact_leakage(df, cleaned=True).count() == 3
+
+
+def test_sets_are_never_written_whole(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, ("train", "test")[i % 2], " ".join(f"w{rng.randrange(500)}" for _ in range(2000))) for i in range(60)]
+    rows += [(100, "train", rows[0][2] + " end"), (101, "test", rows[1][2] + " end"), (102, "test", rows[0][2])]
+    df, folder, seen = spark.createDataFrame(rows, SCHEMA), Path(shared_dir(spark)), []
+    held = lambda: {p: p.stat().st_size for p in folder.rglob("*.parquet")}
+    before = held()
+
+    def watched(df, name, *a, f=similarity.written, **options):
+        table = f(df, name, *a, **options)
+        seen.append(sum(n for p, n in held().items() if p not in before))
+        return table
+
+    monkeypatch.setattr(similarity, "written", watched)
+    monkeypatch.setattr(leakage, "written", watched, raising=False)
+    assert [(r["l_row"], r["r_row"]) for r in dedup.near_duplicate_pairs(df).orderBy("l_row").collect()] == [(0, 100), (1, 101)]
+    assert dedup.near_deduplicate(df).count() == 61
+    assert {(r["row_idx"], r["matched_row"]) for r in leakage.near_matches(df, 0.85, None).collect()} == {(0, 102), (100, 102)}
+    assert max(seen) < 0.7 * 8 * 2000 * len(rows)  # a table of all hashes
+
+
+def test_signatures_are_packed_in_few_bytes(spark):
+    rng = random.Random(8)
+    ids = [-(1 << 63), -5, *range(0, 4000, 10), (1 << 63) - 1]
+    rows = [(i, rng.choice(["train", "test", None]), " ".join(f"w{rng.randrange(9999)}" for _ in range(rng.choice([0, 1, 40, 300, 4000 if i < 200 else 5])))) for i in ids]
+    sets = spark.createDataFrame(rows, SCHEMA).transform(similarity.shingle_sets).repartition(3)
+    wanted = []
+    for r in sets.collect():
+        _, h = similarity.part_signatures(np.array(r["hashes"]).view(np.uint64), np.array([r["n"]]), 0.85)
+        h = h.view(np.uint64)
+        wanted += [(r["split"], r["row_idx"], r["n"], int(x) & ((1 << 40) - 1), ((int(x) >> 32) * 7) >> 32) for x in h]
+    packed = similarity.signatures(sets, 0.85, 7).toArrow()
+    got = []
+    for b in similarity._unpacked(iter(packed.to_batches())):
+        r = b.to_pylist()[0]
+        h, row, n = (np.frombuffer(r[c], t).tolist() for c, t in (("h", np.uint64), ("row", np.int64), ("n", np.int32)))
+        got += [(r["split"], *x[1:], x[0] & ((1 << 40) - 1), x[0] >> 40) for x in zip(h, row, n, strict=True)]
+    text = lambda rows: sorted(map(str, rows))
+    assert text(got) == text(wanted)
+    plain = similarity.signatures(sets.filter("row_idx between 0 and 5000"), 0.85, 7).select(F.expr("sum(length(h) + length(row) + length(n)) / sum(length(h) / 5)")).first()[0]
+    assert plain <= 10
+
+
+def test_pairs_are_verified_in_pieces(spark, monkeypatch):
+    rows = [(i, s, t) for i, s, t in clusters(9, 8, 7, 6)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = lambda: sorted(map(tuple, dedup.near_duplicate_pairs(df, 0.8).collect()))
+    whole = found()
+    monkeypatch.setattr(similarity, "ONCE", 50)
+    assert whole and found() == whole
