@@ -179,3 +179,45 @@ def test_queries_run_the_phases_only_as_far_as_they_read(spark, sf_dir, monkeypa
     assert phase_queries.validation_report_file(spark, sf_dir).count() > 0
     assert ran[1] == "prepare" and set(ran) == {"take_snapshot", "prepare"}
     assert {p.name for p in Path(shared_dir(spark)).iterdir()} == held  # no table of dedup is left behind
+
+
+def test_tables_take_little_space(spark, sf_dir, tmp_path):
+    source = src.records_from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    base = Config()
+    phases.prepare(spark, source, replace(base.phase1, data_dir=str(tmp_path)))
+    raw, processed = tmp_path / "raw" / "records", tmp_path / "processed"
+    size = lambda folder, pattern="*": sum(p.stat().st_size for p in folder.rglob(pattern) if p.is_file())
+    assert {p.name.rpartition(".")[2] for p in raw.glob("split=*/part-*")} == {"gz"}
+    back = spark.read.schema(source.schema).json(str(raw)).select(source.columns)
+    assert back.exceptAll(source).isEmpty() and back.count() == source.count()
+    assert spark.read.parquet(str(processed / "unique")).columns == ["split", "row_idx"]
+    names = [p.name for t in ("unique", "processed") for p in (processed / t).rglob("*.parquet")]
+    assert names and all(".zstd." in n for n in names)
+    phases.enrich(spark, replace(base.phase2, data_dir=str(tmp_path)))
+    phases.finalize(spark, replace(base.phase3, data_dir=str(tmp_path), docs_dir=str(tmp_path / "docs")))
+    for name in ("processed", "train_augmented"):  # the package has the tables' files, once
+        files = {p.name: p.stat().st_ino for p in (processed / name).glob("*.parquet")}
+        assert files and {p.name: p.stat().st_ino for p in (processed / "package" / name).glob("*.parquet")} == files
+    adversarial, augmented = (spark.read.parquet(str(processed / t)) for t in ("train_adversarial", "train_augmented"))
+    base_rows = adversarial.filter("not is_adversarial_paraphrase").select(augmented.columns)
+    assert base_rows.exceptAll(augmented).isEmpty() and base_rows.count() == augmented.count()
+    assert adversarial.count() > 1.3 * augmented.count()
+    assert size(processed / "train_adversarial", "*.parquet") < 1.6 * size(processed / "train_augmented", "*.parquet")
+
+
+def test_tables_that_cannot_be_linked_are_copied(spark, tmp_path):
+    files = Files(spark)
+    spark.range(10).withColumn("split", F.lit("train")).write.partitionBy("split").parquet(str(tmp_path / "processed"))
+    files.write_json({}, f"{tmp_path}/metadata.json")
+    assert not files.link(f"{tmp_path}/processed", f"{tmp_path}/package/processed")  # the split is a folder's name
+    sinks.package_dataset(spark, str(tmp_path), archive=False)
+    assert spark.read.parquet(str(tmp_path / "package" / "processed")).count() == 10
+    assert not list((tmp_path / "package" / "processed").glob("split=*"))
+
+
+def test_archives_are_read_without_being_written(spark, tmp_path):
+    files, found = Files(spark), {}
+    files.zip(f"{tmp_path}/x.zip", [("a/1", b"one"), ("b/2", b"two")])
+    assert files.unzip(f"{tmp_path}/x.zip", f"{tmp_path}/out", lambda name: name.startswith("a/"), found) == ["a/1", "b/2"]
+    assert found == {"a/1": hashlib.sha256(b"one").hexdigest(), "b/2": hashlib.sha256(b"two").hexdigest()}
+    assert [p.name for p in (tmp_path / "out").rglob("*") if p.is_file() and not p.name.endswith(".crc")] == ["1"]
